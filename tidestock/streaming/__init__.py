@@ -1,0 +1,6 @@
+"""No streaming operators.
+
+The workload is batch only: every load is a full, idempotent reload, with no
+watermarks, windows over arrival time or keyed state to express. The package
+stays empty rather than adding operators that nobody runs.
+"""
