@@ -8,6 +8,8 @@ hence the normal draws of four days.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,13 +56,13 @@ def assign_lead_time(
     return measured.select("sku_id", "location_id", F.coalesce("_mean", drawn).alias("avg_lead_time"))
 
 
-def _four_days(sim_key: Column) -> list[Column]:
-    digest = F.md5(sim_key.cast("binary"))
+def _four_days(digest: Column) -> list[Column]:
+    """Four standard normal draws from the four words of a digest."""
     draws = []
     for pair in (0, 2):
         u1 = (_word(digest, pair) + 1.0) / (WORD + 1.0)
         u2 = _word(digest, pair + 1) / WORD
-        radius, angle = F.sqrt(F.log(u1) * -2.0), u2 * (2.0 * 3.141592653589793)
+        radius, angle = F.sqrt(F.log(u1) * -2.0), u2 * (2.0 * math.pi)
         draws += [radius * F.cos(angle), radius * F.sin(angle)]
     return draws
 
@@ -76,9 +78,11 @@ def simulate_policy(
 ) -> DataFrame:
     """Simulated reorder point and safety stock per demand row with a lead time.
 
-    The few input rows are spread by key before they fan out to sims x draws rows;
-    the sum per simulation and the percentile per key then need no further shuffle.
-    A key's percentile sees `sims` values.
+    The few input rows are spread over `tasks` by a hash of the key before they fan
+    out to sims x draws rows. The hash stays a grouping column, so the sum per
+    simulation and the percentile per key need no further shuffle. Spreading by the
+    keys themselves would be dropped as already done by the demand aggregation, and
+    its few kilobytes merged into one task. A key's percentile sees `sims` values.
     """
     spark = demand.sparkSession
     tasks = tasks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
@@ -93,22 +97,26 @@ def simulate_policy(
         .filter(mean > 0)
         .join(lead, ["sku_id", "location_id"])
         .withColumn("std_demand", floor_std(sd, mean, std_floor))
-        .repartition(tasks, *keys)
+        .withColumn("_cell", F.xxhash64(*keys))
+        .repartition(tasks, "_cell")
     )
+    group = ["_cell", *keys, "avg_demand", "std_demand", "avg_lead_time"]
     days = F.ceil("avg_lead_time").cast("int")
-    group = keys + ["avg_demand", "std_demand", "avg_lead_time"]
+    blocks = F.sequence(F.lit(0), F.floor((days - 1) / DAYS_PER_DRAW).cast("int"))
+
+    def digest(block: Column) -> Column:
+        parts = ["sku_id", "location_id", F.col("_sim").cast("string"), block.cast("string"), F.lit(str(seed))]
+        return F.md5(F.concat_ws("|", *parts).cast("binary"))
+
+    # The digest is produced by the explode, so its four words share one evaluation.
     drawn = base.select(*group, F.explode(F.sequence(F.lit(1), F.lit(sims))).alias("_sim")).select(
-        *group, "_sim", F.explode(F.sequence(F.lit(0), F.floor((days - 1) / DAYS_PER_DRAW).cast("int"))).alias("_block")
+        *group, "_sim", F.posexplode(F.transform(blocks, digest)).alias("_block", "_digest")
     )
-    sim_key = F.concat_ws("|", "sku_id", "location_id", F.col("_sim").cast("string"),
-                          F.col("_block").cast("string"), F.lit(str(seed)))
-    demand_in_block = F.lit(0.0)
-    for i, z in enumerate(_four_days(sim_key)):
+    in_block = F.lit(0.0)
+    for i, z in enumerate(_four_days(F.col("_digest"))):
         day = F.col("_block") * DAYS_PER_DRAW + i
-        demand_in_block = demand_in_block + F.when(day < days, F.greatest(mean + sd * z, F.lit(0.0))).otherwise(0.0)
-    totals = drawn.select(*group, "_sim", demand_in_block.alias("_demand")).groupBy(*group, "_sim").agg(
-        F.sum("_demand").alias("_demand")
-    )
+        in_block = in_block + F.when(day < days, F.greatest(mean + sd * z, F.lit(0.0))).otherwise(0.0)
+    totals = drawn.groupBy(*group, "_sim").agg(F.sum(in_block).alias("_demand"))
     rop = totals.groupBy(*group).agg(F.percentile("_demand", service).alias("_rop"))
     return rop.select(
         *keys,

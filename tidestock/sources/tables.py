@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +38,31 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 read_mart = read_table
 
 
+def stage_root(spark: SparkSession) -> str:
+    """A new folder for intermediate tables under the cluster's shared checkpoint folder.
+
+    Without that setting a local session gets a temporary folder of its own; a
+    cluster session must name one, since executors share no local disk.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+        shared = tempfile.mkdtemp(prefix="stage-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared}/tidestock-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, root: str, name: str) -> DataFrame:
+    """Store an intermediate table and read it back.
+
+    Later plans start from the stored rows and know their real size, so small
+    dimensions are broadcast by Spark's own threshold before any fact is shuffled.
+    """
+    overwrite_table(df, root, name)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{root}/{name}")
+
+
 def read_mart_jdbc(spark: SparkSession, name: str, options: Mapping[str, str]) -> DataFrame:
     """Read a mart from a database.
 

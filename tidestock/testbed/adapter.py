@@ -12,8 +12,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+class Source(dict):
+    """The given tables by name, each opened once."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self._spark, self._dir = spark, sf_dir
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = self._spark.read.parquet(f"{self._dir}/{name}.parquet")
+        return self[name]
 
 
 def _s(e: Column | str) -> Column:
@@ -49,11 +57,11 @@ def _loc(number: Column) -> Column:
     return F.concat(F.lit("LOC-"), F.lpad(_s(number), 2, "0"))
 
 
-def sku_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sku_raw(src: Source) -> DataFrame:
     k, number = F.col("p_partkey"), _mod("p_partkey", 40)
     size = F.concat(_s("p_size"), F.lit(".0"))
     segment = F.when(number % 5 == 0, "PREMIUM").when(number % 5 == 4, "BUDGET").otherwise("STANDARD")
-    return _t(spark, sf_dir, "part").select(
+    return src["part"].select(
         _sku(_div("p_partkey", 40) % 5, number).alias("sku_id"),
         F.col("p_name").alias("sku_name"),
         F.when(k % 3 == 0, F.concat(F.lit(" "), F.lower("p_type"))).otherwise(F.col("p_type")).alias("category"),
@@ -71,11 +79,11 @@ def sku_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def location_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = _t(spark, sf_dir, "nation").join(
-        _t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+def location_raw(src: Source) -> DataFrame:
+    nation = src["nation"].join(
+        src["region"], F.col("n_regionkey") == F.col("r_regionkey")
     )
-    rows = _t(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = src["customer"].join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     k, n = F.col("c_custkey"), F.col("n_nationkey")
     kind = F.when(n < 6, "DC").when(n < 16, "RDC").when(n < 24, "STORE").otherwise("HUB")
     return rows.select(
@@ -91,9 +99,9 @@ def location_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def policy_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def policy_raw(src: Source) -> DataFrame:
     """One row per customer class that occurs; the last class is not a known segment."""
-    kinds = _t(spark, sf_dir, "customer").select(_mod("c_custkey", 4).alias("k")).distinct()
+    kinds = src["customer"].select(_mod("c_custkey", 4).alias("k")).distinct()
     k = F.col("k")
     # Policy parameters per segment.
     return kinds.select(
@@ -111,11 +119,11 @@ def policy_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def lane_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lane_raw(src: Source) -> DataFrame:
     """Up to two lanes per location pair, each sent as often as customers point at it."""
     k, s, d = F.col("c_custkey"), _mod("c_custkey", 25), F.col("c_nationkey")
     second = _div("c_custkey", 25) % 2
-    return _t(spark, sf_dir, "customer").select(
+    return src["customer"].select(
         F.concat(F.lit("LANE-"), _s(s), F.lit("-"), _s(d), F.lit("-"), _s(second)).alias("lane_id"),
         F.concat(_loc(s), F.lit(" ")).alias("origin_location_id"),
         _loc(d).alias("dest_location_id"),
@@ -135,11 +143,11 @@ def _seq() -> Column:
     return F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
-    customer = _t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+def _lines(src: Source) -> DataFrame:
+    orders = src["orders"].select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+    customer = src["customer"].select("c_custkey", "c_nationkey")
     return (
-        _t(spark, sf_dir, "lineitem")
+        src["lineitem"]
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
     )
@@ -149,10 +157,10 @@ def _order_key() -> Column:
     return F.concat(_s("l_orderkey"), F.lit("-"), _s("l_linenumber"))
 
 
-def order_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_raw(src: Source) -> DataFrame:
     qty, cents = F.col("l_quantity").cast("long"), _cents("l_extendedprice")
     price = F.floor((cents * 2 + qty) / (qty * 2)).cast("long")
-    return _lines(spark, sf_dir).select(
+    return _lines(src).select(
         F.when(_mod("l_partkey", 17) == 0, F.concat(F.lit(" "), _order_key())).otherwise(_order_key()).alias("order_id"),
         _s(F.col("o_orderdate").cast("date")).alias("order_date"),
         F.concat(F.lit("C"), _s("c_custkey")).alias("customer_id"),
@@ -170,9 +178,9 @@ def order_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def shipment_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    supplier = _t(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    rows = _lines(spark, sf_dir).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+def shipment_raw(src: Source) -> DataFrame:
+    supplier = src["supplier"].select("s_suppkey", "s_nationkey")
+    rows = _lines(src).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     freight = F.floor(_cents("l_extendedprice") * 3 / 100).cast("long")
     ship = F.col("l_shipdate").cast("date")
     return rows.select(
@@ -197,10 +205,10 @@ def shipment_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def snapshot_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def snapshot_raw(src: Source) -> DataFrame:
     k = F.col("event_id")
     on_hand = F.floor("value").cast("long") - 20
-    return _t(spark, sf_dir, "events").select(
+    return src["events"].select(
         F.concat(F.lit("SNAP-"), _s(k)).alias("snapshot_id"),
         F.when(k % 211 == 0, "").otherwise(_s(F.col("ts").cast("date"))).alias("snapshot_date"),
         _loc(_mod("user_id", 25)).alias("location_id"),
@@ -215,13 +223,29 @@ def snapshot_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_layer(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {
-        "dim_location_raw": location_raw(spark, sf_dir),
-        "dim_sku_raw": sku_raw(spark, sf_dir),
-        "dim_service_policy_raw": policy_raw(spark, sf_dir),
-        "dim_lane_cost_raw": lane_raw(spark, sf_dir),
-        "fact_sales_orders_raw": order_raw(spark, sf_dir),
-        "fact_shipments_raw": shipment_raw(spark, sf_dir),
-        "fact_inventory_snapshot_raw": snapshot_raw(spark, sf_dir),
-    }
+RAW_TABLES = {
+    "dim_location_raw": location_raw,
+    "dim_sku_raw": sku_raw,
+    "dim_service_policy_raw": policy_raw,
+    "dim_lane_cost_raw": lane_raw,
+    "fact_sales_orders_raw": order_raw,
+    "fact_shipments_raw": shipment_raw,
+    "fact_inventory_snapshot_raw": snapshot_raw,
+}
+
+
+class RawLayer(dict):
+    """The raw tables by name, each derived when first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self._source = Source(spark, sf_dir)
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = RAW_TABLES[name](self._source)
+        return self[name]
+
+    def load_all(self) -> RawLayer:
+        for name in RAW_TABLES:
+            self[name]
+        return self

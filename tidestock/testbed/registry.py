@@ -20,6 +20,8 @@ from ..plans import marts as m
 from ..plans import policy as pol
 from ..plans import quality as q
 from ..plans import scenario as sc
+from ..schemas import CLEAN_TABLES
+from ..sources import tables as store
 from . import adapter
 from .oracle import PLAIN_NUMBER, REPAIRED, half_away, key, number, statement
 
@@ -38,59 +40,87 @@ def rounded(df: DataFrame, scale: int, *cols: str) -> DataFrame:
 
 
 class Bed:
-    """Lazily derived tables of one data folder."""
+    """Derived tables of one data folder.
+
+    Dimensions are stored once per query, as the pipeline does, so that facts join
+    tables of known size. Facts are stored where a query reads them more than once
+    (`table`) and stay part of one plan otherwise (`plan`).
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.raw = adapter.raw_layer(spark, sf_dir)
+        self.spark = spark
+        self.raw = adapter.RawLayer(spark, sf_dir)
         self._made: dict[str, DataFrame] = {}
+        self._root: str | None = None
 
     def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._made:
             self._made[name] = make()
         return self._made[name]
 
+    def plan(self, name: str) -> DataFrame:
+        return self._once(name, lambda: self._build(name))
+
+    def table(self, name: str) -> DataFrame:
+        def make() -> DataFrame:
+            self._root = self._root or store.stage_root(self.spark)
+            return store.stage(self.plan(name), self._root, name)
+
+        return self._once(f"stored {name}", make)
+
+    def _build(self, name: str) -> DataFrame:
+        raw = self.raw[f"{name}_raw"]
+        if name == "dim_location":
+            return cl.clean_locations(raw)
+        if name == "dim_sku":
+            return cl.clean_skus(raw)
+        if name == "dim_service_policy":
+            return cl.clean_policy(raw)
+        if name == "dim_lane_cost":
+            return cl.clean_lanes(raw, self.locations)
+        if name == "fact_sales_orders":
+            return cl.clean_orders(raw, self.raw["dim_sku_raw"], self.skus, self.locations)
+        if name == "fact_inventory_snapshot":
+            return cl.clean_inventory(raw, self.locations, self.skus)
+        orders = self._made.get("stored fact_sales_orders", None) or self.plan("fact_sales_orders")
+        return cl.clean_shipments(raw, self.lanes, self.locations, self.skus, orders)
+
     @property
     def locations(self) -> DataFrame:
-        return self._once("loc", lambda: cl.clean_locations(self.raw["dim_location_raw"]))
+        return self.table("dim_location")
 
     @property
     def skus(self) -> DataFrame:
-        return self._once("sku", lambda: cl.clean_skus(self.raw["dim_sku_raw"]))
+        return self.table("dim_sku")
 
     @property
     def policy(self) -> DataFrame:
-        return self._once("policy", lambda: cl.clean_policy(self.raw["dim_service_policy_raw"]))
+        return self.table("dim_service_policy")
 
     @property
     def lanes(self) -> DataFrame:
-        return self._once("lanes", lambda: cl.clean_lanes(self.raw["dim_lane_cost_raw"], self.locations))
+        return self.table("dim_lane_cost")
 
     @property
     def orders(self) -> DataFrame:
-        return self._once("orders", lambda: cl.clean_orders(
-            self.raw["fact_sales_orders_raw"], self.raw["dim_sku_raw"], self.skus, self.locations))
-
-    @property
-    def prepared(self) -> DataFrame:
-        return self._once("prepared", lambda: cl.prepare_shipments(self.raw["fact_shipments_raw"], self.lanes))
+        return self.plan("fact_sales_orders")
 
     @property
     def shipments(self) -> DataFrame:
-        return self._once("ships", lambda: cl.clean_shipments(
-            self.raw["fact_shipments_raw"], self.lanes, self.locations, self.skus, self.orders))
+        return self.plan("fact_shipments")
 
     @property
     def stock(self) -> DataFrame:
-        return self._once("stock", lambda: cl.clean_inventory(
-            self.raw["fact_inventory_snapshot_raw"], self.locations, self.skus))
+        return self.plan("fact_inventory_snapshot")
+
+    @property
+    def prepared(self) -> DataFrame:
+        return self._once("prepared", lambda: cl.prepare_shipments(self.raw["fact_shipments_raw"], self.lanes))
 
     @property
     def clean(self) -> dict[str, DataFrame]:
-        return {
-            "dim_location": self.locations, "dim_sku": self.skus, "dim_service_policy": self.policy,
-            "dim_lane_cost": self.lanes, "fact_sales_orders": self.orders,
-            "fact_shipments": self.shipments, "fact_inventory_snapshot": self.stock,
-        }
+        """The whole clean layer, stored."""
+        return {name: self.table(name) for name in CLEAN_TABLES}
 
     def demand(self, min_obs: int = m.MIN_OBSERVATION_DAYS) -> DataFrame:
         return self._once(f"demand{min_obs}", lambda: m.demand_stats(self.orders, self.skus, self.policy, min_obs))
@@ -236,17 +266,17 @@ add("demand_keys", lambda b: k.distinct_keys(b.orders, "sku_id", "ship_to_locati
 
 # --- clean layer ------------------------------------------------------------------
 
-add("clean_locations", lambda b: b.locations,
+add("clean_locations", lambda b: b.plan("dim_location"),
     "SELECT *, NULL::DOUBLE AS storage_cost_per_unit FROM location")
-add("clean_skus", lambda b: b.skus,
+add("clean_skus", lambda b: b.plan("dim_sku"),
     "SELECT sku_id, description, category, NULL::VARCHAR AS subcategory, cost_cents / 100.0::DOUBLE AS unit_cost,"
     " NULL::DOUBLE AS unit_volume_cuft, unit_weight_lbs, supplier_id, lead_time_days, reorder_point, active,"
     " NULL::VARCHAR AS last_updated FROM sku")
-add("clean_policy", lambda b: b.policy,
+add("clean_policy", lambda b: b.plan("dim_service_policy"),
     "SELECT customer_segment, round(target_fill_rate, 4) AS target_fill_rate, z_score,"
     " penalty::DOUBLE AS penalty_stockout_per_unit, priority_rank, max_backorder_days, NULL::BIGINT AS expedite_threshold,"
     " review_period_days, holding_cost_rate, NULL::BIGINT AS min_order_qty FROM policy")
-add("clean_lanes", lambda b: b.lanes,
+add("clean_lanes", lambda b: b.plan("dim_lane_cost"),
     "SELECT lane_id, from_location, to_location, transport_mode, distance_miles::DOUBLE AS distance_miles,"
     " transit_days::DOUBLE AS transit_days_mean, NULL::DOUBLE AS transit_days_std,"
     " unit_e4 / 10000.0::DOUBLE AS cost_per_unit, lb_e3 / 1000.0::DOUBLE AS cost_per_lb FROM lane")
@@ -328,7 +358,8 @@ LEFT JOIN demand d ON s.sku_id = d.sku_id AND s.location_id = d.location_id""",
 )
 add(
     "order_costs",
-    lambda b: m.order_costs(b.orders, b.skus, b.policy, b.shipments, b.locations),
+    lambda b: m.order_costs(
+        b.table("fact_sales_orders"), b.skus, b.policy, b.table("fact_shipments"), b.locations),
     "SELECT order_id, sku_id, customer_segment, ship_to_location, ship_to_region, fulfilled_from_type, qty_ordered,"
     " price_cents / 100.0::DOUBLE AS price_per_unit, revenue_c / 100.0::DOUBLE AS order_revenue,"
     " product_c / 100.0::DOUBLE AS product_cost, freight_c / 100.0::DOUBLE AS freight_cost,"
@@ -344,7 +375,8 @@ _SERVED_SQL = (
     f" {half_away('tot', 'units * 146000', 4)} AS cost_per_unit, {half_away('rev', 'units * 100', 4)} AS revenue_per_unit,"
     f" {half_away('(rev_x - tot) * 100', 'rev_x', 2)} AS margin_pct FROM served_total"
 )
-add("cost_to_serve", lambda b: m.cost_to_serve(b.orders, b.skus, b.policy, b.shipments, b.locations), _SERVED_SQL)
+add("cost_to_serve", lambda b: m.cost_to_serve(
+    b.table("fact_sales_orders"), b.skus, b.policy, b.shipments, b.locations), _SERVED_SQL)
 add("network_flow", lambda b: b.flow, "SELECT * FROM flow")
 
 # --- quality ----------------------------------------------------------------------
@@ -486,11 +518,6 @@ def _audit_sql() -> str:
 
 add("constraint_keys", lambda b: audit_constraints(b.clean).filter(F.col("rule").isin("unique", "reference")), _audit_sql())
 
-_ROW_RULES = {
-    "dim_lane_cost": ("lane_raw", "order_raw"),
-}
-
-
 def _raw_rules(b: Bed) -> DataFrame:
     """The declared row rules against orders and shipments before cleaning, where they do break."""
     orders = b.raw["fact_sales_orders_raw"].select(
@@ -524,7 +551,7 @@ _RAW_NAMES = {"dim_location_raw": "location_raw", "dim_sku_raw": "sku_raw", "dim
               "fact_inventory_snapshot_raw": "snapshot_raw"}
 _CLEAN_NAMES = {"dim_location": "location", "dim_sku": "sku", "dim_service_policy": "policy", "dim_lane_cost": "lane",
                 "fact_sales_orders": "sales", "fact_shipments": "shipment", "fact_inventory_snapshot": "stock"}
-add("row_counts", lambda b: row_counts(b.raw).orderBy("table_name"), _counts_sql("table_name", _RAW_NAMES))
+add("row_counts", lambda b: row_counts(b.raw.load_all()).orderBy("table_name"), _counts_sql("table_name", _RAW_NAMES))
 add("clean_row_counts", lambda b: row_counts(b.clean).orderBy("table_name"), _counts_sql("table_name", _CLEAN_NAMES))
 add(
     "mart_summary",

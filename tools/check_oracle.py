@@ -59,7 +59,7 @@ def main():
     sf_dir = f"/root/testdata/sf{sf}"
     names = sys.argv[2:] or list(queries())
     spark = build_session(master="local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
-                          spark__driver__memory="12g")
+                          spark__driver__memory="12g", spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
     for t in TABLES.split():
