@@ -39,12 +39,13 @@ def winsor_stats(
         rows = rows.filter(F.col(group).isin(*domain))
     counts = value_counts(rows, [group], to_dec(col, 20, 6))
     caps = percentiles_from_counts(counts, [group], {"cap": p}, few_groups=domain is not None)
-    caps = caps.withColumn("cap", F.col("cap").cast("decimal(24,8)"))
+    caps = caps.select(F.col(group).alias("_group"), F.col("cap").cast("decimal(24,8)").alias("cap"))
     side = F.broadcast(caps) if domain is not None else caps
     capped = F.least(F.col("_v").cast("decimal(24,8)"), F.col("cap"))
     total = F.sum(capped * F.col("_c").cast("decimal(13,0)")).cast("decimal(30,8)")
     mean = total / F.sum("_c").cast("decimal(13,0)")
-    return counts.join(side, group).groupBy(group).agg(
+    # Null-safe for the reason given in percentiles_from_counts.
+    return counts.join(side, F.col(group).eqNullSafe(F.col("_group"))).groupBy(group).agg(
         F.max("cap").alias("cap"), mean.cast("decimal(28,12)").alias("capped_mean")
     )
 

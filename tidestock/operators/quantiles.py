@@ -63,7 +63,9 @@ def percentiles_from_counts(
     )
     if few_groups or not keys:
         picked = F.broadcast(picked)
-    match = F.col("_b") == F.col("_pb")
+    # Null-safe equality throughout: no filter is inferred for one side, so all
+    # readers of the counts share one shuffle and the rows are scanned once.
+    match = F.col("_b").eqNullSafe(F.col("_pb"))
     for i, k in enumerate(keys):
         match = match & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     within = Window.partitionBy(*keys, "_a", "_b").orderBy("_v")
