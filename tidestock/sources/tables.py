@@ -44,12 +44,13 @@ def stage_root(spark: SparkSession) -> str:
     Without that setting a local session gets a temporary folder of its own; a
     cluster session must name one, since executors share no local disk.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        shared = tempfile.mkdtemp(prefix="stage-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="stage-"))
+        shared = context.getCheckpointDir()
     return f"{shared}/tidestock-{uuid.uuid4().hex}"
 
 
