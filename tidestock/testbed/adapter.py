@@ -139,8 +139,15 @@ def lane_raw(src: Source) -> DataFrame:
 
 
 def _seq() -> Column:
-    """A total order over rows that share an id."""
-    return F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    """A total order over rows that share an id; the position is the last resort, as in a file scan.
+
+    As with a scan, the position also keeps later filters from being merged into the
+    text expressions, which would build each text once per use.
+    """
+    return F.struct(
+        "l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+        F.monotonically_increasing_id().alias("position"),
+    )
 
 
 def _lines(src: Source) -> DataFrame:
