@@ -68,6 +68,10 @@ def test_spread_percentiles_match_brute_force(spark, seed):
         values = [v for g, v in data if g == row.g]
         for alias, p in wanted.items():
             assert row[alias] == brute(values, p), (row.g, p)
+    counts = quantiles.value_counts(df, ["g"], F.col("v"))
+    for row in quantiles.percentiles_from_counts(counts, ["g"], wanted, with_above=True).collect():
+        values = [v for g, v in data if g == row.g]
+        assert all(row[f"{a}_above"] == sum(v > brute(values, p) for v in values) for a, p in wanted.items())
     overall = quantiles.spread_percentiles(df, [], F.col("v"), wanted).first()
     assert all(overall[a] == brute([v for _, v in data], p) for a, p in wanted.items())
 

@@ -31,10 +31,17 @@ def _bucket(value: Column) -> Column:
 
 
 def percentiles_from_counts(
-    counts: DataFrame, keys: Sequence[str], wanted: Mapping[str, float], few_groups: bool = False
+    counts: DataFrame,
+    keys: Sequence[str],
+    wanted: Mapping[str, float],
+    few_groups: bool = False,
+    with_above: bool = False,
 ) -> DataFrame:
     """One row per group with a column per wanted percentile, by linear interpolation.
 
+    `with_above` adds `<name>_above`, the number of rows greater than the percentile.
+    It lies between two neighbouring values, so these are the rows after the lower one.
+
     `few_groups` promises that the number of groups is bounded by the caller (no
     keys, or keys restricted to a fixed list); the selected buckets, two per group
     and percentile at most, are then broadcast. Otherwise Spark picks the join.
@@ -59,7 +66,7 @@ def percentiles_from_counts(
         .withColumn("_r1", F.ceil("_pos").cast("long"))
         .filter((F.col("_r0") < F.col("_end")) & (F.col("_r1") >= F.col("_start")))
         .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-                F.col("_b").alias("_pb"), F.col("_t.a").alias("_a"), "_start", "_r0", "_r1", "_frac")
+                F.col("_b").alias("_pb"), F.col("_t.a").alias("_a"), "_start", "_n", "_r0", "_r1", "_frac")
     )
     if few_groups or not keys:
         picked = F.broadcast(picked)
@@ -75,15 +82,17 @@ def percentiles_from_counts(
         .withColumn("_from", F.col("_to") - F.col("_c"))
     )
 
-    def at(alias: str, rank: str) -> Column:
+    def at(alias: str, rank: str, what: Column) -> Column:
         hit = (F.col("_a") == alias) & (F.col(rank) >= F.col("_from")) & (F.col(rank) < F.col("_to"))
-        return F.max(F.when(hit, F.col("_v")))
+        return F.max(F.when(hit, what))
 
     aggs = []
     for alias in wanted:
-        low, high = at(alias, "_r0"), at(alias, "_r1")
+        low, high = at(alias, "_r0", F.col("_v")), at(alias, "_r1", F.col("_v"))
         share = F.max(F.when(F.col("_a") == alias, F.col("_frac")))
         aggs.append((low + (high - low) * share).alias(alias))
+        if with_above:
+            aggs.append(at(alias, "_r0", F.col("_n") - F.col("_to")).alias(f"{alias}_above"))
     return ranked.groupBy(*keys).agg(*aggs)
 
 

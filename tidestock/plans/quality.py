@@ -116,11 +116,8 @@ def _order_segments(orders: DataFrame, raw_skus: DataFrame) -> DataFrame:
 def freight_outliers(shipments: DataFrame, p: float = 0.99) -> DataFrame:
     """One row: how many readable freights lie above the overall percentile."""
     counts = value_counts(shipments, [], _freight())
-    limit = percentiles_from_counts(counts, [], {"_limit": p}, few_groups=True).scalar()
-    # Compared inside the sum, not in a filter: a filter would move below the counting
-    # and make a second scan, while this reads the same counts as the percentile.
-    above = F.sum(F.when(F.col("_v") > limit, F.col("_c")))
-    return counts.agg(F.coalesce(above, F.lit(0)).alias("outliers"))
+    limit = percentiles_from_counts(counts, [], {"limit": p}, few_groups=True, with_above=True)
+    return limit.select(F.coalesce("limit_above", F.lit(0)).alias("outliers"))
 
 
 def _freight() -> Column:
