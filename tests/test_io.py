@@ -1,9 +1,11 @@
 import pytest
 
 import fixtures
+from tidestock.plans.clean import clean_all
 from tidestock.plans.pipeline import run_pipeline
-from tidestock.schemas import RAW_SCHEMAS
+from tidestock.schemas import LEGACY_RAW_SCHEMAS, RAW_FILES, RAW_SCHEMAS
 from tidestock.sources import csv as src
+from tidestock.sources import legacy
 from tidestock.sources import tables as store
 
 
@@ -59,3 +61,31 @@ def test_staged_tables_go_to_the_shared_folder(spark):
     assert root.startswith(shared or spark.sparkContext.getCheckpointDir())
     staged = store.stage(spark.range(5), root, "t")
     assert staged.count() == 5 and "FileScan" in staged._jdf.queryExecution().executedPlan().toString()
+
+
+def test_earlier_layout_cleans_with_the_same_functions(spark, tmp_path):
+    data = {
+        "dim_location_raw": ["LOC-A,Alpha,DC,North,1,100,0.5,12.5", "LOC-C,Gamma,STORE,South,3,,,1"],
+        "dim_sku_raw": ["sku_001,Valve,Packaging,Sub,10.00,0.25,1.5,S1,33,100,true,2024-01-02"],
+        "dim_service_policy_raw": ["premium,0.995,2.33,85,1,2,3,1,0.25,10"],
+        "dim_lane_cost_raw": ["L1,LOC-A,LOC-C,air,10,2,0.5,1.25,0.1"],
+        "fact_sales_orders_raw": ["O1,2024-01-01,SKU-001,C1,LOC-C,premium,5,9.99,web,yes"],
+        "fact_shipments_raw": ["S1,O1,2024-01-02,2024-01-09,LOC-A,LOC-C,SKU 001,5, air,10.00,c,Y,N",
+                               "S2,O2,2024-01-02,2024-01-09,LOC-A,LOC-C,SKU 001,5,AIR,,c,,1"],
+        "fact_inventory_snapshot_raw": ["2024-01-05,LOC-C,SKU001,-4,7,2,6,9,2024-01-01,"],
+    }
+    for name, lines in data.items():
+        (tmp_path / RAW_FILES[name]).write_text("\n".join([",".join(LEGACY_RAW_SCHEMAS[name].names), *lines]) + "\n")
+    clean = {n: df.collect() for n, df in clean_all(legacy.read_legacy_layer(spark, str(tmp_path)), "order").items()}
+    assert [r.storage_cost_per_unit is None for r in sorted(clean["dim_location"])] == [False, True]
+    sku, policy, lane = clean["dim_sku"][0], clean["dim_service_policy"][0], clean["dim_lane_cost"][0]
+    assert (sku.subcategory, str(sku.last_updated), float(sku.unit_volume_cuft)) == ("Sub", "2024-01-02", 0.25)
+    assert (float(policy.target_fill_rate), policy.expedite_threshold, policy.min_order_qty) == (0.995, 3, 10)
+    assert (lane.transport_mode, float(lane.transit_days_std)) == ("AIR", 0.5)
+    order = clean["fact_sales_orders"][0]
+    assert (order.customer_segment, order.priority_flag, order.ship_to_location) == ("PREMIUM", True, "LOC-C")
+    ships = {r.shipment_id: r for r in clean["fact_shipments"]}
+    assert (ships["S1"].transport_mode, ships["S1"].on_time_flag, ships["S1"].damage_flag) == ("AIR", True, False)
+    assert (float(ships["S2"].freight_cost_usd), ships["S2"].on_time_flag, ships["S2"].order_id) == (10.0, False, None)
+    stock = clean["fact_inventory_snapshot"][0]
+    assert (stock.on_hand_qty, stock.backorder_qty, stock.safety_stock_qty, stock.reorder_point_qty) == (0, 2, 6, 9)

@@ -90,11 +90,16 @@ def clean_policy(raw: DataFrame) -> DataFrame:
 
 
 def clean_lanes(raw: DataFrame, locations: DataFrame) -> DataFrame:
-    rows = require_in(raw, "carrier_mode", MODE_BY_CARRIER).select(
+    """Lanes between known locations; a layout that states the mode itself is taken at its word."""
+    if "transport_mode" in raw.columns:
+        named, mode = raw, clean_enum("transport_mode")
+    else:
+        named, mode = require_in(raw, "carrier_mode", MODE_BY_CARRIER), remap("carrier_mode", MODE_BY_CARRIER)
+    rows = named.select(
         clean_text("lane_id").alias("lane_id"),
         clean_text("origin_location_id").alias("from_location"),
         clean_text("dest_location_id").alias("to_location"),
-        remap("carrier_mode", MODE_BY_CARRIER).alias("transport_mode"),
+        mode.alias("transport_mode"),
         to_dec("distance_miles").alias("distance_miles"),
         to_dec("transit_days").alias("transit_days_mean"),
         to_dec(_extra(raw, "transit_days_std")).alias("transit_days_std"),
@@ -167,7 +172,12 @@ def best_lane(lanes: DataFrame) -> DataFrame:
 
 
 def prepare_shipments(raw: DataFrame, lanes: DataFrame) -> DataFrame:
-    """Typed shipment rows with the mode and contract time of their best lane."""
+    """Typed shipment rows with the mode and contract time of their best lane.
+
+    A layout that states its own mode keeps it, under the spelling the lanes use.
+    """
+    stated = ["transport_mode"] if "transport_mode" in raw.columns else []
+    flags = [to_flag(c, FLAG_TRUTHY).alias(c) for c in ("on_time_flag", "damage_flag") if c in raw.columns]
     rows = require_key(raw, "shipment_id").select(
         clean_text("shipment_id").alias("shipment_id"),
         blank_to_null("order_id").alias("order_id"),
@@ -179,10 +189,11 @@ def prepare_shipments(raw: DataFrame, lanes: DataFrame) -> DataFrame:
         null_if_before(to_date("arrival_date"), to_date("ship_date")).alias("delivery_date"),
         "freight_cost_usd",
         clean_text("carrier").alias("carrier"),
-        clean_enum("shipment_status").alias("shipment_status"),
+        clean_enum(_extra(raw, "shipment_status")).alias("shipment_status"),
+        *[clean_enum(c).alias(c) for c in stated], *flags,
         "_ingest_seq",
     )
-    return rows.join(best_lane(lanes), ["from_location", "to_location"], "left")
+    return rows.join(best_lane(lanes).drop(*stated), ["from_location", "to_location"], "left")
 
 
 def on_time(status: str = "shipment_status") -> Column:
@@ -210,9 +221,10 @@ def clean_shipments(
     rows = keep_known(rows, "to_location", locations, "location_id")
     rows = keep_known(rows, "sku_id", skus, "sku_id")
     rows = last_ingested(rows, ["shipment_id"])
+    punctual = F.col("on_time_flag") if "on_time_flag" in rows.columns else on_time()
     rows = rows.join(stats, "transport_mode", "left").withColumns({
         "freight_cost_usd": winsorize("freight_cost_usd", F.col("cap"), F.col("capped_mean")),
-        "on_time_flag": on_time(),
+        "on_time_flag": punctual,
     })
     rows = null_if_orphan(rows, "order_id", orders, "order_id")
     return conform(rows, "fact_shipments")

@@ -161,13 +161,14 @@ def order_costs(
 
     The outer join is written as its matched and unmatched halves. Adaptive skew
     handling may split either side of an inner join, but not the many-rows side of
-    an outer one, so this form also holds when one order has most shipments.
+    an outer one, so this form also holds when one order has most shipments. The
+    unmatched half needs only the distinct ids, which combine before the shuffle.
     """
     sent = shipments.filter(F.col("order_id").isNotNull()).select(
         "order_id", "freight_cost_usd", "qty_shipped", F.col("from_location").alias("_from")
     )
     matched = orders.join(sent, "order_id")
-    unmatched = orders.join(sent.select("order_id"), "order_id", "left_anti")
+    unmatched = orders.join(sent.select("order_id").distinct(), "order_id", "left_anti")
     lines = matched.unionByName(unmatched, allowMissingColumns=True)
     ship_to = locations.select(F.col("location_id").alias("ship_to_location"), F.col("region").alias("ship_to_region"))
     source = locations.select(F.col("location_id").alias("_from"), F.col("location_type").alias("fulfilled_from_type"))
