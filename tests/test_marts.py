@@ -53,6 +53,8 @@ def test_demand_stats(rows, clean):
     # One observed day: no spread, so no buffer.
     assert (got["SKU002"].std_demand_per_day, got["SKU002"].safety_stock_units) == (0.0, 0.0)
     assert m.demand_stats(orders, clean["dim_sku"], clean["dim_service_policy"], 3).count() == 1
+    bare = m.demand_stats(orders, clean["dim_sku"], clean["dim_service_policy"], 1, nulls_as_zero=False)
+    assert [(r.std_demand_per_day, r.safety_stock_units) for r in bare.filter("sku_id = 'SKU002'").collect()] == [(None, 0.0)]
     week = m.with_calendar(m.daily_demand(orders)).filter("order_date = '2024-01-03'").first()
     assert (str(week.week_start), str(week.month_start)) == ("2024-01-01", "2024-01-01")
 

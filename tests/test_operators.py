@@ -36,6 +36,22 @@ def test_keep_known_and_orphans(rows):
     assert [(r.id, r.k) for r in repaired] == [(1, "a"), (2, None), (3, None)]
 
 
+def test_rows_without_a_key_spread_over_a_shuffled_join(spark):
+    fact = spark.range(4000).select(F.when(F.col("id") % 3 == 0, F.col("id").cast("string")).alias("k"), "id")
+    dim = spark.range(0, 4000, 6).select(F.col("id").cast("string").alias("key"))
+    joined = keys.null_if_orphan(fact, "k", dim.hint("merge"), "key")
+    assert joined.count() == 4000 and joined.filter("k is not null").count() == 667
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plain = keys.null_if_orphan(fact, "k", dim, "key").filter("k is null")
+        sizes = [r["count"] for r in plain.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(sizes) == 4 and max(sizes) < 2 * min(sizes)
+
+
 def test_duplicates_and_options(rows):
     df = rows("k string", ("b",), ("a",), ("a",), (None,))
     assert keys.duplicate_count(df, "k").first().asDict() == {"total_rows": 4, "unique_keys": 2, "duplicate_rows": 2}

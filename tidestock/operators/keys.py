@@ -36,11 +36,19 @@ def keep_known(df: DataFrame, col: str, dim: DataFrame, dim_col: str) -> DataFra
 
 
 def null_if_orphan(df: DataFrame, col: str, dim: DataFrame, dim_col: str) -> DataFrame:
-    """Keep every row but clear keys that `dim` does not hold."""
-    known = dim.select(F.col(dim_col).alias("_known")).distinct()
+    """Keep every row but clear keys (text) that `dim` does not hold.
+
+    Rows without a key would all meet in one partition of a shuffled join. They get a
+    stand-in key from a hash of the row, so they spread like others; it is never kept.
+    """
     names = df.columns
-    joined = df.join(known, F.col(col) == F.col("_known"), "left")
-    return joined.select(*[F.col("_known").alias(n) if n == col else F.col(n) for n in names])
+    known = dim.select(F.col(dim_col).alias("_known")).distinct()
+    stand_in = F.concat(F.lit("-"), F.xxhash64(*names).cast("string"))
+    joined = df.withColumn("_key", F.coalesce(F.col(col), stand_in)).join(
+        known, F.col("_key") == F.col("_known"), "left"
+    )
+    kept = F.when(F.col(col).isNotNull(), F.col("_known"))
+    return joined.select(*[kept.alias(n) if n == col else F.col(n) for n in names])
 
 
 def duplicate_count(df: DataFrame, *keys: str) -> DataFrame:

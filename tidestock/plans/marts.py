@@ -54,9 +54,13 @@ def demand_stats(
     skus: DataFrame,
     policy: DataFrame,
     min_obs: int = MIN_OBSERVATION_DAYS,
+    nulls_as_zero: bool = True,
 ) -> DataFrame:
     """Demand statistics and formula policy per product, location and segment.
 
+    A group with a single day has no spread: 0 by default, NULL with
+    ``nulls_as_zero=False``. The formulas take it as 0 either way.
+
     Days without orders are not observed days. Grouping the daily rows directly
     equals listing the keys first and joining the days back, since every key comes
     from at least one day. Percentiles are per-group: a group holds one value per
@@ -70,7 +74,7 @@ def demand_stats(
             F.count("order_date").alias("observation_days"),
             F.sum(qty).alias("_total"),
             F.avg(qty).alias("avg_demand_per_day"),
-            F.coalesce(F.stddev_samp(qty), F.lit(0.0)).alias("std_demand_per_day"),
+            F.stddev_samp(qty).alias("std_demand_per_day"),
             F.max(qty).alias("max_demand_per_day"),
             F.min(qty).alias("min_demand_per_day"),
             F.percentile(qty, [0.5, 0.9, 0.95]).alias("_p"),
@@ -85,7 +89,8 @@ def demand_stats(
     )
     return joined.select(
         *DEMAND_KEYS, "category", "lead_time_days", "z_score", "target_fill_rate",
-        "observation_days", "avg_demand_per_day", "std_demand_per_day",
+        "observation_days", "avg_demand_per_day",
+        (F.coalesce(sd, F.lit(0.0)) if nulls_as_zero else sd).alias("std_demand_per_day"),
         "max_demand_per_day", "min_demand_per_day",
         F.col("_p")[0].alias("p50_demand"),
         F.col("_p")[1].alias("p90_demand"),
