@@ -7,19 +7,23 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe
+from . import byte_bpe, simhash_trie
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_trie.simhash_groups(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return byte_bpe.round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_byte_bpe,)}
+    return {f.__name__: f for f in (op4_simhash_trie, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
