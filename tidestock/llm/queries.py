@@ -6,24 +6,38 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, simhash_trie
+from . import byte_bpe, hash_ring, simhash_trie, token_lengths
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+SHARDS = 40
+
+
+def op3_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = hash_ring.place(table(spark, sf_dir, "documents"), SHARDS)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
 
 
 def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_lengths.token_counts(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return byte_bpe.round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simhash_trie, op9_byte_bpe)}
+    return {f.__name__: f for f in (op3_hash_ring, op4_simhash_trie, op5_token_lengths, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
