@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, hash_ring, simhash_trie, token_lengths
+from . import byte_bpe, hash_ring, secret_scan, simhash_trie, token_lengths
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -31,13 +31,17 @@ def op5_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_lengths.token_counts(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return byte_bpe.round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_hash_ring, op4_simhash_trie, op5_token_lengths, op9_byte_bpe)}
+    return {f.__name__: f for f in (op3_hash_ring, op4_simhash_trie, op5_token_lengths, op6_secret_scan, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
