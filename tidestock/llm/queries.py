@@ -8,11 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, hash_ring, secret_scan, simhash_trie, token_lengths
+from . import byte_bpe, decontaminate, hash_ring, secret_scan, simhash_trie, token_lengths, toxicity
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 SHARDS = 40
+TOXIC = 0.7
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(fold != 1)
+    scored = toxicity.score(table(spark, sf_dir, "documents"), labels)
+    return scored.select(
+        "doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"), "posterior"
+    )
 
 
 def op3_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,9 +50,14 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.contained(docs, items).drop("text_hash")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_hash_ring, op4_simhash_trie, op5_token_lengths, op6_secret_scan, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_toxicity, op3_hash_ring, op4_simhash_trie, op5_token_lengths, op6_secret_scan, op9_byte_bpe, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_decontaminate": decontaminate.ORACLE_SQL}
