@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 
 import pytest
 import public_tokenizers as P
@@ -40,8 +41,27 @@ def test_the_queue_gives_rank_then_position():
     items = [(49_999, 3), (5, 9), (5, 2), (4_096, 1), (64, 7), (5, 4)]
     for rank, position in items:
         queue.push(rank, position)
-    assert [queue.pop() for _ in items] == sorted(items)
-    assert not queue.top and not any(queue.mid) and not any(queue.leaf)
+    got = []
+    while queue.top:
+        rank, bucket = queue.pop_rank()
+        got += [(rank, position) for position in sorted(bucket)]
+    assert got == sorted(items) and not any(queue.leaf) and not queue.buckets
+
+
+def test_ranks_that_do_not_grow_with_merging(pair):
+    """Merges may make pairs of lower or equal rank; the public library decides what is right."""
+    own, _ = pair
+    tokens = [bytes([b]) for b in range(256)]
+    tokens += [b"bc", b"ab", b"abc", b"aa", b"cd", b"bcd", b"aab", b"abab", b"ababab", b"ca"]
+    for order in (tokens, tokens[:256] + tokens[:255:-1]):
+        ranks = {t: i for i, t in enumerate(order)}
+        data = b"\n".join(base64.b64encode(t) + b" %d" % i for t, i in ranks.items())
+        mine = byte_bpe.ByteBpe(data, P.PATTERN)
+        library = tiktoken.Encoding("small", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        rng = random.Random(4)
+        for _ in range(400):
+            text = "".join(rng.choices("abcd", k=rng.randrange(1, 40)))
+            assert mine.encode(text) == library.encode_ordinary(text)
 
 
 def test_rows(spark, rows, pair):

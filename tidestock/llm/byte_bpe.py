@@ -5,7 +5,8 @@ its id. A text is split by a pattern; each match is merged on its own, always at
 rank, leftmost first. Merging keeps a linked list of symbols and one bucket of list positions per
 rank. A bitmap of three levels says which buckets hold something; find-first-set walks it to the
 next rank. Entries of pairs that have changed since stay in their buckets and are skipped when met.
-A very long match costs time in proportion to its bytes (times the heap step within one rank).
+Split pieces that are new are merged together in one queue, which spreads the cost of its steps; a
+very long match costs time in proportion to its bytes (and the sorting of a bucket's positions).
 
 Defined cases: a null text is the empty text and has no ids; texts are whole, whatever their
 length; repeated rows and null doc_ids are encoded like any other row; an empty table gives an
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from heapq import heappop, heappush
+from collections.abc import Iterator
 from itertools import chain
 
 import regex
@@ -25,48 +26,47 @@ from pyspark.sql import DataFrame
 
 from .common import map_batches
 
-#: Split pieces kept with their ids, per Python worker; beyond it the memory starts anew.
+#: Split pieces kept with their ids, per Python worker, in each of two generations: when the newer is
+#: full, the older goes; pieces that are met again move to the newer one.
 CACHE_PIECES = 400_000
-#: Longer pieces are encoded each time.
-CACHE_BYTES = 64
+#: Bytes of pieces merged in one queue; a longer piece has a queue to itself.
+QUEUE_BYTES = 1 << 18
+#: Texts encoded at once: so many, or fewer with so many code points.
+TEXTS, CODE_POINTS = 256, 1 << 20
 
 
 class RankQueue:
-    """Lowest rank first, lowest position first within a rank."""
+    """Positions by rank, lowest rank first.
+
+    Two levels of bitmap words, each as wide as the square root of the number of ranks: a bit of a
+    leaf word stands for a bucket that holds something, a bit of the top word for a leaf word.
+    """
 
     def __init__(self, size: int):
-        words = (size >> 6) + 1
-        self.leaf = [0] * words
-        self.mid = [0] * ((words >> 6) + 1)
+        self.shift = max(1, ((size - 1).bit_length() + 1) // 2)
+        self.leaf = [0] * ((size >> self.shift) + 1)
         self.top = 0
         self.buckets: dict[int, list[int]] = {}
 
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            self.leaf[rank >> 6] |= 1 << (rank & 63)
-            self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
-            self.top |= 1 << (rank >> 12)
-        else:
-            heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int]:
-        high = (self.top & -self.top).bit_length() - 1
-        bits = self.mid[high]
-        middle = high << 6 | (bits & -bits).bit_length() - 1
-        bits = self.leaf[middle]
-        rank = middle << 6 | (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.leaf[middle] = bits & (bits - 1)
-            if not self.leaf[middle]:
-                self.mid[high] &= self.mid[high] - 1
-                if not self.mid[high]:
-                    self.top &= self.top - 1
-        return rank, position
+        if bucket is not None:
+            bucket.append(position)
+            return
+        self.buckets[rank] = [position]
+        word = rank >> self.shift
+        self.leaf[word] |= 1 << (rank & (1 << self.shift) - 1)
+        self.top |= 1 << word
+
+    def pop_rank(self) -> tuple[int, list[int]]:
+        """The lowest rank in use and its positions, in any order; the bucket leaves the queue."""
+        word = (self.top & -self.top).bit_length() - 1
+        bits = self.leaf[word]
+        rank = word << self.shift | (bits & -bits).bit_length() - 1
+        self.leaf[word] = bits = bits & (bits - 1)
+        if not bits:
+            self.top &= self.top - 1
+        return rank, self.buckets.pop(rank)
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -82,57 +82,111 @@ class ByteBpe:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.queue = RankQueue(size)
+        self.bytes = [self.ranks[bytes([b])] for b in range(256)]
+        self.pairs: dict[int, int] = {}  # left id << 32 | right id -> id of both together
+        for token, rank in self.ranks.items():
+            for cut in range(1, len(token)):
+                left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    self.pairs[left << 32 | right] = rank
         self._pieces: dict[str, tuple[int, ...]] = {}
-
-    def merge(self, piece: bytes) -> tuple[int, ...]:
-        """Ids of one split piece."""
-        ranks, queue = self.ranks, self.queue
-        whole = ranks.get(piece)
-        if whole is not None:
-            return (whole,)
-        n = len(piece)
-        symbols = [piece[i : i + 1] for i in range(n)]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [ranks.get(piece[i : i + 2]) for i in range(n - 1)] + [None]
+        self._older: dict[str, tuple[int, ...]] = {}
+
+    def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of split pieces, all in one queue: a bucket holds positions of every piece.
+
+        Pieces are chained one after the other without links between them; index n, also reached as
+        -1, stands for "no neighbour" and pairs with nothing.
+        """
+        joined = b"".join(pieces)
+        n = len(joined)
+        found, queue = self.pairs.get, self.queue
+        buckets, push = queue.buckets, queue.push
+        ids = list(map(self.bytes.__getitem__, joined))
+        pair = [found(a << 32 | b) for a, b in zip(ids, ids[1:])] + [None, None]
+        after, before = list(range(1, n + 1)), list(range(-1, n))
+        ids.append(-1)
+        end = 0
+        for piece in pieces:
+            before[end] = -1
+            end += len(piece)
+            pair[end - 1], after[end - 1] = None, n
         for i, rank in enumerate(pair):
             if rank is not None:
-                queue.push(rank, i)
+                if rank in buckets:
+                    buckets[rank].append(i)
+                else:
+                    push(rank, i)
         while queue.top:
-            rank, i = queue.pop()
-            if pair[i] != rank:
-                continue  # the pair has changed since
-            j = after[i]
-            merged = symbols[i] = symbols[i] + symbols[j]
-            pair[j] = None
-            after[i] = right = after[j]
-            pair[i] = None
-            if right < n:
+            rank, bucket = queue.pop_rank()
+            bucket.sort()
+            at = 0
+            for at, i in enumerate(bucket, 1):
+                if pair[i] != rank:
+                    continue  # the pair has changed since
+                gone = after[i]
+                ids[i] = rank
+                pair[gone] = None
+                after[i] = right = after[gone]
                 before[right] = i
-                pair[i] = found = ranks.get(merged + symbols[right])
-                if found is not None:
-                    queue.push(found, i)
-            left = before[i]
-            if left >= 0:
-                pair[left] = found = ranks.get(symbols[left] + merged)
-                if found is not None:
-                    queue.push(found, left)
-        ids, i = [], 0
-        while i < n:
-            ids.append(ranks[symbols[i]])
-            i = after[i]
-        return tuple(ids)
-
-    def piece(self, piece: str) -> tuple[int, ...]:
-        ids = self.merge(piece.encode())
-        if len(piece) <= CACHE_BYTES:
-            if len(self._pieces) >= CACHE_PIECES:
-                self._pieces.clear()
-            self._pieces[piece] = ids
-        return ids
+                left = before[i]
+                pair[i] = one = found(rank << 32 | ids[right])
+                pair[left] = two = found(ids[left] << 32 | rank)
+                if one is not None:
+                    if one in buckets:
+                        buckets[one].append(i)
+                    else:
+                        push(one, i)
+                if two is not None:
+                    if two in buckets:
+                        buckets[two].append(left)
+                    else:
+                        push(two, left)
+                    if two <= rank:
+                        break
+                if one is not None and one <= rank:
+                    break
+            for i in bucket[at:]:  # a merge made a pair of this rank or a lower one: the rest goes back
+                push(rank, i)
+        out, end = [], 0
+        for piece in pieces:
+            i, got = end, []
+            end += len(piece)
+            while i < n:
+                got.append(ids[i])
+                i = after[i]
+            out.append(tuple(got))
+        return out
+
+    def learn(self, pieces: set[str]) -> None:
+        """Put the ids of pieces that are not at hand into the cache, many pieces to a queue."""
+        whole, rest = self.ranks.get, []
+        for piece in pieces:
+            data = piece.encode()
+            ids = self._older.get(piece) or ((rank,) if (rank := whole(data)) is not None else None)
+            if ids:
+                self._pieces[piece] = ids
+            else:
+                rest.append((piece, data))
+        start, size = 0, 0
+        for stop, (_, data) in enumerate(rest, 1):
+            size += len(data)
+            if size >= QUEUE_BYTES or stop == len(rest):
+                part = rest[start:stop]
+                self._pieces.update(zip((p for p, _ in part), self.merge([d for _, d in part])))
+                start, size = stop, 0
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        if len(self._pieces) >= CACHE_PIECES:
+            self._older, self._pieces = self._pieces, {}
+        split = [self.split(t) for t in texts]
+        known = self._pieces
+        self.learn(set(chain.from_iterable(split)).difference(known))
+        of = known.__getitem__
+        return [list(chain.from_iterable(map(of, pieces))) for pieces in split]
 
     def encode(self, text: str) -> list[int]:
-        known, make = self._pieces.get, self.piece
-        return list(chain.from_iterable([known(p) or make(p) for p in self.split(text)]))
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> bytes:
         tokens = self.tokens
@@ -150,6 +204,19 @@ def coder(rank_file: bytes, pattern: str) -> ByteBpe:
     return _coders[key]
 
 
+def portions(texts: list[str | None]) -> Iterator[list[str]]:
+    """Texts in order, null as empty, a bounded number (and length, but for single long ones) at a time."""
+    part, size = [], 0
+    for text in texts:
+        part.append(text or "")
+        size += len(part[-1])
+        if len(part) >= TEXTS or size >= CODE_POINTS:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def rank_file(df: DataFrame, path: str) -> Broadcast:
     """The rank file, read by the driver and sent out once; a vocabulary, it does not grow with the data."""
     with open(path, "rb") as file:
@@ -162,7 +229,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
 
     def run(key, text):
         bpe = coder(ranks.value, pattern)
-        return {"key": key, "ids": [bpe.encode(x or "") for x in text]}
+        return {"key": key, "ids": [ids for part in portions(text) for ids in bpe.encode_all(part)]}
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
@@ -194,11 +261,11 @@ def round_trip(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] =
         bpe = coder(ranks.value, pattern)
         names = numbers(len(bpe.tokens))
         counts, sent, back = [], [], []
-        for x in texts:
-            ids = bpe.encode(x or "")
-            counts.append(len(ids))
-            sent.append(hashlib.sha256(",".join([names[i] for i in ids]).encode()).hexdigest())
-            back.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+        for part in portions(texts):
+            for ids in bpe.encode_all(part):
+                counts.append(len(ids))
+                sent.append(hashlib.sha256(",".join([names[i] for i in ids]).encode()).hexdigest())
+                back.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
         return columns | {"n_tokens": counts, "ids_sha256": sent, "decoded_sha256": back}
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
