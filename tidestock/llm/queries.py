@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, hash_ring, secret_scan, simhash_trie, token_lengths, toxicity
+from . import byte_bpe, decontaminate, hash_ring, secret_scan, simhash_trie, token_lengths, toxicity, url_filter
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 SHARDS = 40
 TOXIC = 0.7
 
@@ -25,6 +26,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
+
+
 def op3_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = hash_ring.place(table(spark, sf_dir, "documents"), SHARDS)
     return placed.select(
@@ -56,7 +61,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_hash_ring, op4_simhash_trie, op5_token_lengths, op6_secret_scan, op9_byte_bpe, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_hash_ring, op4_simhash_trie, op5_token_lengths, op6_secret_scan, op9_byte_bpe, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
