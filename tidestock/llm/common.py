@@ -26,13 +26,17 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
-        self.root = stage_root(spark)
+        self.spark, self.root = spark, stage_root(spark)
         self._count = 0
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
         self._count += 1
         return stage(df, self.root, f"{self._count:03d}-{name}")
 
+    def release(self) -> None:
+        """Let Spark drop the shuffle files of finished steps now, not when the driver next collects garbage."""
+        self.spark.sparkContext._jvm.java.lang.System.gc()
+
 
 def map_batches(
     df: DataFrame, columns: Callable[..., dict[str, Any]], schema: str, step: int = 2000

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_join, byte_bpe, decontaminate, hash_ring, secret_scan, simhash_trie, token_lengths, toxicity, url_filter
+from . import block_join, byte_bpe, decontaminate, hash_ring, repeated_bytes, secret_scan, simhash_trie, token_lengths, toxicity, url_filter
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -54,6 +54,10 @@ def op7_block_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_join.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op8_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return byte_bpe.round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
@@ -65,7 +69,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_hash_ring, op4_simhash_trie, op5_token_lengths, op6_secret_scan, op7_block_join, op9_byte_bpe, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_hash_ring, op4_simhash_trie, op5_token_lengths, op6_secret_scan, op7_block_join, op8_repeated_bytes, op9_byte_bpe, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
