@@ -246,13 +246,25 @@ def training_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", lim
     return rows.groupBy(F.xxhash64("text").alias("same"), "toxic").agg(F.first("text").alias("text")).select("text", "toxic")
 
 
-def score(docs: DataFrame, labels: DataFrame, keep: Iterable[str] = ("doc_id",), key: str = "doc_id") -> DataFrame:
-    """`keep` columns of every row of docs, score (0 to 1) and posterior (the label model's own).
+def score(
+    docs: DataFrame, labels: DataFrame, keep: Iterable[str] = ("doc_id",), key: str = "doc_id", score_as: str = "score"
+) -> DataFrame:
+    """`keep` columns of every row of docs, the score (0 to 1) and with it `posterior`, the label model's own.
 
-    labels (key, toxic): the rows labels may be learned from.
+    labels (key, toxic): the rows labels may be learned from. Under another name than score, the
+    posterior is left out. Column names of docs do not matter, but for the key and text.
     """
+    keep, extra = list(keep), ("score", "posterior") if score_as == "score" else (score_as,)
+    inner = [f"c{i}" for i in range(len(keep))]
+    plain = docs.select(*[docs[c].alias(i) for c, i in zip(keep, inner)], docs[key].alias("key"), docs["text"].alias("text"))
+    known = labels.select(labels[key].alias("key"), "toxic")
+    made = _score(plain, known, inner)
+    return made.select(*[F.col(i).alias(c) for c, i in zip(keep, inner)], *[F.col(s).alias(e) for s, e in zip(("score", "posterior"), extra)])
+
+
+def _score(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
-    sample = scratch.store(training_sample(docs, labels, key), "sample")
+    sample = scratch.store(training_sample(docs, labels, "key"), "sample")
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     found, features = mine(sample, toxic, clean)
@@ -261,7 +273,7 @@ def score(docs: DataFrame, labels: DataFrame, keep: Iterable[str] = ("doc_id",),
     voted = scratch.store(vote(docs, lexicons, features, keep), "votes")
     patterns = voted.groupBy("votes").count().collect()  # 2 ** count rows at most
     if not patterns:
-        return voted.drop("votes", "active").withColumns({"score": F.lit(0.0), "posterior": F.lit(0.0)})
+        return voted.select(*keep, F.lit(0.0).alias("score"), F.lit(0.0).alias("posterior"))
     trained = vote(sample, lexicons, features, ["toxic"]).collect() if toxic and clean else []  # SAMPLE_ROWS rows
 
     known = Counter((r["votes"], r["toxic"]) for r in trained)
