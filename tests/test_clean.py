@@ -8,7 +8,7 @@ import pytest
 import fixtures
 from tidestock.operators.audit import audit_constraints
 from tidestock.plans import clean as cl
-from tidestock.schemas import CLEAN_SCHEMAS
+from tidestock.schemas import CLEAN_SCHEMAS, RAW_SCHEMAS
 
 
 @pytest.fixture(scope="module")
@@ -107,3 +107,39 @@ def test_inventory(clean):
 
 def test_clean_layer_keeps_its_promises(clean):
     assert audit_constraints(clean).filter("violations > 0").count() == 0
+
+
+def _raw(spark, name, *lines):
+    schema = RAW_SCHEMAS[name]
+    data = [(*line, i) for i, line in enumerate(lines)]
+    return spark.createDataFrame(data, ", ".join(f"{c} string" for c in schema.names) + ", _ingest_seq int")
+
+
+def test_rows_that_lose_a_required_figure_are_rejected(spark):
+    sku = lambda k, cost: (k, "Valve", "Pipes", cost, "5", "S", "1", "", "1", "1", "BUDGET", "Y")
+    raw = _raw(spark, "dim_sku_raw", sku("A1", "10"), sku("a-1", "abc"), sku("B", "123456789012"), sku("C", "0"), sku("D", "2.345"))
+    assert {r.sku_id: float(r.unit_cost) for r in cl.clean_skus(raw).collect()} == {"A1": 10.0, "D": 2.35}
+    assert sorted((r.table_name, r.column_name, r.key) for r in cl.clean_skus(raw, rejects=True).collect()) == [
+        ("dim_sku", "unit_cost", k) for k in ("A1", "B", "C")]
+
+    skus = cl.clean_skus(raw)
+    places = _raw(spark, "dim_location_raw", ("L", "n", "c", "s", "DC", "r", "1", "1"))
+    places = cl.clean_locations(places)
+    order = lambda k, day, qty, price: (k, day, "C", "A1", "L", qty, price, "OK", "web", "")
+    orders = _raw(spark, "fact_sales_orders_raw", order("1", "2024-01-01", "1", "5"), order("1", "soon", "9", "5"), order("2", "2024-01-01", "0.4", "5"),
+                  order("3", "2024-01-01", "2", "123456789012"), order("4", "", "2", "5"))
+    kept = cl.clean_orders(orders, raw, skus, places).collect()
+    assert [(r.order_id, r.qty_ordered) for r in kept] == [("1", 1)]
+    lost = cl.clean_orders(orders, raw, skus, places, rejects=True).collect()
+    assert sorted((r.column_name, r.key) for r in lost) == [("order_date", "1"), ("order_date", "4"), ("price_per_unit", "3"), ("qty_ordered", "2")]
+
+    snap = lambda day, qty: ("S", day, "L", "A1", qty, "", "", "", "", "")
+    stock = _raw(spark, "fact_inventory_snapshot_raw", snap("2024-01-01", "1"), snap("bad", "2"), snap("worse", "3"), snap("", "4"))
+    assert [r.on_hand_qty for r in cl.clean_inventory(stock, places, skus).collect()] == [1]
+    assert cl.clean_inventory(stock, places, skus, rejects=True).count() == 2
+
+
+def test_the_last_policy_of_a_segment_wins(spark):
+    line = lambda segment, fill, z: (segment, fill, "98", "2", z, "1", "7", "0.25", "85", "n")
+    raw = _raw(spark, "dim_service_policy_raw", line("premium", "99", "2.0"), line(" PREMIUM", "98", "2.5"), line("PREMIUM", "bad", "3"))
+    assert [(r.customer_segment, float(r.z_score)) for r in cl.clean_policy(raw).collect()] == [("PREMIUM", 2.5)]

@@ -109,24 +109,34 @@ def test_impute_by_group(rows):
     assert got == {1: 33, 2: 20, 3: 27, 4: 27, 5: 7, 6: 7}
 
 
-@pytest.mark.parametrize("domain", [None, ["T", "R"]])
-def test_winsorize_impute(rows, domain):
+def test_winsorize_impute(rows):
     plain = [("T", f"{v}.00") for v in range(1, 101)]
     df = rows("m string, v string", *plain, ("T", "99000.00"), ("T", None), ("T", "n/a"), ("R", "5.005"), ("R", ""), (None, "7.00"), (None, ""))
     cap = brute([Decimal(v) for v in range(1, 101)] + [Decimal(99000)], 0.99)
     values = [min(Decimal(v), cap) for v in list(range(1, 101)) + [99000]]
     mean = round(sum(values) / len(values), 2)
-    got = impute.winsorize_impute(df, "v", "m", domain=domain).collect()
+    got = impute.winsorize_impute(df, "v", "m").collect()
     trucks = [r.v for r in got if r.m == "T"]
     assert max(trucks) == round(cap, 2) and trucks.count(mean) >= 2 and len(trucks) == 103
     assert sorted(r.v for r in got if r.m == "R") == [Decimal("5.01"), Decimal("5.01")]
     assert sorted((r.v for r in got if r.m is None), key=str) == [Decimal("7.00"), None]
 
 
+def test_every_group_and_every_length_takes_part(rows):
+    long = "2" + "0" * 14
+    df = rows("m string, v string", ("SEA", "1"), ("SEA", long), ("AIR", "9"), ("AIR", "7" * 23), ("X", "8" * 60), ("X", "4"))
+    got = {r.m: r for r in impute.winsor_stats(df, "v", "m").collect()}
+    assert got["SEA"].cap == 1 + (Decimal(long) - 1) * Decimal("0.99")
+    assert got["SEA"].capped_mean == (1 + got["SEA"].cap) / 2
+    assert got["AIR"].cap > Decimal("7" * 22) and got["X"].cap == 4
+    fixed = impute.winsorize_impute(df, "v", "m").collect()
+    assert {r.v for r in fixed if r.m == "SEA"} == {Decimal(1), None}
+
+
 def test_winsor_stats_scan_the_rows_once(spark, tmp_path):
     path = str(tmp_path / "v")
     spark.range(1000).select(F.lit("T").alias("m"), F.col("id").cast("string").alias("v")).write.parquet(path)
-    df = impute.winsor_stats(spark.read.parquet(path), "v", "m", domain=["T"])
+    df = impute.winsor_stats(spark.read.parquet(path), "v", "m")
     df.collect()
     final = plan_of(df).split("Initial Plan")[0]
     assert final.count("FileScan") == 1

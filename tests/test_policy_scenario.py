@@ -1,3 +1,5 @@
+from datetime import date
+
 import hashlib
 import math
 
@@ -62,8 +64,21 @@ def test_lead_times(rows):
     drawn = pol.assign_lead_time(flow).collect()
     assert len(drawn) == 2 and all(3 <= r.avg_lead_time <= 9 for r in drawn)
     assert {(r.sku_id, r.location_id, r.avg_lead_time) for r in drawn} == {(r.sku_id, r.location_id, r.avg_lead_time) for r in pol.assign_lead_time(flow).collect()}
-    lane = {r.location_id: r.avg_lead_time for r in pol.assign_lead_time(flow, mode="lane").collect()}
-    assert lane["X"] == 5.0 and 3 <= lane["Y"] <= 9
+    # One shipment of ten days and nine of two, repeated in the flow by a second contract price.
+    shipments = rows("sku_id string, to_location string, delivery_date date, ship_date date",
+                     *[("A", "X", date(2024, 1, 11) if k == 0 else date(2024, 1, 3), date(2024, 1, 1)) for k in range(10)],
+                     ("A", "Y", None, date(2024, 1, 1)), ("A", "X", None, date(2024, 1, 1)))
+    lane = {r.location_id: r.avg_lead_time for r in pol.assign_lead_time(flow, mode="lane", shipments=shipments).collect()}
+    assert lane["X"] == 2.8 and 3 <= lane["Y"] <= 9
+    with pytest.raises(ValueError):
+        pol.assign_lead_time(flow, mode="lane")
+
+
+def test_segments_draw_apart(rows):
+    demand = rows("sku_id string, location_id string, customer_segment string, avg_demand_per_day double, std_demand_per_day double",
+                  ("A", "X", "PREMIUM", 100.0, 40.0), ("A", "X", "BUDGET", 100.0, 40.0))
+    got = pol.simulate_policy(demand, rows("sku_id string, location_id string, avg_lead_time double", ("A", "X", 5.0)), sims=50).collect()
+    assert len(got) == 2 and got[0].reorder_point != got[1].reorder_point
 
 
 POLICY = [("A", "X", "193.0", "57.9", "3", "746.44", "167.44"), ("A", "Y", "12.125", "3.6375", "8", "120", "22.02"),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +12,8 @@ from .quantiles import percentiles_from_counts, value_counts
 
 def group_mean_int(df: DataFrame, col: str, group: str) -> DataFrame:
     """Rounded mean of the readable values per group: (group, group_mean)."""
-    readable = df.filter(is_numeric(col)).select(group, to_dec(col, 18, 6).alias("_v"))
-    mean = ratio(F.sum("_v"), F.count("_v"), 0).cast("int")
+    readable = df.filter(is_numeric(col)).select(group, to_dec(col, 32, 6).alias("_v"))
+    mean = ratio(F.sum("_v"), F.count("_v"), 0).try_cast("int")
     return readable.groupBy(group).agg(mean.alias("group_mean"))
 
 
@@ -26,27 +24,24 @@ def impute_by_group(df: DataFrame, col: str, group: str, fallback: int) -> DataF
     return df.join(means, group, "left").withColumn(col, filled).drop("group_mean")
 
 
-def winsor_stats(
-    df: DataFrame, col: str, group: str, p: float = 0.99, domain: Sequence[str] | None = None
-) -> DataFrame:
-    """Per group the cap (percentile `p`) and the mean of the values after capping.
+def winsor_stats(df: DataFrame, col: str, group: str, p: float = 0.99) -> DataFrame:
+    """Per group that occurs, the cap (percentile `p`) and the mean of the values after capping.
 
-    Both come from the same (group, value) counts, so the rows are read once.
-    `domain` limits the groups to a fixed list, which bounds the result.
+    Both come from the same (group, value) counts, so the rows are read once. Numbers of
+    up to 24 digits before the point take part; Spark's decimals hold no more together
+    with the interpolation.
     """
     rows = df.filter(F.col(group).isNotNull() & is_numeric(col))
-    if domain is not None:
-        rows = rows.filter(F.col(group).isin(*domain))
-    counts = value_counts(rows, [group], to_dec(col, 20, 6))
-    caps = percentiles_from_counts(counts, [group], {"cap": p}, few_groups=domain is not None)
-    caps = caps.select(F.col(group).alias("_group"), F.col("cap").cast("decimal(24,8)").alias("cap"))
-    side = F.broadcast(caps) if domain is not None else caps
-    capped = F.least(F.col("_v").cast("decimal(24,8)"), F.col("cap"))
-    total = F.sum(capped * F.col("_c").cast("decimal(13,0)")).cast("decimal(30,8)")
-    mean = total / F.sum("_c").cast("decimal(13,0)")
+    counts = value_counts(rows, [group], to_dec(col, 30, 6))
+    caps = percentiles_from_counts(counts, [group], {"cap": p})
+    caps = caps.select(F.col(group).alias("_group"), F.col("cap").cast("decimal(32,6)").alias("cap"))
+    capped = F.least(F.col("_v").cast("decimal(32,6)"), F.col("cap"))
+    # A sum too long for a decimal leaves the mean unknown instead of ending the job.
+    total = F.try_sum(F.try_multiply(capped, F.col("_c").cast("decimal(13,0)"))).try_cast("decimal(32,6)")
+    mean = F.try_divide(total, F.sum("_c").cast("decimal(13,0)"))
     # Null-safe for the reason given in percentiles_from_counts.
-    return counts.join(side, F.col(group).eqNullSafe(F.col("_group"))).groupBy(group).agg(
-        F.max("cap").alias("cap"), mean.cast("decimal(28,12)").alias("capped_mean")
+    return counts.join(caps, F.col(group).eqNullSafe(F.col("_group"))).groupBy(group).agg(
+        F.max("cap").alias("cap"), mean.try_cast("decimal(38,12)").alias("capped_mean")
     )
 
 
@@ -58,7 +53,7 @@ def winsorize(value: Column | str, cap: Column, mean: Column) -> Column:
         F.when(is_missing(text) | number.isNull(), mean)
         .when(number > cap, cap)
         .otherwise(number)
-        .cast("decimal(10,2)")
+        .try_cast("decimal(10,2)")
     )
 
 
@@ -67,7 +62,6 @@ def winsorize_impute(
     col: str,
     group: str,
     p: float = 0.99,
-    domain: Sequence[str] | None = None,
     stats_from: DataFrame | None = None,
 ) -> DataFrame:
     """Cap `col` at the group percentile and fill gaps with the post-cap group mean.
@@ -75,7 +69,6 @@ def winsorize_impute(
     Rows of an unknown group keep their own number, or stay NULL. `stats_from`
     supplies the rows the statistics are taken from where they differ from `df`.
     """
-    stats = winsor_stats(df if stats_from is None else stats_from, col, group, p, domain)
-    side = F.broadcast(stats) if domain is not None else stats
+    stats = winsor_stats(df if stats_from is None else stats_from, col, group, p)
     out = winsorize(col, F.col("cap"), F.col("capped_mean"))
-    return df.join(side, group, "left").withColumn(col, out).drop("cap", "capped_mean")
+    return df.join(stats, group, "left").withColumn(col, out).drop("cap", "capped_mean")

@@ -1,34 +1,68 @@
-"""Raw text tables to the typed clean layer, one function per table."""
+"""Raw text tables to the typed clean layer, one function per table.
+
+A row whose required figure does not read, does not fit its type or breaks its rule
+(`READABLE`) is rejected before the last transmission is picked, so it hides no good
+row. With `rejects=True` a function returns these rows, each with the column at fault.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import floor_zero, null_if_before, pct_to_fraction, transit_days
 from ..functions.text import (
     ECHELON_BY_TYPE, FLAG_TRUTHY, LOCATION_TYPES, MODE_BY_CARRIER, RANK_BY_SEGMENT, SEGMENTS,
-    TRANSPORT_MODES, blank_to_null, clean_enum, clean_text, is_missing, normalize_sku, remap,
+    blank_to_null, clean_enum, clean_text, is_missing, normalize_sku, remap,
     to_date, to_dec, to_flag, to_int,
 )
+from ..operators.audit import union_reports
 from ..operators.filters import exclude_status, require_in, require_key, require_positive
 from ..operators.impute import impute_by_group, winsor_stats, winsorize
 from ..operators.keys import keep_known, last_ingested, latest_per_key, null_if_orphan
-from ..schemas import CLEAN_SCHEMAS
+from ..schemas import CLEAN_SCHEMAS, CLEAN_TABLES
 
 # Fixed value: lead time in days when neither the product nor its category has one.
 DEFAULT_LEAD_TIME = 7
 
 
+# Columns per table whose loss rejects the row; their checks are those of the table.
+READABLE = {
+    "dim_sku": ("unit_cost",),
+    "dim_service_policy": ("target_fill_rate", "z_score", "penalty_stockout_per_unit"),
+    "dim_lane_cost": ("transit_days_mean", "cost_per_unit"),
+    "fact_sales_orders": ("order_date", "qty_ordered", "price_per_unit"),
+    "fact_inventory_snapshot": ("snapshot_date",),
+}
+
+
 def conform(df: DataFrame, table: str) -> DataFrame:
-    """Project to the clean layout; columns the raw data lacks become typed NULLs."""
+    """Project to the clean layout; columns the raw data lacks, and values that do not fit, become NULLs."""
     have = set(df.columns)
     return df.select(*[
-        (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+        (F.col(f.name) if f.name in have else F.lit(None).cast("string")).try_cast(f.dataType).alias(f.name)
         for f in CLEAN_SCHEMAS[table].fields
     ])
 
 
+def split_valid(rows: DataFrame, table: str, judged: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows that keep every judged column, the others as (table_name, column_name, key))."""
+    spec = CLEAN_TABLES[table]
+    typed = rows.withColumns({c: F.col(c).try_cast(spec.schema[c].dataType) for c in judged})
+    lost = [F.col(c).isNull() | (~F.expr(spec.checks[c]) if c in spec.checks else F.lit(False)) for c in judged]
+    fault = F.coalesce(*[F.when(test, F.lit(c)) for c, test in zip(judged, lost)])
+    keys = F.concat_ws("|", *[F.col(k).cast("string") for k in spec.key if k in rows.columns])
+    broken = typed.select(F.lit(table).alias("table_name"), fault.alias("column_name"), keys.alias("key"))
+    return typed.filter(fault.isNull()), broken.filter(F.col("column_name").isNotNull())
+
+
+def _finish(rows: DataFrame, table: str, rejects: bool, judged: Sequence[str] | None = None) -> DataFrame:
+    good, broken = split_valid(rows, table, READABLE[table] if judged is None else judged)
+    return broken if rejects else conform(last_ingested(good, CLEAN_TABLES[table].key), table)
+
+
 def _extra(raw: DataFrame, name: str) -> Column:
     """A column only some raw layouts carry."""
     return F.col(name) if name in raw.columns else F.lit(None).cast("string")
@@ -50,7 +84,7 @@ def clean_locations(raw: DataFrame) -> DataFrame:
     return conform(last_ingested(rows, ["location_id"]), "dim_location")
 
 
-def clean_skus(raw: DataFrame) -> DataFrame:
+def clean_skus(raw: DataFrame, rejects: bool = False) -> DataFrame:
     """Category means are taken over all raw rows, before keys or costs are checked."""
     rows = raw.withColumn("category", clean_enum("category"))
     rows = impute_by_group(rows, "lead_time_days", "category", DEFAULT_LEAD_TIME)
@@ -70,26 +104,28 @@ def clean_skus(raw: DataFrame) -> DataFrame:
         to_date(_extra(raw, "last_updated")).alias("last_updated"),
         "_ingest_seq",
     )
-    return conform(last_ingested(rows, ["sku_id"]), "dim_sku")
+    return _finish(rows, "dim_sku", rejects)
 
 
-def clean_policy(raw: DataFrame) -> DataFrame:
+def clean_policy(raw: DataFrame, rejects: bool = False) -> DataFrame:
+    """One row per segment: the last one sent."""
     rows = require_in(raw, "segment", SEGMENTS).select(
         clean_enum("segment").alias("customer_segment"),
         pct_to_fraction(to_dec("target_fill_rate_pct")).alias("target_fill_rate"),
         to_dec("safety_stock_multiplier").alias("z_score"),
         to_dec("stockout_penalty_per_unit").alias("penalty_stockout_per_unit"),
-        remap("segment", RANK_BY_SEGMENT).alias("priority_rank"),
+        F.coalesce(to_int(_extra(raw, "priority_rank")), remap("segment", RANK_BY_SEGMENT)).alias("priority_rank"),
         to_int("max_lead_time_days").alias("max_backorder_days"),
         to_int(_extra(raw, "expedite_threshold")).alias("expedite_threshold"),
         to_int("review_period_days").alias("review_period_days"),
         to_dec("carrying_cost_rate_annual").alias("holding_cost_rate"),
         to_int(_extra(raw, "min_order_qty")).alias("min_order_qty"),
+        "_ingest_seq",
     )
-    return conform(rows, "dim_service_policy")
+    return _finish(rows, "dim_service_policy", rejects)
 
 
-def clean_lanes(raw: DataFrame, locations: DataFrame) -> DataFrame:
+def clean_lanes(raw: DataFrame, locations: DataFrame, rejects: bool = False) -> DataFrame:
     """Lanes between known locations; a layout that states the mode itself is taken at its word."""
     if "transport_mode" in raw.columns:
         named, mode = raw, clean_enum("transport_mode")
@@ -109,7 +145,7 @@ def clean_lanes(raw: DataFrame, locations: DataFrame) -> DataFrame:
     )
     rows = keep_known(rows, "from_location", locations, "location_id")
     rows = keep_known(rows, "to_location", locations, "location_id")
-    return conform(last_ingested(rows, ["lane_id"]), "dim_lane_cost")
+    return _finish(rows, "dim_lane_cost", rejects)
 
 
 def sku_segments(raw_skus: DataFrame) -> DataFrame:
@@ -126,6 +162,7 @@ def clean_orders(
     skus: DataFrame,
     locations: DataFrame,
     segment_source: str = "sku",
+    rejects: bool = False,
 ) -> DataFrame:
     """Valid demand lines, one per order id.
 
@@ -159,7 +196,8 @@ def clean_orders(
         rows = rows.join(catalogue, "sku_id").withColumn("customer_segment", F.col("segment"))
     else:
         rows = keep_known(rows, "sku_id", skus, "sku_id")
-    return conform(last_ingested(rows, ["order_id"]), "fact_sales_orders")
+    # An order taken as sent must still have a day.
+    return _finish(rows, "fact_sales_orders", rejects, None if segment_source == "sku" else ("order_date",))
 
 
 def best_lane(lanes: DataFrame) -> DataFrame:
@@ -203,19 +241,25 @@ def on_time(status: str = "shipment_status") -> Column:
     return F.when(judged, actual <= F.col("transit_days_mean")).when(F.col(status) == "DELAYED", F.lit(False))
 
 
+def freight_stats(raw: DataFrame, lanes: DataFrame) -> DataFrame:
+    """Cap and mean of the freight per transport mode that the lanes give."""
+    return winsor_stats(prepare_shipments(raw, lanes), "freight_cost_usd", "transport_mode")
+
+
 def clean_shipments(
-    raw: DataFrame, lanes: DataFrame, locations: DataFrame, skus: DataFrame, orders: DataFrame
+    raw: DataFrame, lanes: DataFrame, locations: DataFrame, skus: DataFrame, orders: DataFrame,
+    stats: DataFrame | None = None,
 ) -> DataFrame:
     """One row per shipment id with repaired freight.
 
     Freight statistics see every prepared shipment, also those later dropped as
     duplicates or for unknown keys. They need only the lane ends and the freight
-    text, so that pass reads three columns.
+    text, so that pass reads three columns. `stats` takes them stored: their few rows
+    are then known to be few, and the join on the mode moves no shipment.
     """
     prepared = prepare_shipments(raw, lanes)
-    stats = F.broadcast(
-        winsor_stats(prepared, "freight_cost_usd", "transport_mode", domain=TRANSPORT_MODES)
-    )
+    if stats is None:
+        stats = winsor_stats(prepared, "freight_cost_usd", "transport_mode")
     rows = prepared.filter(F.col("qty_shipped") >= 0)
     rows = keep_known(rows, "from_location", locations, "location_id")
     rows = keep_known(rows, "to_location", locations, "location_id")
@@ -230,7 +274,7 @@ def clean_shipments(
     return conform(rows, "fact_shipments")
 
 
-def clean_inventory(raw: DataFrame, locations: DataFrame, skus: DataFrame) -> DataFrame:
+def clean_inventory(raw: DataFrame, locations: DataFrame, skus: DataFrame, rejects: bool = False) -> DataFrame:
     rows = require_key(raw, "snapshot_date").select(
         to_date("snapshot_date").alias("snapshot_date"),
         clean_text("location_id").alias("location_id"),
@@ -246,7 +290,20 @@ def clean_inventory(raw: DataFrame, locations: DataFrame, skus: DataFrame) -> Da
     )
     rows = keep_known(rows, "location_id", locations, "location_id")
     rows = keep_known(rows, "sku_id", skus, "sku_id")
-    return conform(last_ingested(rows, ["snapshot_date", "location_id", "sku_id"]), "fact_inventory_snapshot")
+    return _finish(rows, "fact_inventory_snapshot", rejects)
+
+
+def rejected_rows(raw: dict[str, DataFrame], clean: dict[str, DataFrame], segment_source: str = "sku") -> DataFrame:
+    """(table_name, column_name, key) of the rows that lost a required figure, over all tables."""
+    locations, skus = clean["dim_location"], clean["dim_sku"]
+    orders = raw["fact_sales_orders_raw"]
+    return union_reports(
+        clean_skus(raw["dim_sku_raw"], rejects=True),
+        clean_policy(raw["dim_service_policy_raw"], rejects=True),
+        clean_lanes(raw["dim_lane_cost_raw"], locations, rejects=True),
+        clean_orders(orders, raw["dim_sku_raw"], skus, locations, segment_source, rejects=True),
+        clean_inventory(raw["fact_inventory_snapshot_raw"], locations, skus, rejects=True),
+    )
 
 
 def clean_all(raw: dict[str, DataFrame], segment_source: str = "sku") -> dict[str, DataFrame]:

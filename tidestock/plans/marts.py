@@ -374,13 +374,16 @@ def mart_summary(marts: dict[str, DataFrame]) -> DataFrame:
     return row_counts(marts, label="mart_name").withColumn("purpose", purpose).orderBy("mart_name")
 
 
-def build_marts(raw: dict[str, DataFrame], clean: dict[str, DataFrame], min_obs: int = MIN_OBSERVATION_DAYS) -> dict[str, DataFrame]:
-    """All five marts from one raw and one clean layer."""
+def build_marts(
+    raw: dict[str, DataFrame], clean: dict[str, DataFrame], min_obs: int = MIN_OBSERVATION_DAYS,
+    demand: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """All five marts from one raw and one clean layer; `demand` takes the demand mart as stored."""
     from .quality import quality_issues
 
     locations, skus, policy = clean["dim_location"], clean["dim_sku"], clean["dim_service_policy"]
     orders, shipments = clean["fact_sales_orders"], clean["fact_shipments"]
-    demand = demand_stats(orders, skus, policy, min_obs)
+    demand = demand_stats(orders, skus, policy, min_obs) if demand is None else demand
     return {
         "mart_demand_stats": demand,
         "mart_inventory_position": inventory_position(

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.audit import row_counts
 from ..sources import tables as store
 from ..sources.csv import export_csv, read_raw_layer
+from ..sources.legacy import read_legacy_layer
 from . import clean as cl
-from .marts import MIN_OBSERVATION_DAYS, build_marts
+from .marts import MIN_OBSERVATION_DAYS, build_marts, demand_stats
 from .policy import assign_lead_time, simulate_policy
 from .scenario import scenario
 
@@ -25,15 +26,25 @@ def run_pipeline(
     min_obs: int = MIN_OBSERVATION_DAYS,
     sims: int = 2000,
     seed: int = 42,
+    segment_source: str = "sku",
+    lead_time: str = "hash",
+    tasks: int | None = None,
+    layout: str = "current",
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Run every stage and return the row count of each stored table."""
+    """Run every stage and return the row count of each stored table.
+
+    layout "earlier" reads the earlier extract layout; segment_source "order" takes orders
+    as sent; lead_time "lane" takes measured lead times; tasks spreads the simulation.
+    """
     raw_root, clean_root, mart_root = (f"{out_dir}/{layer}" for layer in ("raw", "clean", "marts"))
 
     def keep(writer, df: DataFrame, root: str, name: str) -> DataFrame:
         writer(df, root, name)
         return store.read_table(spark, root, name)
 
-    raw = {n: keep(store.overwrite_table, df, raw_root, n) for n, df in read_raw_layer(spark, raw_dir).items()}
+    scanned = read_legacy_layer(spark, raw_dir, multi_line) if layout == "earlier" else read_raw_layer(spark, raw_dir, multi_line=multi_line)
+    raw = {n: keep(store.overwrite_table, df, raw_root, n) for n, df in scanned.items()}
 
     def cleaned(name: str, df: DataFrame) -> DataFrame:
         return keep(store.write_clean, df, clean_root, name)
@@ -43,19 +54,29 @@ def run_pipeline(
     policy = cleaned("dim_service_policy", cl.clean_policy(raw["dim_service_policy_raw"]))
     lanes = cleaned("dim_lane_cost", cl.clean_lanes(raw["dim_lane_cost_raw"], loc))
     orders = cleaned(
-        "fact_sales_orders", cl.clean_orders(raw["fact_sales_orders_raw"], raw["dim_sku_raw"], sku, loc)
+        "fact_sales_orders",
+        cl.clean_orders(raw["fact_sales_orders_raw"], raw["dim_sku_raw"], sku, loc, segment_source),
     )
-    ships = cleaned("fact_shipments", cl.clean_shipments(raw["fact_shipments_raw"], lanes, loc, sku, orders))
+    freight = keep(store.overwrite_table, cl.freight_stats(raw["fact_shipments_raw"], lanes), clean_root, "freight_stats")
+    ships = cleaned("fact_shipments", cl.clean_shipments(raw["fact_shipments_raw"], lanes, loc, sku, orders, freight))
     stock = cleaned("fact_inventory_snapshot", cl.clean_inventory(raw["fact_inventory_snapshot_raw"], loc, sku))
     clean = {
         "dim_location": loc, "dim_sku": sku, "dim_service_policy": policy, "dim_lane_cost": lanes,
         "fact_sales_orders": orders, "fact_shipments": ships, "fact_inventory_snapshot": stock,
     }
 
-    marts = {n: keep(store.write_mart, df, mart_root, n) for n, df in build_marts(raw, clean, min_obs).items()}
-    lead = assign_lead_time(marts["mart_network_flow"], seed=seed)
-    simulated = simulate_policy(marts["mart_demand_stats"], lead, sims=sims, seed=seed)
+    rejected = keep(store.overwrite_table, cl.rejected_rows(raw, clean, segment_source), clean_root, "rejected_rows")
+
+    # The demand mart is read by the inventory mart and the simulation, so it is stored first.
+    demand = keep(store.write_mart, demand_stats(orders, sku, policy, min_obs), mart_root, "mart_demand_stats")
+    marts = {"mart_demand_stats": demand} | {
+        n: keep(store.write_mart, df, mart_root, n)
+        for n, df in build_marts(raw, clean, min_obs, demand).items() if n != "mart_demand_stats"
+    }
+    lead = assign_lead_time(marts["mart_network_flow"], mode=lead_time, seed=seed, shipments=ships)
+    simulated = simulate_policy(demand, lead, sims=sims, seed=seed, tasks=tasks)
     store.write_policy(simulated, mart_root)
     chosen = store.read_table(spark, mart_root, store.POLICY_TABLE)
     export_csv(scenario(chosen), f"{out_dir}/scenario")
-    return row_counts({**raw, **clean, **marts, store.POLICY_TABLE: chosen}).orderBy("table_name")
+    stored = {**raw, **clean, **marts, "rejected_rows": rejected, store.POLICY_TABLE: chosen}
+    return row_counts(stored).orderBy("table_name")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.inventory import floor_std
-from ..functions.numeric import half_even
+from ..functions.numeric import half_even, transit_days
 
 # Fixed values of the policy job.
 SIMULATIONS = 2000
@@ -38,11 +38,14 @@ def assign_lead_time(
     low: int = LEAD_TIME_LOW,
     high: int = LEAD_TIME_HIGH,
     seed: int = 42,
+    shipments: DataFrame | None = None,
 ) -> DataFrame:
     """A lead time per product and receiving location: (sku_id, location_id, avg_lead_time).
 
-    "hash" draws a repeatable whole number of days in [low, high]. "lane" takes the
-    mean of the measured transit times, and the drawn number where none was measured.
+    "hash" draws a repeatable whole number of days in [low, high]. "lane" takes the mean
+    of the measured transit times of `shipments` (clean), and the drawn number where none
+    was measured. The flow mart cannot give that mean: it repeats a flow per contract
+    price, and its own means cover only the shipments that were timed.
     """
     receiving = F.col("to_location").alias("location_id")
     digest = F.md5(F.concat_ws("|", "sku_id", "location_id", F.lit(str(seed))).cast("binary"))
@@ -50,10 +53,14 @@ def assign_lead_time(
     if mode == "hash":
         pairs = flow.select("sku_id", receiving).distinct()
         return pairs.select("sku_id", "location_id", drawn.alias("avg_lead_time"))
-    days, weight = F.col("avg_actual_lead_time_days"), F.col("num_shipments")
-    mean = F.sum(days * weight) / F.sum(F.when(days.isNotNull(), weight))
-    measured = flow.groupBy("sku_id", receiving).agg(mean.cast("double").alias("_mean"))
-    return measured.select("sku_id", "location_id", F.coalesce("_mean", drawn).alias("avg_lead_time"))
+    if shipments is None:
+        raise ValueError("measured lead times need the shipments")
+    timed = shipments.withColumn("_days", transit_days("delivery_date", "ship_date"))
+    measured = timed.groupBy("sku_id", receiving).agg(F.avg(F.col("_days").cast("double")).alias("_mean"))
+    pairs = flow.select("sku_id", receiving).distinct()
+    return pairs.join(measured, ["sku_id", "location_id"], "left").select(
+        "sku_id", "location_id", F.coalesce("_mean", drawn).alias("avg_lead_time")
+    )
 
 
 def _four_days(digest: Column) -> list[Column]:
@@ -105,7 +112,7 @@ def simulate_policy(
     blocks = F.sequence(F.lit(0), F.floor((days - 1) / DAYS_PER_DRAW).cast("int"))
 
     def digest(block: Column) -> Column:
-        parts = ["sku_id", "location_id", F.col("_sim").cast("string"), block.cast("string"), F.lit(str(seed))]
+        parts = [*keys, F.col("_sim").cast("string"), block.cast("string"), F.lit(str(seed))]
         return F.md5(F.concat_ws("|", *parts).cast("binary"))
 
     # The digest is produced by the explode, so its four words share one evaluation.

@@ -121,7 +121,7 @@ def freight_outliers(shipments: DataFrame, p: float = 0.99) -> DataFrame:
 
 
 def _freight() -> Column:
-    return F.when(is_numeric("freight_cost_usd"), to_dec("freight_cost_usd", 20, 6))
+    return F.when(is_numeric("freight_cost_usd"), to_dec("freight_cost_usd", 30, 6))
 
 
 def quality_summary(raw: dict[str, DataFrame]) -> DataFrame:

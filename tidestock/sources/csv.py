@@ -1,8 +1,13 @@
-"""CSV extracts in, scenario tables out."""
+"""CSV extracts in, scenario tables out.
+
+Quotes are doubled inside quoted fields and a backslash is an ordinary character, on
+reading and on writing. A row with too few or too many fields stops the read, as does
+a header that does not match.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,38 +15,59 @@ from ..plans.scenario import coerce_numeric
 from ..schemas import POLICY_SCHEMA, RAW_FILES, RAW_SCHEMAS
 
 
-def read_raw(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
-    """All-text scan of one extract with its load order in `_ingest_seq`.
-
-    A header that does not match `schema` raises instead of shifting columns. Empty
-    fields read as NULL. The sequence orders rows by file name, block and position in
-    the block, so splitting a large file over tasks keeps its order.
-    """
-    rows = (
+def _scan(spark: SparkSession, path: str | list[str], schema: T.StructType, multi_line: bool) -> DataFrame:
+    """All fields of a row are parsed, whatever a query selects, so that every row is checked whole."""
+    return (
         spark.read.schema(schema)
         .option("header", True)
         .option("nullValue", "")
         .option("enforceSchema", False)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("mode", "FAILFAST")
+        .option("columnPruning", False)
+        .option("multiLine", multi_line)
         .csv(path)
     )
+
+
+def natural_order(path: Column) -> Column:
+    """Path text that sorts numbers by value, so part2 comes before part10."""
+    pieces = F.regexp_extract_all(path, F.lit(r"(\d+|\D+)"), F.lit(0))
+    padded = F.transform(
+        pieces, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, F.greatest(F.length(p), F.lit(40)), F.lit("0"))).otherwise(p)
+    )
+    return F.concat_ws("", padded)
+
+
+def read_raw(spark: SparkSession, path: str | list[str], schema: T.StructType, multi_line: bool = False) -> DataFrame:
+    """All-text scan of one extract with its load order in `_ingest_seq`.
+
+    A header that does not match `schema`, or a row with another number of fields, raises
+    instead of shifting columns. Empty fields read as NULL. Line breaks inside quotes need
+    `multi_line`, which keeps each file in one task; without it such a row raises too.
+    The sequence orders rows by file (numbers in names by value), block and position in
+    the block, so splitting a large file over tasks keeps its order.
+    """
     seq = F.struct(
-        F.col("_metadata.file_path").alias("file"),
+        natural_order(F.col("_metadata.file_path")).alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
     )
-    return rows.select("*", seq.alias("_ingest_seq"))
+    return _scan(spark, path, schema, multi_line).select("*", seq.alias("_ingest_seq"))
 
 
-def read_raw_layer(spark: SparkSession, raw_dir: str, schemas: dict[str, T.StructType] = RAW_SCHEMAS) -> dict[str, DataFrame]:
-    return {name: read_raw(spark, f"{raw_dir}/{RAW_FILES[name]}", schema) for name, schema in schemas.items()}
+def read_raw_layer(
+    spark: SparkSession, raw_dir: str, schemas: dict[str, T.StructType] = RAW_SCHEMAS, multi_line: bool = False
+) -> dict[str, DataFrame]:
+    return {name: read_raw(spark, f"{raw_dir}/{RAW_FILES[name]}", schema, multi_line) for name, schema in schemas.items()}
 
 
 def read_policy(spark: SparkSession, path: str) -> DataFrame:
     """Policy table from CSV; figures that do not read as numbers become 0."""
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in POLICY_SCHEMA.fields])
-    rows = spark.read.schema(text).option("header", True).option("enforceSchema", False).csv(path)
-    return coerce_numeric(rows)
+    return coerce_numeric(_scan(spark, path, text, multi_line=False))
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)

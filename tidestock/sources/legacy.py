@@ -56,5 +56,6 @@ def to_current(df: DataFrame, table: str) -> DataFrame:
     return rows
 
 
-def read_legacy_layer(spark: SparkSession, raw_dir: str) -> dict[str, DataFrame]:
-    return {name: to_current(df, name) for name, df in read_raw_layer(spark, raw_dir, LEGACY_RAW_SCHEMAS).items()}
+def read_legacy_layer(spark: SparkSession, raw_dir: str, multi_line: bool = False) -> dict[str, DataFrame]:
+    layer = read_raw_layer(spark, raw_dir, LEGACY_RAW_SCHEMAS, multi_line)
+    return {name: to_current(df, name) for name, df in layer.items()}

@@ -65,7 +65,8 @@ def sku_raw(src: Source) -> DataFrame:
         _sku(_div("p_partkey", 40) % 5, number).alias("sku_id"),
         F.col("p_name").alias("sku_name"),
         F.when(k % 3 == 0, F.concat(F.lit(" "), F.lower("p_type"))).otherwise(F.col("p_type")).alias("category"),
-        F.when(k % 50 == 7, "").otherwise(_money(_cents("p_retailprice"))).alias("unit_cost_usd"),
+        F.when(k % 50 == 7, "").when(k % 50 == 8, "abc").when(k % 50 == 9, "123456789012")
+        .otherwise(_money(_cents("p_retailprice"))).alias("unit_cost_usd"),
         F.when(k % 8 == 0, F.lit(None)).when(k % 8 == 1, "").when(k % 64 == 2, "n/a").otherwise(size)
         .alias("lead_time_days"),
         F.concat(F.lit("SUP"), F.lpad(_s(k % 25), 3, "0")).alias("supplier_id"),
@@ -100,22 +101,25 @@ def location_raw(src: Source) -> DataFrame:
 
 
 def policy_raw(src: Source) -> DataFrame:
-    """One row per customer class that occurs; the last class is not a known segment."""
-    kinds = src["customer"].select(_mod("c_custkey", 4).alias("k")).distinct()
-    k = F.col("k")
+    """A row per customer class and version that occur; the last class is no known segment, the last version wins.
+
+    The third version of a class states a fill rate that does not read and is rejected.
+    """
+    kinds = src["customer"].select(_mod("c_custkey", 4).alias("k"), (_div("c_custkey", 4) % 3).alias("v")).distinct()
+    k, v = F.col("k"), F.col("v")
     # Policy parameters per segment.
     return kinds.select(
         _pick(k, " premium", "Standard", "BUDGET ", "trial").alias("segment"),
-        _pick(k, "99.5", "97.0", "92.0", "50.0").alias("target_fill_rate_pct"),
+        F.when(v == 2, "high").otherwise(_pick(k, "99.5", "97.0", "92.0", "50.0")).alias("target_fill_rate_pct"),
         _pick(k, "98.0", "95.0", "90.0", "50.0").alias("target_cycle_service_lvl"),
         _pick(k, "2", "5", "10", "30").alias("max_lead_time_days"),
         _pick(k, "2.33", "1.65", "1.28", "0.5").alias("safety_stock_multiplier"),
-        _pick(k, "1", "7", "14", "30").alias("review_period_days"),
+        _s(_pick(k, "1", "7", "14", "30").cast("long") + 1 - v).alias("review_period_days"),
         _pick(k, "7", "21", "45", "60").alias("order_up_to_days"),
         _pick(k, "0.25", "0.2", "0.18", "0.1").alias("carrying_cost_rate_annual"),
         _pick(k, "85.0", "35.0", "12.0", "1.0").alias("stockout_penalty_per_unit"),
         F.lit(None).cast("string").alias("notes"),
-        k.alias("_ingest_seq"),
+        (v * 4 + k).alias("_ingest_seq"),
     )
 
 
@@ -128,7 +132,7 @@ def lane_raw(src: Source) -> DataFrame:
         F.concat(_loc(s), F.lit(" ")).alias("origin_location_id"),
         _loc(d).alias("dest_location_id"),
         _s((s * 97 + d * 31) % 2500 + 50).alias("distance_miles"),
-        _s((s + d + second) % 4 + 1).alias("transit_days"),
+        F.when(k % 31 == 5, "fast").otherwise(_s((s + d + second) % 4 + 1)).alias("transit_days"),
         F.concat(_s((s * 7 + d * 3 + second * 11) % 20 + 1), F.lit("."), F.lpad(_s(k % 10000), 4, "0"))
         .alias("cost_per_unit_usd"),
         F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("0."), F.lpad(_s(k % 1000), 3, "0"))).alias("cost_per_lb_usd"),
@@ -169,13 +173,13 @@ def order_raw(src: Source) -> DataFrame:
     price = F.floor((cents * 2 + qty) / (qty * 2)).cast("long")
     return _lines(src).select(
         F.when(_mod("l_partkey", 17) == 0, F.concat(F.lit(" "), _order_key())).otherwise(_order_key()).alias("order_id"),
-        _s(F.col("o_orderdate").cast("date")).alias("order_date"),
+        F.when(_mod("l_partkey", 59) == 0, "soon").otherwise(_s(F.col("o_orderdate").cast("date"))).alias("order_date"),
         F.concat(F.lit("C"), _s("c_custkey")).alias("customer_id"),
         _sku(_mod("l_suppkey", 5), _mod("l_partkey", 42)).alias("sku_id"),
         _loc(F.col("c_nationkey")).alias("location_id"),
-        F.when(_mod("l_suppkey", 29) == 0, "0").when(_mod("l_partkey", 53) == 0, "").otherwise(_s("l_quantity"))
-        .alias("quantity"),
-        _money(price).alias("unit_price_usd"),
+        F.when(_mod("l_suppkey", 29) == 0, "0").when(_mod("l_partkey", 53) == 0, "")
+        .when(_mod("l_partkey", 61) == 0, "0.4").otherwise(_s("l_quantity")).alias("quantity"),
+        F.when(_mod("l_partkey", 67) == 0, "123456789012.00").otherwise(_money(price)).alias("unit_price_usd"),
         F.when((F.col("l_returnflag") == "R") & (F.col("o_orderstatus") == "O"), " cancelled")
         .when((F.col("l_returnflag") == "N") & (F.col("o_orderstatus") == "F"), F.lit(None))
         .otherwise("SHIPPED").alias("order_status"),
@@ -202,6 +206,7 @@ def shipment_raw(src: Source) -> DataFrame:
         F.when(_mod("l_partkey", 19) == 0, "")
         .otherwise(_s(F.date_add(ship, (_mod("l_partkey", 9) - 1).cast("int")))).alias("arrival_date"),
         F.when(_mod("l_partkey", 13) == 0, F.lit(None)).when(_mod("l_partkey", 101) == 0, "N/A")
+        .when(_mod("l_orderkey", 307) == 0, "200000000000000")
         .when(_mod("l_orderkey", 211) == 0, _money(freight * 100)).otherwise(_money(freight))
         .alias("freight_cost_usd"),
         F.concat(F.lit("CR"), _s(_mod("l_suppkey", 7))).alias("carrier"),
@@ -217,7 +222,7 @@ def snapshot_raw(src: Source) -> DataFrame:
     on_hand = F.floor("value").cast("long") - 20
     return src["events"].select(
         F.concat(F.lit("SNAP-"), _s(k)).alias("snapshot_id"),
-        F.when(k % 211 == 0, "").otherwise(_s(F.col("ts").cast("date"))).alias("snapshot_date"),
+        F.when(k % 211 == 0, "").when(k % 223 == 0, "yesterday").otherwise(_s(F.col("ts").cast("date"))).alias("snapshot_date"),
         _loc(_mod("user_id", 25)).alias("location_id"),
         _sku(k % 5, _div("event_id", 3) % 42).alias("sku_id"),
         F.when(k % 37 == 0, F.lit(None)).otherwise(_s(on_hand)).alias("on_hand_qty"),
@@ -246,10 +251,10 @@ class RawLayer(dict):
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         super().__init__()
-        self._source = Source(spark, sf_dir)
+        self.given = Source(spark, sf_dir)
 
     def __missing__(self, name: str) -> DataFrame:
-        self[name] = RAW_TABLES[name](self._source)
+        self[name] = RAW_TABLES[name](self.given)
         return self[name]
 
     def load_all(self) -> RawLayer:

@@ -56,6 +56,7 @@ ORDER_KEY = "l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR"
 LINE_SEQ = "{'a': l_shipdate, 'b': l_partkey, 'c': l_suppkey, 'd': l_quantity, 'e': l_extendedprice}"
 LINES = "lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"
 PRICE = "((round(l_extendedprice * 100)::BIGINT * 2 + l_quantity::BIGINT) // (l_quantity::BIGINT * 2))"
+LONGEST_PRICE = 9_999_999_999
 FREIGHT = "(round(l_extendedprice * 100)::BIGINT * 3 // 100)"
 
 
@@ -68,7 +69,8 @@ CTES: dict[str, str] = {}
 CTES["sku_raw"] = f"""
 SELECT {spelled('p_partkey // 40 % 5', 'p_partkey % 40')} AS sku_id, p_name AS sku_name,
   CASE WHEN p_partkey % 3 = 0 THEN ' ' || lower(p_type) ELSE p_type END AS category,
-  CASE WHEN p_partkey % 50 <> 7 THEN {money('round(p_retailprice * 100)::BIGINT')} ELSE '' END AS unit_cost_usd,
+  CASE p_partkey % 50 WHEN 7 THEN '' WHEN 8 THEN 'abc' WHEN 9 THEN '123456789012'
+    ELSE {money('round(p_retailprice * 100)::BIGINT')} END AS unit_cost_usd,
   CASE WHEN p_partkey % 8 = 0 THEN NULL WHEN p_partkey % 8 = 1 THEN '' WHEN p_partkey % 64 = 2 THEN 'n/a'
     ELSE p_size::VARCHAR || '.0' END AS lead_time_days,
   'SUP' || lpad((p_partkey % 25)::VARCHAR, 3, '0') AS supplier_id,
@@ -90,27 +92,29 @@ FROM (SELECT *, CASE WHEN n_nationkey < 6 THEN 'DC' WHEN n_nationkey < 16 THEN '
       FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
 CTES["policy_raw"] = """
-SELECT [' premium', 'Standard', 'BUDGET ', 'trial'][k + 1] AS segment,
-  [99.5, 97.0, 92.0, 50.0][k + 1]::DOUBLE AS fill_pct, [2, 5, 10, 30][k + 1] AS backorder_days,
-  [2.33, 1.65, 1.28, 0.5][k + 1]::DOUBLE AS z, [1, 7, 14, 30][k + 1] AS review_days,
+SELECT k, v, [' premium', 'Standard', 'BUDGET ', 'trial'][k + 1] AS segment,
+  CASE WHEN v < 2 THEN [99.5, 97.0, 92.0, 50.0][k + 1]::DOUBLE END AS fill_pct, [2, 5, 10, 30][k + 1] AS backorder_days,
+  [2.33, 1.65, 1.28, 0.5][k + 1]::DOUBLE AS z, [1, 7, 14, 30][k + 1] + 1 - v AS review_days,
   [0.25, 0.2, 0.18, 0.1][k + 1]::DOUBLE AS holding, [85, 35, 12, 1][k + 1] AS penalty
-FROM (SELECT DISTINCT c_custkey % 4 AS k FROM customer)"""
+FROM (SELECT DISTINCT c_custkey % 4 AS k, c_custkey // 4 % 3 AS v FROM customer)"""
 
 CTES["lane_raw"] = f"""
 SELECT 'LANE-' || s || '-' || c_nationkey || '-' || h AS lane_id,
   {loc('s')} || ' ' AS origin, {loc('c_nationkey')} AS dest,
-  (s * 97 + c_nationkey * 31) % 2500 + 50 AS distance_miles, (s + c_nationkey + h) % 4 + 1 AS transit_days,
+  (s * 97 + c_nationkey * 31) % 2500 + 50 AS distance_miles, CASE WHEN c_custkey % 31 <> 5 THEN (s + c_nationkey + h) % 4 + 1 END AS transit_days,
   ((s * 7 + c_nationkey * 3 + h * 11) % 20 + 1) * 10000 + c_custkey % 10000 AS unit_e4,
   CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 1000 END AS lb_e3,
   ['TL', 'ltl', 'Parcel', 'INTERMODAL', 'Air'][(s + c_nationkey + h) % 5 + 1] AS carrier_mode, c_custkey AS seq
 FROM (SELECT *, c_custkey % 25 AS s, c_custkey // 25 % 2 AS h FROM customer)"""
 
 CTES["order_raw"] = f"""
-SELECT CASE WHEN l_partkey % 17 = 0 THEN ' ' ELSE '' END || {ORDER_KEY} AS order_id, o_orderdate::DATE AS order_date,
+SELECT CASE WHEN l_partkey % 17 = 0 THEN ' ' ELSE '' END || {ORDER_KEY} AS order_id,
+  CASE WHEN l_partkey % 59 <> 0 THEN o_orderdate::DATE END AS order_date,
   'C' || c_custkey AS customer_id, {spelled('l_suppkey % 5', 'l_partkey % 42')} AS sku_id,
   {loc('c_nationkey')} AS location_id,
-  CASE WHEN l_suppkey % 29 = 0 THEN '0' WHEN l_partkey % 53 = 0 THEN '' ELSE l_quantity::VARCHAR END AS quantity,
-  {PRICE} AS price_cents,
+  CASE WHEN l_suppkey % 29 = 0 THEN '0' WHEN l_partkey % 53 = 0 THEN ''
+    WHEN l_partkey % 61 = 0 THEN '0.4' ELSE l_quantity::VARCHAR END AS quantity,
+  CASE WHEN l_partkey % 67 = 0 THEN 12345678901200 ELSE {PRICE} END AS price_cents,
   CASE WHEN l_returnflag = 'R' AND o_orderstatus = 'O' THEN ' cancelled'
     WHEN l_returnflag = 'N' AND o_orderstatus = 'F' THEN NULL ELSE 'SHIPPED' END AS order_status,
   o_orderpriority AS channel, {LINE_SEQ} AS seq
@@ -125,13 +129,14 @@ SELECT 'SH' || {ORDER_KEY} || '-' || l_suppkey % 3 AS shipment_id,
   l_shipdate::DATE AS ship_date,
   CASE WHEN l_partkey % 19 = 0 THEN NULL ELSE l_shipdate::DATE + (l_partkey % 9 - 1)::INTEGER END AS arrival_date,
   CASE WHEN l_partkey % 13 = 0 THEN NULL WHEN l_partkey % 101 = 0 THEN 'N/A'
+    WHEN l_orderkey % 307 = 0 THEN '200000000000000'
     WHEN l_orderkey % 211 = 0 THEN {money(FREIGHT + ' * 100')} ELSE {money(FREIGHT)} END AS freight,
   'CR' || l_suppkey % 7 AS carrier, CASE WHEN l_orderkey % 5 = 0 THEN 'delayed' ELSE 'DELIVERED' END AS status,
   {LINE_SEQ} AS seq
 FROM {LINES} JOIN supplier ON l_suppkey = s_suppkey"""
 
 CTES["snapshot_raw"] = f"""
-SELECT CASE WHEN event_id % 211 <> 0 THEN ts::DATE END AS snapshot_date, {loc('user_id % 25')} AS location_id,
+SELECT CASE WHEN event_id % 211 <> 0 AND event_id % 223 <> 0 THEN ts::DATE END AS snapshot_date, event_id % 211 <> 0 AS sent, {loc('user_id % 25')} AS location_id,
   {spelled('event_id % 5', 'event_id // 3 % 42')} AS sku_id,
   CASE WHEN event_id % 37 <> 0 THEN floor(value)::BIGINT - 20 END AS on_hand,
   CASE WHEN event_id % 13 <> 0 THEN event_id % 100 END AS on_order, event_id AS seq
@@ -153,19 +158,20 @@ SELECT {key('sku_id')} AS sku_id, sku_name AS description, category_mean.categor
   coalesce({whole('lead_time_days')}, group_mean, 7) AS lead_time_days,
   {whole('reorder_point')} AS reorder_point, upper(active) <> 'N' AS active
 FROM sku_raw LEFT JOIN category_mean ON upper(trim(sku_raw.category)) = category_mean.category
-WHERE unit_cost_usd <> '' {last(key('sku_id'))}"""
+WHERE {number('unit_cost_usd')} < 1e8 {last(key('sku_id'))}"""
 
 CTES["policy"] = """
 SELECT upper(trim(segment)) AS customer_segment, fill_pct / 100 AS target_fill_rate, z AS z_score, penalty,
   CASE upper(trim(segment)) WHEN 'PREMIUM' THEN 1 WHEN 'STANDARD' THEN 2 ELSE 3 END::BIGINT AS priority_rank,
   backorder_days::BIGINT AS max_backorder_days, review_days::BIGINT AS review_period_days, holding AS holding_cost_rate
-FROM policy_raw WHERE segment <> 'trial'"""
+FROM policy_raw WHERE segment <> 'trial' AND fill_pct IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY k ORDER BY v DESC) = 1"""
 
 CTES["lane"] = f"""
 SELECT lane_id, trim(origin) AS from_location, dest AS to_location,
   CASE upper(carrier_mode) WHEN 'INTERMODAL' THEN 'RAIL' ELSE 'TRUCK' END AS transport_mode,
   distance_miles, transit_days, unit_e4, lb_e3
-FROM lane_raw WHERE carrier_mode <> 'Air' AND trim(origin) IN (SELECT location_id FROM location)
+FROM lane_raw WHERE carrier_mode <> 'Air' AND transit_days IS NOT NULL AND trim(origin) IN (SELECT location_id FROM location)
   AND dest IN (SELECT location_id FROM location) {last('lane_id')}"""
 
 CTES["sku_segment"] = f"""
@@ -175,7 +181,8 @@ CTES["sales"] = f"""
 SELECT trim(order_id) AS order_id, order_date, sku_segment.sku_id, customer_id, location_id AS ship_to_location,
   segment AS customer_segment, {whole('quantity')} AS qty_ordered, price_cents, channel
 FROM order_raw JOIN sku_segment ON {key('order_raw.sku_id')} = sku_segment.sku_id
-WHERE order_status IS DISTINCT FROM ' cancelled' AND {number('quantity')} > 0 AND price_cents > 0
+WHERE order_status IS DISTINCT FROM ' cancelled' AND {whole('quantity')} > 0 AND price_cents BETWEEN 1 AND {LONGEST_PRICE}
+  AND order_date IS NOT NULL
   AND sku_segment.sku_id IN (SELECT sku_id FROM sku) AND location_id IN (SELECT location_id FROM location)
 {last('trim(order_id)')}"""
 
@@ -205,7 +212,7 @@ SELECT transport_mode, max(cap_e4) AS cap_e4, sum(least(fc * 100, cap_e4)) AS ca
 FROM freight_rank JOIN freight_cap USING (transport_mode) GROUP BY 1"""
 
 REPAIRED = f"""CASE WHEN fc IS NULL THEN {half_away('capped_sum', 'n * 100')}
-    WHEN fc * 100 > cap_e4 THEN {half_away('cap_e4', '100')} ELSE fc::DOUBLE END"""
+    WHEN fc * 100 > cap_e4 THEN {half_away('cap_e4', '100')} WHEN fc <= {LONGEST_PRICE} THEN fc::DOUBLE END"""
 
 CTES["shipment"] = f"""
 SELECT shipment_id, s.order_id, ship_date, delivery_date, origin AS from_location, s.to_location, sku AS sku_id, qty AS qty_shipped,
@@ -293,13 +300,35 @@ CTES["lead"] = """
 SELECT sku_id, location_id, (3 + ('0x' || substr(md5(sku_id || '|' || location_id || '|42'), 1, 8))::BIGINT % 7)::DOUBLE AS days
 FROM (SELECT DISTINCT sku_id, to_location AS location_id FROM flow)"""
 
+CTES["measured"] = """
+SELECT sku_id, location_id, coalesce(mean, days) AS days FROM lead LEFT JOIN (
+  SELECT sku_id, to_location AS location_id, avg((delivery_date - ship_date)::DOUBLE) AS mean FROM shipment GROUP BY ALL)
+USING (sku_id, location_id)"""
+
+CTES["rejected"] = f"""
+SELECT 'dim_sku' AS table_name, 'unit_cost' AS column_name, {key('sku_id')} AS key
+FROM sku_raw WHERE unit_cost_usd <> '' AND NOT coalesce({number('unit_cost_usd')} < 1e8, FALSE)
+UNION ALL SELECT 'dim_service_policy', 'target_fill_rate', upper(trim(segment)) FROM policy_raw WHERE segment <> 'trial' AND fill_pct IS NULL
+UNION ALL SELECT 'dim_lane_cost', 'transit_days_mean', lane_id
+FROM lane_raw WHERE carrier_mode <> 'Air' AND transit_days IS NULL AND trim(origin) IN (SELECT location_id FROM location)
+  AND dest IN (SELECT location_id FROM location)
+UNION ALL SELECT 'fact_sales_orders', CASE WHEN order_date IS NULL THEN 'order_date'
+    WHEN {whole('quantity')} <= 0 THEN 'qty_ordered' ELSE 'price_per_unit' END, trim(order_id)
+FROM order_raw JOIN sku_segment ON {key('order_raw.sku_id')} = sku_segment.sku_id
+WHERE order_status IS DISTINCT FROM ' cancelled' AND {number('quantity')} > 0 AND price_cents > 0
+  AND sku_segment.sku_id IN (SELECT sku_id FROM sku) AND location_id IN (SELECT location_id FROM location)
+  AND (order_date IS NULL OR {whole('quantity')} <= 0 OR price_cents > {LONGEST_PRICE})
+UNION ALL SELECT 'fact_inventory_snapshot', 'snapshot_date', concat_ws('|', snapshot_date::VARCHAR, location_id, {key('sku_id')})
+FROM snapshot_raw WHERE snapshot_date IS NULL AND sent AND location_id IN (SELECT location_id FROM location)
+  AND {key('sku_id')} IN (SELECT sku_id FROM sku)"""
+
 CTES["sim_base"] = """
 SELECT sku_id, location_id, customer_segment, avg_demand_per_day AS mean,
   greatest(std_demand_per_day, 0.3::DOUBLE * avg_demand_per_day) AS sd, days
 FROM demand JOIN lead USING (sku_id, location_id)"""
 
 CTES["sim_block"] = """
-SELECT *, md5(sku_id || '|' || location_id || '|' || sim || '|' || block || '|42') AS h
+SELECT *, md5(sku_id || '|' || location_id || '|' || customer_segment || '|' || sim || '|' || block || '|42') AS h
 FROM (SELECT *, unnest(range(0, (days::BIGINT - 1) // 4 + 1)) AS block
       FROM (SELECT *, unnest(range(1, 2001)) AS sim FROM sim_base))"""
 

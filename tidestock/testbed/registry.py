@@ -20,10 +20,11 @@ from ..plans import marts as m
 from ..plans import policy as pol
 from ..plans import quality as q
 from ..plans import scenario as sc
-from ..schemas import CLEAN_TABLES
+from ..schemas import CLEAN_TABLES, RAW_SCHEMAS
 from ..sources import tables as store
+from ..sources.csv import export_csv, read_raw
 from . import adapter
-from .oracle import PLAIN_NUMBER, REPAIRED, half_away, key, number, statement
+from .oracle import LONGEST_PRICE, PLAIN_NUMBER, REPAIRED, half_away, key, number, statement, whole
 
 
 def portable(df: DataFrame) -> DataFrame:
@@ -83,7 +84,7 @@ class Bed:
         if name == "fact_inventory_snapshot":
             return cl.clean_inventory(raw, self.locations, self.skus)
         orders = self._made.get("stored fact_sales_orders", None) or self.plan("fact_sales_orders")
-        return cl.clean_shipments(raw, self.lanes, self.locations, self.skus, orders)
+        return cl.clean_shipments(raw, self.lanes, self.locations, self.skus, orders, self.freight)
 
     @property
     def locations(self) -> DataFrame:
@@ -113,6 +114,15 @@ class Bed:
     def stock(self) -> DataFrame:
         return self.plan("fact_inventory_snapshot")
 
+    @property
+    def freight(self) -> DataFrame:
+        """Freight statistics, stored: a few rows of known size."""
+        def make() -> DataFrame:
+            self._root = self._root or store.stage_root(self.spark)
+            return store.stage(cl.freight_stats(self.raw["fact_shipments_raw"], self.lanes), self._root, "freight_stats")
+
+        return self._once("freight", make)
+
     @property
     def prepared(self) -> DataFrame:
         return self._once("prepared", lambda: cl.prepare_shipments(self.raw["fact_shipments_raw"], self.lanes))
@@ -133,6 +143,10 @@ class Bed:
     def simulated(self) -> DataFrame:
         return self._once("simulated", lambda: pol.simulate_policy(self.demand(), pol.assign_lead_time(self.flow)))
 
+    @property
+    def measured(self) -> DataFrame:
+        return self._once("measured", lambda: pol.assign_lead_time(self.flow, mode="lane", shipments=self.shipments))
+
     @property
     def what_if(self) -> DataFrame:
         return self._once("what_if", lambda: sc.scenario(self.simulated))
@@ -214,6 +228,34 @@ add(
     " FROM (SELECT substr(carrier, 3, 1)::BIGINT * 3 + 83 AS level FROM shipment_raw) GROUP BY ALL",
 )
 
+# --- sources ----------------------------------------------------------------------
+
+_HARD_TEXT = (
+    "'say \"' || p_name || '\", then ' || chr(92) || CASE WHEN p_partkey % 3 = 0 THEN chr(10) ELSE ',' END || p_type || chr(92)"
+)
+
+
+def _csv_round_trip(b: Bed) -> DataFrame:
+    """Names with quotes, commas, backslashes and line breaks, written as CSV and scanned again."""
+    schema = RAW_SCHEMAS["dim_location_raw"]
+    stop = F.when(F.col("p_partkey") % 3 == 0, "\n").otherwise(",")
+    hard = F.concat(F.lit('say "'), "p_name", F.lit('", then \\'), stop, "p_type", F.lit("\\"))
+    made = b.raw.given["part"].select(
+        F.col("p_partkey").cast("string").alias("location_id"), hard.alias("location_name"), F.lit(None).cast("string").alias("city"),
+        F.lit("").alias("state"), F.lit("DC").alias("location_type"), F.col("p_type").alias("region"),
+        F.col("p_size").cast("string").alias("capacity_units"), F.lit("1").alias("operating_cost_per_day"),
+    )
+    path = f"{store.stage_root(b.spark)}/csv"
+    export_csv(made, path)
+    return read_raw(b.spark, path, schema, multi_line=True).drop("_ingest_seq")
+
+
+add(
+    "csv_round_trip", _csv_round_trip,
+    f"SELECT p_partkey::VARCHAR AS location_id, {_HARD_TEXT} AS location_name, NULL::VARCHAR AS city, NULL::VARCHAR AS state,"
+    " 'DC' AS location_type, p_type AS region, p_size::VARCHAR AS capacity_units, '1' AS operating_cost_per_day FROM part",
+)
+
 # --- key and group operators ------------------------------------------------------
 
 add(
@@ -246,14 +288,13 @@ add(
 )
 add(
     "freight_stats",
-    lambda b: rounded(portable(winsor_stats(b.prepared, "freight_cost_usd", "transport_mode", domain=tx.TRANSPORT_MODES)),
-                      4, "capped_mean"),
+    lambda b: rounded(portable(winsor_stats(b.prepared, "freight_cost_usd", "transport_mode")), 4, "capped_mean"),
     f"SELECT transport_mode, cap_e4 / 10000.0::DOUBLE AS cap, {half_away('capped_sum', 'n * 10000', 4)} AS capped_mean"
     " FROM freight_stat",
 )
 add(
     "freight_winsorize",
-    lambda b: _counted(winsorize_impute(b.prepared, "freight_cost_usd", "transport_mode", domain=tx.TRANSPORT_MODES),
+    lambda b: _counted(winsorize_impute(b.prepared, "freight_cost_usd", "transport_mode"),
                        "transport_mode", "freight_cost_usd"),
     f"SELECT transport_mode, freight_cost_usd, count(*) AS n FROM (SELECT s.transport_mode, ({REPAIRED}) / 100.0 AS freight_cost_usd"
     " FROM ship_ready s LEFT JOIN freight_stat f ON s.transport_mode = f.transport_mode) GROUP BY ALL",
@@ -266,6 +307,9 @@ add("demand_keys", lambda b: k.distinct_keys(b.orders, "sku_id", "ship_to_locati
 
 # --- clean layer ------------------------------------------------------------------
 
+add("rejected_rows", lambda b: _counted(cl.rejected_rows(b.raw, {"dim_location": b.locations, "dim_sku": b.skus}),
+                                    "table_name", "column_name", "key"),
+    "SELECT *, count(*) AS n FROM rejected GROUP BY ALL")
 add("clean_locations", lambda b: b.plan("dim_location"),
     "SELECT *, NULL::DOUBLE AS storage_cost_per_unit FROM location")
 add("clean_skus", lambda b: b.plan("dim_sku"),
@@ -304,8 +348,8 @@ def _orders_as_sent(b: Bed) -> DataFrame:
 add(
     "clean_orders_as_sent", _orders_as_sent,
     f"SELECT trim(order_id) AS order_id, {key('sku_id')} AS sku_id, upper(trim({_FROM_CHANNEL})) AS customer_segment,"
-    f" round({number('quantity')})::BIGINT AS qty_ordered, price_cents / 100.0::DOUBLE AS price_per_unit, FALSE AS priority_flag"
-    f" FROM order_raw WHERE {key('sku_id')} IN (SELECT sku_id FROM sku)"
+    f" round({number('quantity')})::BIGINT AS qty_ordered, CASE WHEN price_cents <= {LONGEST_PRICE} THEN price_cents / 100.0::DOUBLE END"
+    f" AS price_per_unit, FALSE AS priority_flag FROM order_raw WHERE {key('sku_id')} IN (SELECT sku_id FROM sku) AND order_date IS NOT NULL"
     " QUALIFY row_number() OVER (PARTITION BY trim(order_id) ORDER BY seq DESC) = 1",
 )
 
@@ -422,7 +466,7 @@ add(
     lambda b: q.quality_summary(b.raw),
     " UNION ALL ".join([
         _summary_sql("dim_sku_raw", "PLM", "sku_raw", "sku_id", "count(*) FILTER (coalesce(lead_time_days, '') = '')",
-                     "count(*) FILTER (unit_cost_usd = '')",
+                     "count(*) FILTER (unit_cost_usd IN ('', 'abc'))",
                      "count(*) FILTER (sku_id <> upper(regexp_replace(sku_id, '[-_]', '', 'g')))", "count(DISTINCT sku_id)"),
         _summary_sql("dim_location_raw", "WMS", "location_raw", "location_id", _NO_CAPACITY, "0",
                      "count(*) FILTER (location_id LIKE 'DC-%')", f"count(*) - {_NO_CAPACITY}"),
@@ -519,26 +563,42 @@ def _audit_sql() -> str:
 add("constraint_keys", lambda b: audit_constraints(b.clean).filter(F.col("rule").isin("unique", "reference")), _audit_sql())
 
 def _raw_rules(b: Bed) -> DataFrame:
-    """The declared row rules against orders and shipments before cleaning, where they do break."""
+    """The declared rules against orders and shipments before cleaning, where they do break."""
     orders = b.raw["fact_sales_orders_raw"].select(
         tx.clean_text("order_id").alias("order_id"), tx.to_date("order_date").alias("order_date"),
         tx.normalize_sku("sku_id").alias("sku_id"), "customer_id", F.col("location_id").alias("ship_to_location"),
-        F.lit("RETAIL").alias("customer_segment"), tx.to_int("quantity").alias("qty_ordered"),
-        tx.to_dec("unit_price_usd", 10, 2).alias("price_per_unit"), "channel", F.lit(False).alias("priority_flag"))
-    return audit_constraints({"dim_location": b.locations, "dim_sku": b.skus, "fact_sales_orders": orders}).filter(
-        F.col("table_name") == "fact_sales_orders").filter("violations > 0")
+        tx.to_int("quantity").alias("qty_ordered"), tx.to_dec("unit_price_usd", 10, 2).alias("price_per_unit"), "channel",
+        F.lit(False).alias("priority_flag"))
+    orders = orders.join(cl.sku_segments(b.raw["dim_sku_raw"]).withColumnRenamed("segment", "customer_segment"), "sku_id", "left")
+    shipments = b.prepared.withColumns({
+        "freight_cost_usd": tx.to_dec("freight_cost_usd", 38, 2), "on_time_flag": cl.on_time(), "damage_flag": F.lit(None).cast("boolean")})
+    return audit_constraints(
+        {"dim_location": b.locations, "dim_sku": b.skus, "fact_sales_orders": orders, "fact_shipments": shipments}
+    ).filter(F.col("table_name").isin("fact_sales_orders", "fact_shipments")).filter("violations > 0")
 
 
+_KNOWN_ORDER = "IN (SELECT trim(order_id) FROM order_raw)"
 add(
     "constraint_audit", _raw_rules,
-    f"""SELECT 'fact_sales_orders' AS table_name, rule, column_name, violations FROM (
-  SELECT 'not_null' AS rule, 'qty_ordered' AS column_name, count(*) AS violations FROM order_raw WHERE quantity = ''
-  UNION ALL SELECT 'check', 'qty_ordered', count(*) FROM order_raw WHERE {number('quantity')} <= 0
-  UNION ALL SELECT 'check', 'customer_segment', count(*) FROM order_raw
-  UNION ALL SELECT 'unique', 'order_id', count(*) - count(DISTINCT trim(order_id)) FROM order_raw
-  UNION ALL SELECT 'reference', 'sku_id', count(*) FROM order_raw WHERE {key('sku_id')} NOT IN (SELECT sku_id FROM sku)
-  UNION ALL SELECT 'reference', 'ship_to_location', count(*) FROM order_raw
-    WHERE location_id NOT IN (SELECT location_id FROM location)) WHERE violations > 0""",
+    f"""SELECT * FROM (
+  SELECT 'fact_sales_orders' AS table_name, 'not_null' AS rule, 'qty_ordered' AS column_name, count(*) AS violations
+    FROM order_raw WHERE quantity = ''
+  UNION ALL SELECT 'fact_sales_orders', 'not_null', 'order_date', count(*) FROM order_raw WHERE order_date IS NULL
+  UNION ALL SELECT 'fact_sales_orders', 'not_null', 'price_per_unit', count(*) FROM order_raw WHERE price_cents > {LONGEST_PRICE}
+  UNION ALL SELECT 'fact_sales_orders', 'not_null', 'customer_segment', count(*) FROM order_raw
+    WHERE {key('sku_id')} NOT IN (SELECT sku_id FROM sku_segment)
+  UNION ALL SELECT 'fact_sales_orders', 'check', 'qty_ordered', count(*) FROM order_raw WHERE {whole('quantity')} <= 0
+  UNION ALL SELECT 'fact_sales_orders', 'unique', 'order_id', count(*) - count(DISTINCT trim(order_id)) FROM order_raw
+  UNION ALL SELECT 'fact_sales_orders', 'reference', 'sku_id', count(*) FROM order_raw WHERE {key('sku_id')} NOT IN (SELECT sku_id FROM sku)
+  UNION ALL SELECT 'fact_sales_orders', 'reference', 'ship_to_location', count(*) FROM order_raw
+    WHERE location_id NOT IN (SELECT location_id FROM location)
+  UNION ALL SELECT 'fact_shipments', 'check', 'qty_shipped', count(*) FROM ship_ready WHERE qty < 0
+  UNION ALL SELECT 'fact_shipments', 'unique', 'shipment_id', count(*) - count(DISTINCT shipment_id) FROM ship_ready
+  UNION ALL SELECT 'fact_shipments', 'reference', 'order_id', count(*) FROM ship_ready WHERE order_id <> '' AND order_id NOT {_KNOWN_ORDER}
+  UNION ALL SELECT 'fact_shipments', 'reference', 'sku_id', count(*) FROM ship_ready WHERE sku NOT IN (SELECT sku_id FROM sku)
+  UNION ALL SELECT 'fact_shipments', 'reference', 'from_location', count(*) FROM ship_ready WHERE origin NOT IN (SELECT location_id FROM location)
+  UNION ALL SELECT 'fact_shipments', 'reference', 'to_location', count(*) FROM ship_ready
+    WHERE to_location NOT IN (SELECT location_id FROM location)) WHERE violations > 0""",
 )
 
 
@@ -565,6 +625,8 @@ add(
 # --- policy and scenario ----------------------------------------------------------
 
 add("lead_times", lambda b: pol.assign_lead_time(b.flow), "SELECT sku_id, location_id, days AS avg_lead_time FROM lead")
+add("lead_times_lane", lambda b: rounded(b.measured, 6, "avg_lead_time"),
+    "SELECT sku_id, location_id, round(days, 6) AS avg_lead_time FROM measured")
 add("simulate_policy", lambda b: b.simulated, "SELECT * FROM simulated")
 _WHAT_IF = (
     "sku_id, location_id, avg_demand, std_demand, lead_time, safety_stock, calc_safety_stock, reorder_point,"
