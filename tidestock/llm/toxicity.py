@@ -9,8 +9,8 @@
    estimates each voter's accuracy in either class and the correlations of voters: a tree of the
    strongest dependencies (conditional mutual information) is part of the model, so that voters
    which repeat each other do not count twice. Known labels are one more voter, where there are any.
-4. Classifier: logistic regression on the words and stems that matter, trained on the posterior
-   labels of the sample's rows. Its probability is the score.
+4. Classifier: logistic regression on the words and stems that matter and on the votes, trained on the
+   posterior labels of the sample's rows. Its probability is the score.
 
 Labels are read from the rows given as `labels` only; ids, languages and sources are no features.
 
@@ -102,7 +102,10 @@ def voters(found: list[str]) -> list[frozenset[str]]:
 
 
 def vote(docs: DataFrame, lexicons: list[frozenset[str]], features: list[str], keep: Iterable[str]) -> DataFrame:
-    """`keep` columns, votes (a bit per voter; the last two are forms of writing) and active features."""
+    """`keep` columns, votes (a bit per voter; the last two are forms of writing) and active features.
+
+    Features are the given terms, then the votes themselves: a rare term speaks through its voter.
+    """
     place = {t: i for i, t in enumerate(features)}
     known = frozenset(place)
     voting = frozenset().union(*lexicons)
@@ -116,7 +119,8 @@ def vote(docs: DataFrame, lexicons: list[frozenset[str]], features: list[str], k
             bits = sum(1 << k for k, lexicon in enumerate(lexicons) if not lexicon.isdisjoint(said)) if said else 0
             bits |= bool(text and _shout(text)) << len(lexicons) | bool(text and _masked(text)) << len(lexicons) + 1
             votes.append(bits)
-            active.append(sorted(place[t] for t in seen & known))
+            fired = [len(place) + k for k in range(bits.bit_length()) if bits >> k & 1]
+            active.append(sorted(place[t] for t in seen & known) + fired)
         return columns | {"votes": votes, "active": active}
 
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
@@ -287,7 +291,7 @@ def _score(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
         from_votes = model.posterior(bits([r["votes"] for r in trained], count))
         # A known label is a voter of fixed accuracy beside the others.
         odds = np.log(from_votes / (1 - from_votes)).clip(-12, 12) + np.array([6.0 if r["toxic"] else -6.0 for r in trained])
-        weights = fit_linear([r["active"] for r in trained], 1 / (1 + np.exp(-odds)), len(features))
+        weights = fit_linear([r["active"] for r in trained], 1 / (1 + np.exp(-odds)), len(features) + count)
 
     def run(**columns):
         votes, active = columns.pop("votes"), columns.pop("active")
