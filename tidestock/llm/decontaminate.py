@@ -145,7 +145,7 @@ lengths AS (SELECT DISTINCT n FROM il),
 doc AS (SELECT DISTINCT doc_id, dw.text, n, unnest([array_to_string(w[i:i + n - 1], ' ') FOR i IN range(1, len(w) - n + 2)]) AS s
         FROM dw, lengths WHERE len(w) >= n),
 hit AS (SELECT doc_id, doc.text AS dt, item_id, item.text AS it, count(*) AS n_shared FROM doc JOIN item USING (s, n) GROUP BY ALL)
-SELECT doc_id, item_id, CAST(n_shingles AS INTEGER) AS n_shingles, n_shared, n_shared / n_shingles AS containment
+SELECT doc_id, hit.item_id, CAST(n_shingles AS INTEGER) AS n_shingles, n_shared, n_shared / n_shingles AS containment
 FROM hit JOIN size ON hit.item_id IS NOT DISTINCT FROM size.item_id AND hit.it = size.text
 WHERE n_shared >= 0.8 * n_shingles - 1e-9
 """
