@@ -6,6 +6,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from tidestock.session import build_session  # noqa: E402
+from tidestock.sources.tables import remove_stages  # noqa: E402
 
 TESTDATA = "/root/testdata/sf0.001"
 
@@ -18,6 +19,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    remove_stages(session)
     session.stop()
 
 

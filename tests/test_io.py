@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 import fixtures
@@ -120,6 +122,18 @@ def test_staged_tables_go_to_the_shared_folder(spark):
     assert staged.count() == 5 and "FileScan" in staged._jdf.queryExecution().executedPlan().toString()
 
 
+def test_staged_tables_can_be_removed(spark):
+    root = store.stage_root(spark)
+    store.stage(spark.range(5), root, "t")
+    before = set(store._roots[spark.sparkContext.applicationId])
+    folder = root.removeprefix("file:")
+    assert root in before and os.path.isdir(folder)
+    kept, store._roots[spark.sparkContext.applicationId] = before - {root}, [root]
+    store.remove_stages(spark)
+    assert not os.path.exists(folder) and spark.sparkContext.applicationId not in store._roots
+    store._roots[spark.sparkContext.applicationId] = list(kept)
+
+
 def test_earlier_layout_cleans_with_the_same_functions(spark, tmp_path):
     data = {
         "dim_location_raw": ["LOC-A,Alpha,DC,North,1,100,0.5,12.5", "LOC-C,Gamma,STORE,South,3,,,1"],

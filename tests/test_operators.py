@@ -97,12 +97,6 @@ def test_percentiles_of_nothing(spark):
     assert quantiles.spread_percentiles(empty, [], F.col("v"), {"p": 0.5}).collect()[0].p is None
 
 
-def test_group_percentiles(rows):
-    df = rows("g int, v int", (1, 1), (1, 2), (1, 10), (2, 5))
-    got = {r.g: r.percentiles for r in quantiles.group_percentiles(df, ["g"], "v", [0.5, 0.9]).collect()}
-    assert got[1] == pytest.approx(list(np.percentile([1, 2, 10], [50, 90]))) and got[2] == [5.0, 5.0]
-
-
 def test_impute_by_group(rows):
     df = rows("id int, c string, v string", (1, "x", "33.0"), (2, "x", "20"), (3, "x", None), (4, "x", "abc"), (5, "y", ""), (6, None, ""))
     got = {r.id: r.v for r in impute.impute_by_group(df, "v", "c", 7).collect()}

@@ -17,18 +17,13 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def safe_div(a: Column | str, b: Column | str) -> Column:
-    """a / b, NULL where b is 0."""
-    return _col(a) / F.nullif(_col(b), F.lit(0))
-
-
 def ratio(num: Column | str, den: Column | str, scale: int) -> Column:
     """Exact num / den rounded half away from zero; NULL where den is 0.
 
     The operands are typed so that the quotient keeps 12 decimals or more before
-    the one visible rounding.
+    the one visible rounding; a numerator too long for that gives NULL.
     """
-    n = _col(num).cast(T.DecimalType(24, 6))
+    n = _col(num).try_cast(T.DecimalType(24, 6))
     d = F.nullif(_col(den).cast(T.DecimalType(20, 4)), F.lit(0).cast(T.DecimalType(20, 4)))
     return F.round(n / d, scale)
 

@@ -100,8 +100,3 @@ def spread_percentiles(
     df: DataFrame, keys: Sequence[str], value: Column, wanted: Mapping[str, float], few_groups: bool = False
 ) -> DataFrame:
     return percentiles_from_counts(value_counts(df, keys, value), keys, wanted, few_groups)
-
-
-def group_percentiles(df: DataFrame, keys: Sequence[str], col: str, ps: Sequence[float]) -> DataFrame:
-    """Percentile array per group, for groups that are small by construction."""
-    return df.groupBy(*keys).agg(F.percentile(col, list(ps)).alias("percentiles"))

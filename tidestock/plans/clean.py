@@ -18,7 +18,7 @@ from ..functions.text import (
     blank_to_null, clean_enum, clean_text, is_missing, normalize_sku, remap,
     to_date, to_dec, to_flag, to_int,
 )
-from ..operators.audit import union_reports
+from ..operators.audit import apply_defaults, union_reports
 from ..operators.filters import exclude_status, require_in, require_key, require_positive
 from ..operators.impute import impute_by_group, winsor_stats, winsorize
 from ..operators.keys import keep_known, last_ingested, latest_per_key, null_if_orphan
@@ -39,12 +39,13 @@ READABLE = {
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
-    """Project to the clean layout; columns the raw data lacks, and values that do not fit, become NULLs."""
+    """Project to the clean layout; values that do not fit become NULLs, as do columns the raw data lacks, unless they have a default."""
     have = set(df.columns)
-    return df.select(*[
+    typed = df.select(*[
         (F.col(f.name) if f.name in have else F.lit(None).cast("string")).try_cast(f.dataType).alias(f.name)
         for f in CLEAN_SCHEMAS[table].fields
     ])
+    return apply_defaults(typed, CLEAN_TABLES[table])
 
 
 def split_valid(rows: DataFrame, table: str, judged: Sequence[str]) -> tuple[DataFrame, DataFrame]:

@@ -17,9 +17,6 @@ def build_session(app: str = "tidestock", master: str | None = None, **conf: str
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        # Stages whose generated method is too long for the JIT run faster without
-        # whole-stage code; 8000 bytes of bytecode is the JVM's limit.
-        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         # Skips the per-call source position lookup while plans are built.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )

@@ -42,7 +42,8 @@ def stage_root(spark: SparkSession) -> str:
     """A new folder for intermediate tables under the cluster's shared checkpoint folder.
 
     Without that setting a local session gets a temporary folder of its own; a
-    cluster session must name one, since executors share no local disk.
+    cluster session must name one, since executors share no local disk. What is staged
+    stays until `remove_stages`, as results are lazy and may still read it.
     """
     context = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
@@ -51,7 +52,20 @@ def stage_root(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="stage-"))
         shared = context.getCheckpointDir()
-    return f"{shared}/tidestock-{uuid.uuid4().hex}"
+    root = f"{shared}/tidestock-{uuid.uuid4().hex}"
+    _roots.setdefault(context.applicationId, []).append(root)
+    return root
+
+
+_roots: dict[str, list[str]] = {}
+
+
+def remove_stages(spark: SparkSession) -> None:
+    """Delete every intermediate table this application staged; results that still read them must be done."""
+    java, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for root in _roots.pop(spark.sparkContext.applicationId, []):
+        path = java.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def stage(df: DataFrame, root: str, name: str) -> DataFrame:
