@@ -59,9 +59,13 @@ def split_valid(rows: DataFrame, table: str, judged: Sequence[str]) -> tuple[Dat
     return typed.filter(fault.isNull()), broken.filter(F.col("column_name").isNotNull())
 
 
-def _finish(rows: DataFrame, table: str, rejects: bool, judged: Sequence[str] | None = None) -> DataFrame:
+def _finish(
+    rows: DataFrame, table: str, rejects: bool, judged: Sequence[str] | None = None, order: Sequence[Column] = ()
+) -> DataFrame:
+    """The first row per key under `order`, then the last one loaded, among the valid rows."""
     good, broken = split_valid(rows, table, READABLE[table] if judged is None else judged)
-    return broken if rejects else conform(last_ingested(good, CLEAN_TABLES[table].key), table)
+    picked = latest_per_key(good, CLEAN_TABLES[table].key, [*order, F.col("_ingest_seq").desc_nulls_last()])
+    return broken if rejects else conform(picked, table)
 
 
 def _extra(raw: DataFrame, name: str) -> Column:
@@ -86,7 +90,10 @@ def clean_locations(raw: DataFrame) -> DataFrame:
 
 
 def clean_skus(raw: DataFrame, rejects: bool = False) -> DataFrame:
-    """Category means are taken over all raw rows, before keys or costs are checked."""
+    """Category means are taken over all raw rows, before keys or costs are checked.
+
+    Where rows state when they were updated, the latest text wins and a missing one comes first.
+    """
     rows = raw.withColumn("category", clean_enum("category"))
     rows = impute_by_group(rows, "lead_time_days", "category", DEFAULT_LEAD_TIME)
     rows = require_key(rows, "sku_id").filter(~is_missing("unit_cost_usd"))
@@ -103,9 +110,10 @@ def clean_skus(raw: DataFrame, rejects: bool = False) -> DataFrame:
         to_int("reorder_point").alias("reorder_point"),
         to_flag("active").alias("active"),
         to_date(_extra(raw, "last_updated")).alias("last_updated"),
+        _extra(raw, "last_updated").alias("_updated"),
         "_ingest_seq",
     )
-    return _finish(rows, "dim_sku", rejects)
+    return _finish(rows, "dim_sku", rejects, order=[F.col("_updated").desc_nulls_first()])
 
 
 def clean_policy(raw: DataFrame, rejects: bool = False) -> DataFrame:
@@ -210,9 +218,11 @@ def best_lane(lanes: DataFrame) -> DataFrame:
     return picked.select("from_location", "to_location", "transport_mode", "transit_days_mean")
 
 
-def prepare_shipments(raw: DataFrame, lanes: DataFrame) -> DataFrame:
+def prepare_shipments(raw: DataFrame, lanes: DataFrame, as_sent: bool = False) -> DataFrame:
     """Typed shipment rows with the mode and contract time of their best lane.
 
+    An arrival before the departure is cleared, unless shipments are taken as sent.
+
     A layout that states its own mode keeps it, under the spelling the lanes use.
     """
     stated = ["transport_mode"] if "transport_mode" in raw.columns else []
@@ -225,7 +235,8 @@ def prepare_shipments(raw: DataFrame, lanes: DataFrame) -> DataFrame:
         normalize_sku("sku_id").alias("sku_id"),
         to_int("quantity_shipped").alias("qty_shipped"),
         to_date("ship_date").alias("ship_date"),
-        null_if_before(to_date("arrival_date"), to_date("ship_date")).alias("delivery_date"),
+        (to_date("arrival_date") if as_sent else null_if_before(to_date("arrival_date"), to_date("ship_date")))
+        .alias("delivery_date"),
         "freight_cost_usd",
         clean_text("carrier").alias("carrier"),
         clean_enum(_extra(raw, "shipment_status")).alias("shipment_status"),
@@ -249,22 +260,27 @@ def freight_stats(raw: DataFrame, lanes: DataFrame) -> DataFrame:
 
 def clean_shipments(
     raw: DataFrame, lanes: DataFrame, locations: DataFrame, skus: DataFrame, orders: DataFrame,
-    stats: DataFrame | None = None,
+    stats: DataFrame | None = None, as_sent: bool = False,
 ) -> DataFrame:
     """One row per shipment id with repaired freight.
 
+    The earlier generation takes shipments as sent: whatever their places, products and
+    quantities, and with inverted dates.
+
     Freight statistics see every prepared shipment, also those later dropped as
     duplicates or for unknown keys. They need only the lane ends and the freight
     text, so that pass reads three columns. `stats` takes them stored: their few rows
     are then known to be few, and the join on the mode moves no shipment.
     """
-    prepared = prepare_shipments(raw, lanes)
+    prepared = prepare_shipments(raw, lanes, as_sent)
     if stats is None:
         stats = winsor_stats(prepared, "freight_cost_usd", "transport_mode")
-    rows = prepared.filter(F.col("qty_shipped") >= 0)
-    rows = keep_known(rows, "from_location", locations, "location_id")
-    rows = keep_known(rows, "to_location", locations, "location_id")
-    rows = keep_known(rows, "sku_id", skus, "sku_id")
+    rows = prepared
+    if not as_sent:
+        rows = rows.filter(F.col("qty_shipped") >= 0)
+        rows = keep_known(rows, "from_location", locations, "location_id")
+        rows = keep_known(rows, "to_location", locations, "location_id")
+        rows = keep_known(rows, "sku_id", skus, "sku_id")
     rows = last_ingested(rows, ["shipment_id"])
     punctual = F.col("on_time_flag") if "on_time_flag" in rows.columns else on_time()
     rows = rows.join(stats, "transport_mode", "left").withColumns({
@@ -275,7 +291,10 @@ def clean_shipments(
     return conform(rows, "fact_shipments")
 
 
-def clean_inventory(raw: DataFrame, locations: DataFrame, skus: DataFrame, rejects: bool = False) -> DataFrame:
+def clean_inventory(
+    raw: DataFrame, locations: DataFrame, skus: DataFrame, rejects: bool = False, last_only: bool = True
+) -> DataFrame:
+    """One snapshot per day, location and product; the earlier generation keeps them all (`last_only=False`)."""
     rows = require_key(raw, "snapshot_date").select(
         to_date("snapshot_date").alias("snapshot_date"),
         clean_text("location_id").alias("location_id"),
@@ -291,6 +310,8 @@ def clean_inventory(raw: DataFrame, locations: DataFrame, skus: DataFrame, rejec
     )
     rows = keep_known(rows, "location_id", locations, "location_id")
     rows = keep_known(rows, "sku_id", skus, "sku_id")
+    if not last_only and not rejects:
+        return conform(split_valid(rows, "fact_inventory_snapshot", READABLE["fact_inventory_snapshot"])[0], "fact_inventory_snapshot")
     return _finish(rows, "fact_inventory_snapshot", rejects)
 
 
@@ -307,8 +328,8 @@ def rejected_rows(raw: dict[str, DataFrame], clean: dict[str, DataFrame], segmen
     )
 
 
-def clean_all(raw: dict[str, DataFrame], segment_source: str = "sku") -> dict[str, DataFrame]:
-    """The whole clean layer in dependency order."""
+def clean_all(raw: dict[str, DataFrame], segment_source: str = "sku", earlier: bool = False) -> dict[str, DataFrame]:
+    """The whole clean layer in dependency order; `earlier` by the rules of the earlier generation."""
     locations = clean_locations(raw["dim_location_raw"])
     skus = clean_skus(raw["dim_sku_raw"])
     lanes = clean_lanes(raw["dim_lane_cost_raw"], locations)
@@ -319,6 +340,6 @@ def clean_all(raw: dict[str, DataFrame], segment_source: str = "sku") -> dict[st
         "dim_service_policy": clean_policy(raw["dim_service_policy_raw"]),
         "dim_lane_cost": lanes,
         "fact_sales_orders": orders,
-        "fact_shipments": clean_shipments(raw["fact_shipments_raw"], lanes, locations, skus, orders),
-        "fact_inventory_snapshot": clean_inventory(raw["fact_inventory_snapshot_raw"], locations, skus),
+        "fact_shipments": clean_shipments(raw["fact_shipments_raw"], lanes, locations, skus, orders, as_sent=earlier),
+        "fact_inventory_snapshot": clean_inventory(raw["fact_inventory_snapshot_raw"], locations, skus, last_only=not earlier),
     }

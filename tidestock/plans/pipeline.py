@@ -34,7 +34,8 @@ def run_pipeline(
 ) -> DataFrame:
     """Run every stage and return the row count of each stored table.
 
-    layout "earlier" reads the earlier extract layout; segment_source "order" takes orders
+    layout "earlier" reads the earlier extract layout and follows its rules for shipments and
+    stock (taken as sent); segment_source "order" takes orders
     as sent; lead_time "lane" takes measured lead times; tasks spreads the simulation.
     """
     raw_root, clean_root, mart_root = (f"{out_dir}/{layer}" for layer in ("raw", "clean", "marts"))
@@ -43,7 +44,8 @@ def run_pipeline(
         writer(df, root, name)
         return store.read_table(spark, root, name)
 
-    scanned = read_legacy_layer(spark, raw_dir, multi_line) if layout == "earlier" else read_raw_layer(spark, raw_dir, multi_line=multi_line)
+    earlier = layout == "earlier"
+    scanned = read_legacy_layer(spark, raw_dir, multi_line) if earlier else read_raw_layer(spark, raw_dir, multi_line=multi_line)
     raw = {n: keep(store.overwrite_table, df, raw_root, n) for n, df in scanned.items()}
 
     def cleaned(name: str, df: DataFrame) -> DataFrame:
@@ -58,8 +60,8 @@ def run_pipeline(
         cl.clean_orders(raw["fact_sales_orders_raw"], raw["dim_sku_raw"], sku, loc, segment_source),
     )
     freight = keep(store.overwrite_table, cl.freight_stats(raw["fact_shipments_raw"], lanes), clean_root, "freight_stats")
-    ships = cleaned("fact_shipments", cl.clean_shipments(raw["fact_shipments_raw"], lanes, loc, sku, orders, freight))
-    stock = cleaned("fact_inventory_snapshot", cl.clean_inventory(raw["fact_inventory_snapshot_raw"], loc, sku))
+    ships = cleaned("fact_shipments", cl.clean_shipments(raw["fact_shipments_raw"], lanes, loc, sku, orders, freight, as_sent=earlier))
+    stock = cleaned("fact_inventory_snapshot", cl.clean_inventory(raw["fact_inventory_snapshot_raw"], loc, sku, last_only=not earlier))
     clean = {
         "dim_location": loc, "dim_sku": sku, "dim_service_policy": policy, "dim_lane_cost": lanes,
         "fact_sales_orders": orders, "fact_shipments": ships, "fact_inventory_snapshot": stock,

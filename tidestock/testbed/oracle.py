@@ -228,7 +228,7 @@ LEFT JOIN freight_stat f ON s.transport_mode = f.transport_mode"""
 
 CTES["stock"] = f"""
 SELECT snapshot_date, location_id, {key('sku_id')} AS sku_id, greatest(coalesce(on_hand, 0), 0) AS on_hand_qty,
-  coalesce(on_order, 0) AS on_order_qty
+  coalesce(on_order, 0) AS on_order_qty, seq
 FROM snapshot_raw
 WHERE snapshot_date IS NOT NULL AND location_id IN (SELECT location_id FROM location)
   AND {key('sku_id')} IN (SELECT sku_id FROM sku)

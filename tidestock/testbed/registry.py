@@ -17,14 +17,15 @@ from ..operators.filters import equality_filter, require_key
 from ..operators.impute import group_mean_int, winsor_stats, winsorize_impute
 from ..plans import clean as cl
 from ..plans import marts as m
+from ..plans.pipeline import run_pipeline
 from ..plans import policy as pol
 from ..plans import quality as q
 from ..plans import scenario as sc
-from ..schemas import CLEAN_TABLES, RAW_SCHEMAS
+from ..schemas import CLEAN_TABLES, RAW_FILES, RAW_SCHEMAS
 from ..sources import tables as store
 from ..sources.csv import export_csv, read_raw
 from . import adapter
-from .oracle import LONGEST_PRICE, PLAIN_NUMBER, REPAIRED, half_away, key, number, statement, whole
+from .oracle import LONGEST_PRICE, PLAIN_NUMBER, REPAIRED, cents, half_away, key, number, statement, whole
 
 
 def portable(df: DataFrame) -> DataFrame:
@@ -336,6 +337,56 @@ add("clean_inventory", lambda b: b.stock,
     " 0::BIGINT AS backorder_qty, NULL::BIGINT AS safety_stock_qty, NULL::BIGINT AS reorder_point_qty,"
     " NULL::VARCHAR AS last_receipt_date, NULL::VARCHAR AS last_issue_date FROM stock")
 
+# The earlier generation's rules, on columns that only its extracts have.
+_UPDATED = "CASE WHEN p_partkey % 7 = 3 THEN NULL ELSE (DATE '2024-01-01' + (p_partkey * 37 % 300)::INTEGER)::VARCHAR END"
+
+
+def _skus_v1(b: Bed) -> DataFrame:
+    key = F.col("_ingest_seq")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (key * 37 % 300).cast("int")).cast("string")
+    raw = b.raw["dim_sku_raw"].withColumn("last_updated", F.when(key % 7 != 3, day))
+    return cl.clean_skus(raw).select("sku_id", "description", "unit_cost", "lead_time_days", "last_updated")
+
+
+add(
+    "clean_skus_v1", _skus_v1,
+    f"""SELECT {key('sku_id')} AS sku_id, sku_name AS description, {cents('unit_cost_usd')} / 100.0::DOUBLE AS unit_cost,
+  coalesce({whole('lead_time_days')}, group_mean, 7) AS lead_time_days, u AS last_updated
+FROM sku_raw JOIN (SELECT p_partkey, {_UPDATED} AS u FROM part) ON seq = p_partkey
+LEFT JOIN category_mean ON upper(trim(sku_raw.category)) = category_mean.category WHERE {number('unit_cost_usd')} < 1e8
+QUALIFY row_number() OVER (PARTITION BY {key('sku_id')} ORDER BY u DESC NULLS FIRST, seq DESC) = 1""",
+)
+add(
+    "clean_shipments_v1",
+    lambda b: cl.clean_shipments(b.raw["fact_shipments_raw"], b.lanes, b.locations, b.skus, b.orders, b.freight, as_sent=True),
+    f"""SELECT shipment_id, CASE WHEN order_id IN (SELECT order_id FROM sales) THEN order_id END AS order_id,
+  ship_date::VARCHAR AS ship_date, arrival_date::VARCHAR AS delivery_date, origin AS from_location, to_location, sku AS sku_id,
+  qty AS qty_shipped, s.transport_mode, ({REPAIRED}) / 100.0::DOUBLE AS freight_cost_usd, carrier,
+  CASE WHEN arrival_date IS NOT NULL AND transit_days IS NOT NULL THEN arrival_date - ship_date <= transit_days
+    WHEN status = 'delayed' THEN FALSE END AS on_time_flag, NULL::BOOLEAN AS damage_flag
+FROM (SELECT * FROM ship_ready QUALIFY row_number() OVER (PARTITION BY shipment_id ORDER BY seq DESC) = 1) s
+LEFT JOIN freight_stat f ON s.transport_mode = f.transport_mode""",
+)
+
+
+def _own_policy(b: Bed) -> DataFrame:
+    """Snapshots that state backorders and their own policy."""
+    k = F.col("_ingest_seq")
+    return b.raw["fact_inventory_snapshot_raw"].withColumns({
+        "backorder_qty": (k % 30).cast("string"), "safety_stock_qty": F.when(k % 4 > 0, (k % 90).cast("string")),
+        "reorder_point_qty": F.when(k % 5 > 0, (k % 60).cast("string"))})
+
+
+add(
+    "clean_inventory_v1",
+    lambda b: cl.clean_inventory(_own_policy(b), b.locations, b.skus, last_only=False),
+    f"""SELECT snapshot_date::VARCHAR AS snapshot_date, location_id, {key('sku_id')} AS sku_id, greatest(coalesce(on_hand, 0), 0) AS on_hand_qty,
+  coalesce(on_order, 0) AS on_order_qty, seq % 30 AS backorder_qty, CASE WHEN seq % 4 > 0 THEN seq % 90 END AS safety_stock_qty,
+  CASE WHEN seq % 5 > 0 THEN seq % 60 END AS reorder_point_qty, NULL::VARCHAR AS last_receipt_date, NULL::VARCHAR AS last_issue_date
+FROM snapshot_raw WHERE snapshot_date IS NOT NULL AND location_id IN (SELECT location_id FROM location)
+  AND {key('sku_id')} IN (SELECT sku_id FROM sku)""",
+)
+
 _FROM_CHANNEL = "CASE WHEN left(channel, 1) = '1' THEN ' premium' WHEN left(channel, 1) < '4' THEN 'Standard' ELSE 'BUDGET' END"
 
 
@@ -400,6 +451,20 @@ add(
 FROM stock_latest s JOIN location USING (location_id) JOIN sku ON s.sku_id = sku.sku_id
 LEFT JOIN demand d ON s.sku_id = d.sku_id AND s.location_id = d.location_id""",
 )
+add(
+    "inventory_position_v1",
+    lambda b: m.inventory_position(
+        cl.clean_inventory(_own_policy(b), b.locations, b.skus), b.locations, b.skus, b.demand()
+    ).select("location_id", "sku_id", "backorder_qty", "inventory_position", "current_safety_stock_policy", "current_reorder_point_policy",
+             "stock_status", "safety_stock_gap_units"),
+    """SELECT s.location_id, s.sku_id, seq % 30 AS backorder_qty, on_hand_qty + on_order_qty - seq % 30 AS inventory_position,
+  CASE WHEN seq % 4 > 0 THEN seq % 90 END AS current_safety_stock_policy, CASE WHEN seq % 5 > 0 THEN seq % 60 END AS current_reorder_point_policy,
+  CASE WHEN on_hand_qty + on_order_qty - seq % 30 < coalesce(safety_stock_units, CASE WHEN seq % 4 > 0 THEN seq % 90 END, 0) THEN 'UNDERSTOCKED'
+    WHEN on_hand_qty > 2 * coalesce(reorder_point_units, CASE WHEN seq % 5 > 0 THEN seq % 60 END, 0) THEN 'OVERSTOCKED' ELSE 'NORMAL' END AS stock_status,
+  coalesce(safety_stock_units, 0) - coalesce(CASE WHEN seq % 4 > 0 THEN seq % 90 END, 0) AS safety_stock_gap_units
+FROM stock_latest s JOIN location USING (location_id) JOIN sku ON s.sku_id = sku.sku_id
+LEFT JOIN demand d ON s.sku_id = d.sku_id AND s.location_id = d.location_id""",
+)
 add(
     "order_costs",
     lambda b: m.order_costs(
@@ -611,17 +676,30 @@ _RAW_NAMES = {"dim_location_raw": "location_raw", "dim_sku_raw": "sku_raw", "dim
               "fact_inventory_snapshot_raw": "snapshot_raw"}
 _CLEAN_NAMES = {"dim_location": "location", "dim_sku": "sku", "dim_service_policy": "policy", "dim_lane_cost": "lane",
                 "fact_sales_orders": "sales", "fact_shipments": "shipment", "fact_inventory_snapshot": "stock"}
+_MART_NAMES = {"mart_demand_stats": "demand", "mart_cost_to_serve": "served", "mart_network_flow": "flow",
+               "mart_inventory_position": "(SELECT s.sku_id FROM stock_latest s LEFT JOIN demand d"
+                                          " ON s.sku_id = d.sku_id AND s.location_id = d.location_id)",
+               "mart_data_quality_report": "range(7)"}
 add("row_counts", lambda b: row_counts(b.raw.load_all()).orderBy("table_name"), _counts_sql("table_name", _RAW_NAMES))
 add("clean_row_counts", lambda b: row_counts(b.clean).orderBy("table_name"), _counts_sql("table_name", _CLEAN_NAMES))
 add(
     "mart_summary",
     lambda b: m.mart_summary(m.build_marts(b.raw, b.clean)).drop("purpose"),
-    _counts_sql("mart_name", {"mart_demand_stats": "demand", "mart_cost_to_serve": "served", "mart_network_flow": "flow",
-                              "mart_inventory_position": "(SELECT s.sku_id FROM stock_latest s LEFT JOIN demand d"
-                                                         " ON s.sku_id = d.sku_id AND s.location_id = d.location_id)",
-                              "mart_data_quality_report": "range(7)"}),
+    _counts_sql("mart_name", _MART_NAMES),
 )
 
+
+def _pipeline_row_counts(b: Bed) -> DataFrame:
+    """The raw tables written as extracts in load order, and every stage run on them."""
+    root = store.stage_root(b.spark)
+    for name, schema in RAW_SCHEMAS.items():
+        export_csv(b.raw[name].orderBy("_ingest_seq").select(*schema.names), f"{root}/raw/{RAW_FILES[name]}")
+    return run_pipeline(b.spark, f"{root}/raw", f"{root}/out", sims=20)
+
+
+add("pipeline_row_counts", _pipeline_row_counts,
+    _counts_sql("table_name", {**_RAW_NAMES, **_CLEAN_NAMES, **_MART_NAMES, "rejected_rows": "rejected", "opt_inventory_policy": "sim_base"}))
+
 # --- policy and scenario ----------------------------------------------------------
 
 add("lead_times", lambda b: pol.assign_lead_time(b.flow), "SELECT sku_id, location_id, days AS avg_lead_time FROM lead")
