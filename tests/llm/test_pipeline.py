@@ -5,11 +5,10 @@ import pytest
 import public_tokenizers as P
 import test_decontaminate as plain_items
 import test_secret_scan as plain_secrets
-import test_simhash_trie as plain_prints
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from tidestock.llm import byte_bpe, secret_scan, toxicity
+from tidestock.llm import byte_bpe, secret_scan, simhash_trie, toxicity
 
 
 @pytest.fixture
@@ -29,6 +28,11 @@ def folder(spark, tmp_path):
             t += f" password = {rng.randbytes(9).hex()} é"
         docs.append((k, t))
         labels.append((k, int(toxic)))
+    for k in range(60, 100):  # near copies: words replaced, 0.8 to 0.95 of the five-word shingles left
+        w = docs[k][1].split()
+        for _ in range(max(1, len(w) // 90)):
+            w[rng.randrange(len(w))] = "edited"
+        docs.append((800 + k, " ".join(w)))
     docs += [(900 + k, docs[k][1].upper()) for k in range(0, 40, 2)]
     docs += [docs[3]] * 4 + [(None, None), (None, None), (None, docs[5][1]), (700, None), (701, ""), (702, "w " * 20_000), (None, text(50))]
     rows = [(d, t, "xx", None, len(t) if t else 0, 1.5) for d, t in docs]
@@ -59,15 +63,29 @@ def test_every_stage(spark, folder):
     clean = spark.read.parquet(f"{path}/1")
     single = stages["near_duplicates"](spark, clean, path)
     every = pairs(clean)
-    root = plain_prints.groups({plain_prints.plain(t) for _, t in every}, 3)
+    sig = {t: [v & (1 << 64) - 1 for v in simhash_trie.signature(t)] for _, t in every}
+    texts = list({t: None for _, t in every})
+    root = {t: t for t in texts}
+
+    def find(t):
+        while root[t] != t:
+            t = root[t]
+        return t
+
+    for i, t in enumerate(texts):
+        for u in texts[:i]:
+            apart = [(x ^ y).bit_count() for x, y in zip(sig[t], sig[u])]
+            if min(apart) <= 3 and sum(apart) <= 62:
+                root[find(t)] = find(u)
     first = {}
     for d, t in every:
-        g = root[plain_prints.plain(t)]
-        first[g] = min(first.get(g, (True, 0)), (d is None, d or 0))
+        first[find(t)] = min(first.get(find(t), (True, 0)), (d is None, d or 0))
     got = pairs(single)
     assert single.columns == columns and len(got) == len(first) < len(every)
-    assert all(first[root[plain_prints.plain(t)]] == (d is None, d or 0) for d, t in got)
-    assert {root[plain_prints.plain(t)] for _, t in got} == set(first)
+    assert all(first[find(t)] == (d is None, d or 0) for d, t in got)
+    assert {find(t) for _, t in got} == set(first)
+    kept = {t for _, t in got}
+    assert sum(" edited " in t for t in kept if t) <= 1 < sum(" edited " in t for _, t in every if t)
 
     single.write.parquet(f"{path}/2")
     single = spark.read.parquet(f"{path}/2")

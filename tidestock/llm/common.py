@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -27,15 +28,25 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, stage_root(spark)
-        self._count = 0
+        self._count, self._paths = 0, {}
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
         self._count += 1
-        return stage(df, self.root, f"{self._count:03d}-{name}")
-
-    def release(self) -> None:
-        """Let Spark drop the shuffle files of finished steps now, not when the driver next collects garbage."""
-        self.spark.sparkContext._jvm.java.lang.System.gc()
+        stored = stage(df, self.root, f"{self._count:03d}-{name}")
+        self._paths[id(stored)] = f"{self.root}/{self._count:03d}-{name}"
+        return stored
+
+    def release(self, *done: DataFrame) -> None:
+        """Delete stored tables that no later step reads, and let Spark drop the shuffle files of finished steps.
+
+        Without it both stay until the driver happens to collect its garbage.
+        """
+        java = self.spark.sparkContext._jvm
+        for table in done:
+            path = java.org.apache.hadoop.fs.Path(self._paths.pop(id(table)))
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        java.java.lang.System.gc()
 
 
 def map_batches(
