@@ -68,8 +68,12 @@ def test_windows_of_one_shard():
         for p in range(len(text) - 11):
             if first.setdefault(text[p : p + 12], (id, p)) != (id, p):
                 want.add((id, at + p))
-    got = {(id, p) for id, _, a, b in rb.covered_windows([(0, *r[1:]) for r in made], 12) for p in range(a, b)}
+    known, texts = rb._distinct([r[1:] for r in made], 12)
+    got = {(id, p) for id, _, a, b in known + rb.covered_windows(texts, 12) for p in range(a, b)}
     assert got == want and len(want) > 20
+    text = bytes(range(120))
+    assert rb._distinct([(1, 0, 5, text), (0, 0, 7, text), (0, 0, 7, text)], 100) == ([(1, 0, 5, 26)], [])
+    assert rb._distinct([(0, 0, 7, b"ab" * 60)], 100)[1] and rb.covered_windows([((0, 0, 7), b"ab" * 60)], 100) == [(0, 0, 9, 28)]
 
 
 def test_no_rows_and_kept_bytes(rows):

@@ -11,9 +11,9 @@ def plain(t):
     return sorted(range(len(rest)), key=lambda i: rest[i:])
 
 
-@pytest.fixture(autouse=True, params=[0, 1 << 17])
-def few(request, monkeypatch):
-    monkeypatch.setattr(s, "FEW", request.param)
+@pytest.fixture(autouse=True, params=[0, 10_000])
+def letters(request, monkeypatch):
+    monkeypatch.setattr(s, "LETTERS", request.param)
 
 
 def check(values):

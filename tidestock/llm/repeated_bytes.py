@@ -14,7 +14,7 @@ with a smaller doc_id, or earlier in the same one. Every window of `length` byte
 3. Suffix arrays. A shard's texts, in the order of their places, are one string; its suffix array is
    built by induced sorting, neighbours are compared by permuted common prefixes, and neighbours
    with `length` bytes in common are equal windows: all but the earliest are covered.
-   An anchor with one distinct text in its shard has nothing to compare and is left out.
+   A text that can share no window with the others of its anchor has nothing to compare and is left out.
 4. Covered windows come back to their documents, merge into removed spans, and the rest is kept.
 
 Order: doc_id, then a hash of the text, then the place; a null doc_id comes after all others.
@@ -39,12 +39,15 @@ from .suffix_array import permuted_lcp, suffix_array
 
 #: Bytes of an anchor; a power of two.
 ANCHOR = 32
-#: Occurrences from which an anchor's windows are keyed one by one.
-HOT = 500
-#: Bytes of text in one suffix array, and rows of it handed on at once; a key's texts stay together.
-SHARD_BYTES = 4 << 20
-#: Texts of documents handled at once.
-BATCH_BYTES = 8 << 20
+#: Occurrences beyond which an anchor's windows are keyed one by one. So many texts of a key, of which
+#: the equal ones in a batch are one already, are part of one suffix array.
+HOT = 10_000
+#: Bytes of text in one suffix array, or a little more: a key's texts stay together.
+SHARD_BYTES = 2 << 20
+#: Distinct texts of a key up to which pairs that cannot share a window are told apart beforehand.
+FEW = 8
+#: Bytes of documents whose anchors are found at once, for arrays that stay in the processor's caches.
+BATCH_BYTES = 1 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 NULL_ID = (1 << 63) - 1
@@ -146,12 +149,12 @@ def _pieces(docs: DataFrame, length: int) -> DataFrame:
     def run(id, hash, text, found):
         out = {"key": [], "id": [], "hash": [], "first": [], "end": [], "text": []}
         rows = sorted(zip(id, hash, range(len(id)), [(t or "").encode() for t in text]))
+        seen: dict[bytes, tuple] = {}
         for part, joined, ends in portions(rows):
             anchor, first, end, _ = runs(joined, ends, length)
             which = np.searchsorted(ends, first, "right")
             starts, raw = np.append(0, ends[:-1]), joined.tobytes()
             wanted = [{r["anchor"]: r["hot"] for r in found[row[2]]} for row in part]
-            seen: dict[bytes, tuple] = {}
             near = hashes(joined, 64).view(np.int64) if any(any(w.values()) for w in wanted) else None
 
             def put(key: int, place: tuple, count: int, data: bytes | None) -> None:
@@ -186,21 +189,38 @@ def _self_repeating(text: bytes, length: int) -> bool:
     return len(text) > 2 * length - 16 or text.find(text[shift : shift + 16], shift + 1) >= 0
 
 
-def covered_windows(rows: list[tuple], length: int) -> list[tuple[int, int, int, int]]:
-    """(id, hash, first, end) of windows that start earlier in another place, among texts of whole keys.
+def _overlapping(a: bytes, b: bytes, length: int) -> bool:
+    """False only if no window of a is one of b: every window of a text holds the bytes that its first and last share."""
+    return a[len(a) - length : length] in b and b[len(b) - length : length] in a
 
-    rows: (key, id, hash, first, text); text holds the windows from `first` on.
+
+def _distinct(rows: list[tuple], length: int) -> tuple[list[tuple], list[tuple]]:
+    """(windows known to be covered, texts to compare) among the rows (id, hash, first, text) of one key.
+
+    Equal texts are one: the windows of the later ones are covered. A text that cannot share a window
+    with another (among few) and cannot repeat itself is not compared. Texts to compare come as
+    ((id, hash, first), text).
     """
-    out, seen, distinct = [], {}, {}
-    for key, id, hash, first, text in sorted(rows, key=lambda r: r[1:4]):
+    covered, seen = [], {}
+    for id, hash, first, text in sorted(rows) if len(rows) > 1 else rows:
         place = (id, hash, first)
-        if (known := seen.setdefault(text, place)) is place:
-            distinct.setdefault(key, []).append((place, text))
-        elif known != place:
-            out.append((*place, first + len(text) - length + 1))
-    texts = sorted(x for group in distinct.values() if len(group) > 1 or _self_repeating(group[0][1], length) for x in group)
+        if seen.setdefault(text, place) != place:
+            covered.append((*place, first + len(text) - length + 1))
+    texts = list(seen)
+    if len(texts) <= FEW:
+        texts = [t for t in texts if _self_repeating(t, length) or any(_overlapping(t, u, length) for u in texts if u is not t)]
+    return covered, [(seen[text], text) for text in texts]
+
+
+def covered_windows(texts: list[tuple], length: int) -> list[tuple[int, int, int, int]]:
+    """(id, hash, first, end) of windows that start earlier in another place, among distinct texts.
+
+    texts: ((id, hash, first), text), where text holds the windows from `first` on.
+    """
+    out: list[tuple[int, int, int, int]] = []
     if not texts:
         return out
+    texts = sorted(texts)
     sizes = np.array([len(t) + 1 for _, t in texts])
     ends = np.cumsum(sizes) - 1
     t = np.zeros(int(sizes.sum()) + 1, np.int32)  # 0 ends all, 1 ends a text, bytes from 2 on
@@ -225,25 +245,37 @@ def covered_windows(rows: list[tuple], length: int) -> list[tuple[int, int, int,
 def _compare(pieces: DataFrame, length: int) -> DataFrame:
     """(id, hash, first, end): covered windows found in the shards."""
 
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-        """Rows of whole keys, until they hold SHARD_BYTES."""
-        rows, size, last = [], 0, None
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        """The rows of one key after the other."""
+        rows, last = [], None
         for batch in batches:
-            for row in zip(*[batch.column(i).to_pylist() for i in range(5)]):
-                if size >= SHARD_BYTES and row[0] != last:
+            for key, *row in zip(*[batch.column(i).to_pylist() for i in range(5)]):
+                if key != last and rows:
                     yield rows
-                    rows, size = [], 0
-                rows.append(row)
-                size += len(row[4])
-                last = row[0]
+                    rows = []
+                rows.append(tuple(row))
+                last = key
         if rows:
             yield rows
 
+    def send(found: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*found)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "hash", "first", "end"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in shards(batches):
-            found = covered_windows(rows, length)
-            columns = list(zip(*found)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "hash", "first", "end"])
+        found, texts, size = [], [], 0
+        for rows in keys(batches):
+            known, more = _distinct(rows, length)
+            found += known
+            texts += more
+            size += sum(len(t) for _, t in more)
+            if size >= SHARD_BYTES:
+                found += covered_windows(texts, length)
+                texts, size = [], 0
+            if len(found) >= 50_000:
+                yield send(found)
+                found = []
+        yield send(found + covered_windows(texts, length))
 
     sharded = pieces.where("text is not null").select("key", "id", "hash", "first", "text")
     sharded = sharded.repartition("key").sortWithinPartitions("key")
@@ -265,11 +297,11 @@ def removed_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     wanted = scratch.store(wanted, "wanted")
     scratch.release()
     pieces = scratch.store(_pieces(rows.join(wanted, "id"), length), "pieces")
-    scratch.release()
+    scratch.release(repeated, wanted)
     known = pieces.where("text is null").select("id", "hash", "first", "end")
     windows = known.unionByName(_compare(pieces, length)).groupBy("id", "hash")
     found = scratch.store(windows.agg(F.collect_list(F.struct("first", "end")).alias("windows")), "windows")
-    scratch.release()
+    scratch.release(pieces)
     return found
 
 

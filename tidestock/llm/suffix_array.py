@@ -3,7 +3,8 @@
 The steps are those of induced sorting: suffixes are classified, leftmost-smaller (LMS) substrings
 are sorted by inducing from their places, named, and sorted recursively by the string of names; the
 whole array is then induced from the sorted LMS suffixes in one pass to the right and one to the
-left. A pass handles a stretch of buckets at a time: as many as give no entry to each other.
+left. For texts a pass handles a bucket's entries as arrays, round by round as it fills; for names it
+goes entry by entry.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ import numpy as np
 
 #: Below this length suffixes are sorted one by one.
 SHORT = 32
-#: Length up to which entries are induced one by one, and most entries handled as one array.
-FEW, LARGEST_STRETCH = 1 << 17, 1 << 16
+#: Buckets up to which the entries of each are handled as an array.
+LETTERS = 1024
 
 
 def suffix_types(t: np.ndarray) -> np.ndarray:
@@ -49,61 +50,35 @@ def _scan(sa: np.ndarray, t: np.ndarray, types: np.ndarray, starts: np.ndarray,
 
     starts: first place of each bucket, and the length; ends: next free place for induced entries.
     """
-    if len(t) <= FEW:
+    if len(starts) > LETTERS:
         _scan_singly(sa, t, types, ends, small)
         return
-    size, up = len(starts) - 1, -1 if small else 1
-    bucket, stretch = (size - 1 if small else 0), 1024
-
-    def givers(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        previous = entries - 1  # for suffix 0 this is the last suffix, which is taken out by entries > 0
-        return previous, (types[previous] == small) & (entries > 0)
+    up = -1 if small else 1
 
     def give(entries: np.ndarray) -> None:
-        previous, good = givers(entries)
-        _place(sa, t, previous[good], ends, up)
-
-    while 0 <= bucket < size:
-        if small:
-            beyond = min(int(starts.searchsorted(starts[bucket + 1] - stretch)), bucket) - 1
-            part = sa[starts[beyond + 1] : starts[bucket + 1]][::-1]
-        else:
-            beyond = max(int(starts.searchsorted(starts[bucket] + stretch, "right")) - 1, bucket + 1)
-            part = sa[starts[bucket] : starts[beyond]]
-        entries = part[part >= 0]
-        if not len(entries):
-            bucket, stretch = beyond, min(stretch * 2, LARGEST_STRETCH)
-            continue
-        here = t[entries] * up
-        previous, good = givers(entries)
-        gives = np.where(good, t[previous] * up, size + 1)
-        reached = np.minimum.accumulate(gives) <= here  # a bucket at or before this one is not complete
-        stop = int(here.searchsorted(here[reached.argmax()])) if reached[-1] else len(here)
-        if stop:
-            _place(sa, t, previous[:stop][good[:stop]], ends, up)
-            bucket = int(here[stop - 1]) * up + up
-            stretch = min(max(2 * stop, 64), LARGEST_STRETCH)
-            continue
-        bucket = int(here[0]) * up  # this bucket gives entries to itself: round by round
+        previous = entries[entries > 0] - 1
+        _place(sa, t, previous[types[previous] == small], ends, up)
+
+    for bucket in range(len(starts) - 2, -1, -1) if small else range(len(starts) - 1):
         done = int(starts[bucket + 1]) - 1 if small else int(starts[bucket])
-        while done != ends[bucket]:
+        while done != ends[bucket]:  # entries the bucket got so far; they may give more to itself
             till = int(ends[bucket])
             give(sa[till + 1 : done + 1][::-1] if small else sa[done:till])
             done = till
-        rest = sa[starts[bucket] : done + 1][::-1] if small else sa[done : starts[bucket + 1]]
-        give(rest[rest >= 0])
-        bucket += up
+        give(sa[starts[bucket] : done + 1][::-1] if small else sa[done : starts[bucket + 1]])
 
 
 def _scan_singly(sa: np.ndarray, t: np.ndarray, types: np.ndarray, ends: np.ndarray, small: bool) -> None:
-    """The same entry by entry, which is quicker for short strings of names with their many small buckets."""
-    entries, letters, larger, free = sa.tolist(), t.tolist(), (types != small).tolist(), ends.tolist()
-    step = -1 if small else 1
+    """The same entry by entry, for strings of names, whose buckets are too many and too small for arrays."""
+    gives = np.full(len(t) + 1, -1, np.int64)  # by entry: the bucket that the suffix before it goes to; -1 at the end for no entry
+    gives[1:-1] = np.where(types[:-1] == small, t[:-1], -1)
+    entries, bucket_of, free, step = sa.tolist(), gives.tolist(), ends.tolist(), -1 if small else 1
     for entry in reversed(entries) if small else entries:  # sees the entries set on the way
-        if entry > 0 and not larger[entry - 1]:
-            letter = letters[entry - 1]
-            entries[free[letter]] = entry - 1
-            free[letter] += step
+        bucket = bucket_of[entry]
+        if bucket >= 0:
+            place = free[bucket]
+            entries[place] = entry - 1
+            free[bucket] = place + step
     sa[:] = entries
 
 
