@@ -62,7 +62,8 @@ def sku_raw(src: Source) -> DataFrame:
     size = F.concat(_s("p_size"), F.lit(".0"))
     segment = F.when(number % 5 == 0, "PREMIUM").when(number % 5 == 4, "BUDGET").otherwise("STANDARD")
     return src["part"].select(
-        _sku(_div("p_partkey", 40) % 5, number).alias("sku_id"),
+        F.when(k % 43 == 11, F.concat(F.lit("ABC"), F.lpad(_s(number), 3, "0")))
+        .otherwise(_sku(_div("p_partkey", 40) % 5, number)).alias("sku_id"),
         F.col("p_name").alias("sku_name"),
         F.when(k % 3 == 0, F.concat(F.lit(" "), F.lower("p_type"))).otherwise(F.col("p_type")).alias("category"),
         F.when(k % 50 == 7, "").when(k % 50 == 8, "abc").when(k % 50 == 9, "123456789012")
@@ -88,7 +89,8 @@ def location_raw(src: Source) -> DataFrame:
     k, n = F.col("c_custkey"), F.col("n_nationkey")
     kind = F.when(n < 6, "DC").when(n < 16, "RDC").when(n < 24, "STORE").otherwise("HUB")
     return rows.select(
-        F.when(k % 3 == 0, F.concat(F.lit(" "), _loc(n))).otherwise(_loc(n)).alias("location_id"),
+        F.when(k % 47 == 13, F.concat(F.lit("DC-"), _s(n))).when(k % 3 == 0, F.concat(F.lit(" "), _loc(n))).otherwise(_loc(n))
+        .alias("location_id"),
         F.concat("n_name", F.lit(" hub ")).alias("location_name"),
         F.col("n_name").alias("city"),
         F.concat(F.lit("S"), _s(n)).alias("state"),

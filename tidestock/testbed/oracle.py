@@ -67,7 +67,8 @@ def last(keys: str, order: str = "seq DESC") -> str:
 CTES: dict[str, str] = {}
 
 CTES["sku_raw"] = f"""
-SELECT {spelled('p_partkey // 40 % 5', 'p_partkey % 40')} AS sku_id, p_name AS sku_name,
+SELECT CASE WHEN p_partkey % 43 = 11 THEN 'ABC' || lpad((p_partkey % 40)::VARCHAR, 3, '0')
+    ELSE {spelled('p_partkey // 40 % 5', 'p_partkey % 40')} END AS sku_id, p_name AS sku_name,
   CASE WHEN p_partkey % 3 = 0 THEN ' ' || lower(p_type) ELSE p_type END AS category,
   CASE p_partkey % 50 WHEN 7 THEN '' WHEN 8 THEN 'abc' WHEN 9 THEN '123456789012'
     ELSE {money('round(p_retailprice * 100)::BIGINT')} END AS unit_cost_usd,
@@ -82,7 +83,8 @@ SELECT {spelled('p_partkey // 40 % 5', 'p_partkey % 40')} AS sku_id, p_name AS s
 FROM (SELECT *, CASE p_partkey % 40 % 5 WHEN 0 THEN 'PREMIUM' WHEN 4 THEN 'BUDGET' ELSE 'STANDARD' END AS s FROM part)"""
 
 CTES["location_raw"] = f"""
-SELECT CASE WHEN c_custkey % 3 = 0 THEN ' ' ELSE '' END || {loc('n_nationkey')} AS location_id,
+SELECT CASE WHEN c_custkey % 47 = 13 THEN 'DC-' || n_nationkey
+    ELSE CASE WHEN c_custkey % 3 = 0 THEN ' ' ELSE '' END || {loc('n_nationkey')} END AS location_id,
   n_name || ' hub ' AS location_name, r_name AS region,
   CASE WHEN c_custkey % 2 = 0 THEN lower(t) || ' ' ELSE t END AS location_type,
   CASE WHEN c_custkey % 7 <> 0 THEN (c_custkey * 13 % 900 * 1000)::VARCHAR ELSE '' END AS capacity_units,
@@ -373,6 +375,8 @@ FROM (SELECT *, {even('holding_cost_total + risk_cost')} AS total_cost
 
 
 CTES["what_if"] = scenario_ctes()
+CTES["what_if_85"] = scenario_ctes(z=1.04)
+CTES["what_if_place"] = scenario_ctes(where="location_id = 'LOC-07'")
 CTES["what_if_99"] = scenario_ctes(z=2.33, holding=3.5, stockout=25.0, where="sku_id = 'SKU007'")
 
 

@@ -219,14 +219,14 @@ add(
     "SELECT freight AS raw_freight, coalesce(try_cast(freight AS DOUBLE), 0) AS freight, count(*) AS n"
     " FROM shipment_raw GROUP BY ALL",
 )
+_LEVELS = "85 1.04 86 1.08 87 1.13 88 1.17 89 1.23 90 1.28 91 1.34 92 1.41 93 1.48 94 1.55 95 1.65 96 1.75 97 1.88 98 2.05 99 2.33".split()
 add(
     "z_lookup",
     lambda b: _counted(
-        b.raw["fact_shipments_raw"].select((F.length("carrier") * 0 + F.substring("carrier", 3, 1).cast("int") * 3 + 83).alias("level")),
+        b.raw["fact_shipments_raw"].select((F.coalesce(tx.to_int("quantity_shipped"), F.lit(0)) % 18 + 83).alias("level")),
         F.col("level").cast("long").alias("level"), inv.z_for_service_level(F.col("level")).alias("z")),
-    "SELECT level, CASE level WHEN 86 THEN 1.08 WHEN 89 THEN 1.23 WHEN 92 THEN 1.41 WHEN 95 THEN 1.65"
-    " WHEN 98 THEN 2.05 ELSE 1.65 END::DOUBLE AS z, count(*) AS n"
-    " FROM (SELECT substr(carrier, 3, 1)::BIGINT * 3 + 83 AS level FROM shipment_raw) GROUP BY ALL",
+    f"SELECT level, CASE level {' '.join(f'WHEN {a} THEN {z}' for a, z in zip(_LEVELS[::2], _LEVELS[1::2]))} ELSE 1.65 END::DOUBLE AS z,"
+    " count(*) AS n FROM (SELECT coalesce(qty, 0) % 18 + 83 AS level FROM shipment_raw) GROUP BY ALL",
 )
 
 # --- sources ----------------------------------------------------------------------
@@ -550,7 +550,7 @@ add(
     f"""SELECT format_type, count, {half_away('count * 100', 'sum(count) OVER ()::BIGINT', 1)} AS pct_of_total
 FROM (SELECT CASE WHEN starts_with(sku_id, 'SKU-') THEN 'Format: SKU-001'
     WHEN regexp_matches(sku_id, '^SKU[0-9]') THEN 'Format: SKU001' WHEN starts_with(sku_id, 'sku_') THEN 'Format: sku_001'
-    ELSE 'Other format' END AS format_type, count(*) AS count FROM sku_raw GROUP BY 1)""",
+    WHEN regexp_matches(sku_id, '^[A-Z]{{3}}[0-9]') THEN 'Format: ABC001' ELSE 'Other format' END AS format_type, count(*) AS count FROM sku_raw GROUP BY 1)""",
 )
 
 
@@ -717,6 +717,10 @@ add("policy_comparison", lambda b: sc.policy_comparison(b.what_if), f"SELECT {_W
 add("high_risk", lambda b: sc.high_risk(b.what_if),
     "SELECT sku_id, location_id, avg_demand, calc_safety_stock, calc_reorder_point, recommendation FROM what_if"
     " WHERE calc_safety_stock > avg_demand")
+add("high_risk_85", lambda b: sc.high_risk(sc.scenario(b.simulated, level=85)),
+    "SELECT sku_id, location_id, avg_demand, calc_safety_stock, calc_reorder_point, recommendation FROM what_if_85"
+    " WHERE calc_safety_stock > avg_demand")
+add("scenario_one_location", lambda b: sc.scenario(b.simulated, location="LOC-07"), "SELECT * FROM what_if_place")
 add("top_cost", lambda b: sc.top_cost(b.what_if),
     "SELECT sku_id, location_id, calc_safety_stock, holding_cost_total, risk_cost, total_cost, recommendation FROM what_if"
     " ORDER BY total_cost DESC, sku_id, location_id LIMIT 5")
