@@ -138,7 +138,8 @@ SELECT 'SH' || {ORDER_KEY} || '-' || l_suppkey % 3 AS shipment_id,
 FROM {LINES} JOIN supplier ON l_suppkey = s_suppkey"""
 
 CTES["snapshot_raw"] = f"""
-SELECT CASE WHEN event_id % 211 <> 0 AND event_id % 223 <> 0 THEN ts::DATE END AS snapshot_date, event_id % 211 <> 0 AS sent, {loc('user_id % 25')} AS location_id,
+SELECT CASE WHEN event_id % 211 <> 0 AND event_id % 223 <> 0 THEN ts::DATE END AS snapshot_date, event_id % 211 <> 0 AS sent,
+  CASE WHEN event_id % 211 = 0 THEN '' WHEN event_id % 223 = 0 THEN 'yesterday' ELSE ts::DATE::VARCHAR END AS day_text, {loc('user_id % 25')} AS location_id,
   {spelled('event_id % 5', 'event_id // 3 % 42')} AS sku_id,
   CASE WHEN event_id % 37 <> 0 THEN floor(value)::BIGINT - 20 END AS on_hand,
   CASE WHEN event_id % 13 <> 0 THEN event_id % 100 END AS on_order, event_id AS seq

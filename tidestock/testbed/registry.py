@@ -541,7 +541,7 @@ add(
         _summary_sql("fact_shipments_raw", "TMS", "shipment_raw", "shipment_id", _NO_FREIGHT,
                      "count(*) FILTER (arrival_date < ship_date)", _OUTLIERS, f"count(*) - {_NO_FREIGHT}"),
         _summary_sql("fact_inventory_snapshot_raw", "WMS", "snapshot_raw",
-                     "(coalesce(snapshot_date::VARCHAR, '') || location_id || sku_id)",
+                     "(day_text || location_id || sku_id)",
                      "count(*) FILTER (on_hand < 0)", "0", "0", "count(*) - count(*) FILTER (on_hand < 0)"),
     ]),
 )
