@@ -28,7 +28,7 @@ from .common import map_batches
 
 #: Split pieces kept with their ids, per Python worker, in each of two generations: when the newer is
 #: full, the older goes; pieces that are met again move to the newer one.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 50_000
 #: Bytes of pieces merged in one queue; a longer piece has a queue to itself.
 QUEUE_BYTES = 1 << 18
 #: Texts encoded at once: so many, or fewer with so many code points.
@@ -256,8 +256,10 @@ def round_trip(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] =
     """
     ranks = rank_file(docs, path)
 
+    own = "text" if "text" in keep else "bpe_input"  # the text is sent once
+
     def run(**columns):
-        texts = columns.pop("bpe_input")
+        texts = columns[own] if own in keep else columns.pop(own)
         bpe = coder(ranks.value, pattern)
         names = numbers(len(bpe.tokens))
         counts, sent, back = [], [], []
@@ -269,8 +271,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] =
         return columns | {"n_tokens": counts, "ids_sha256": sent, "decoded_sha256": back}
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    rows = docs.select(*keep, docs["text"].alias("bpe_input"))
-    return map_batches(rows, run, f"{kinds}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = docs.select(*keep) if own in keep else docs.select(*keep, docs["text"].alias(own))
+    return map_batches(rows, run, f"{kinds}, n_tokens long, ids_sha256 string, decoded_sha256 string", 500)
 
 
 _numbers: list[str] = []
