@@ -81,3 +81,21 @@ def test_no_rows_and_kept_bytes(rows):
     assert rb.digest(df.limit(0)).count() == 0
     got = {r.doc_id: (bytes(r.kept), r.n_removed, r.n_spans) for r in rb.deduplicate(df).collect()}
     assert got == {1: (b"x", 149, 1), 2: (b"start  end", 120, 1)}
+
+
+def test_rows_without_id_do_not_share_their_anchors(rows, monkeypatch):
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    passages = [text(150) for _ in range(40)]
+    docs = [(rng.choice([None, 7]), text(30) + passages[k % 40] + text(30)) for k in range(160)]
+    own = lambda t: set(rb.runs(np.frombuffer(t.encode(), np.uint8), np.array([len(t)]), 100)[0].tolist())
+    seen, pieces = [], rb._pieces
+
+    def watched(found, length):
+        seen.extend(found.select("text", "found").collect())
+        return pieces(found, length)
+
+    monkeypatch.setattr(rb, "_pieces", watched)
+    got = sorted((tuple(r) for r in rb.digest(rows("doc_id long, text string", *docs)).collect()), key=str)
+    assert got == plain(docs)
+    assert len(seen) > 100 and all({f["anchor"] for f in r.found} <= own(r.text) for r in seen)

@@ -117,11 +117,11 @@ def portions(rows: list[tuple], size: int = BATCH_BYTES) -> Iterator[tuple[list[
 
 
 def _anchors(docs: DataFrame, length: int) -> DataFrame:
-    """(anchor, id, times): the distinct anchors of each document, and how often each occurs."""
+    """(anchor, doc, times): the distinct anchors of each document, and how often each occurs."""
 
-    def run(id, text):
+    def run(doc, text):
         anchors, ids, times = [], [], []
-        for part, joined, ends in portions(list(zip(id, [(t or "").encode() for t in text]))):
+        for part, joined, ends in portions(list(zip(doc, [(t or "").encode() for t in text]))):
             found, first, _, often = runs(joined, ends, length)
             which = np.searchsorted(ends, first, "right")
             order = np.lexsort((found, which))
@@ -133,9 +133,9 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
             ids.append(np.array([r[0] for r in part], np.int64)[which[at]])
             times.append(np.add.reduceat(often, at) if len(at) else often)
         laid = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts])
-        return {"anchor": laid(anchors), "id": laid(ids), "times": laid(times)}
+        return {"anchor": laid(anchors), "doc": laid(ids), "times": laid(times)}
 
-    return map_batches(docs.select("id", "text"), run, "anchor long, id long, times long", 4096)
+    return map_batches(docs.select("doc", "text"), run, "anchor long, doc long, times long", 4096)
 
 
 def _pieces(docs: DataFrame, length: int) -> DataFrame:
@@ -289,14 +289,16 @@ def _place_columns(docs: DataFrame) -> tuple[Column, Column]:
 def removed_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     """(id, hash, windows): the covered windows (first, end) of each document that has some; id and hash as in the order."""
     scratch = Scratch(docs.sparkSession)
-    rows = docs.select(*_place_columns(docs), "text")
+    # A document is an id and a hash: rows without id, or with one id, must not share one set of anchors. Were
+    # two documents to get the same doc, each would only know of anchors that it does not have.
+    rows = docs.select(*_place_columns(docs), "text").withColumn("doc", F.xxhash64("id", "hash"))
     anchors = _anchors(rows, length)
     counts = anchors.groupBy("anchor").agg(F.sum("times").alias("n")).where("n >= 2")
     repeated = scratch.store(counts.select("anchor", (F.col("n") > HOT).alias("hot")), "repeated")
-    wanted = anchors.join(repeated, "anchor").groupBy("id").agg(F.collect_set(F.struct("anchor", "hot")).alias("found"))
+    wanted = anchors.join(repeated, "anchor").groupBy("doc").agg(F.collect_set(F.struct("anchor", "hot")).alias("found"))
     wanted = scratch.store(wanted, "wanted")
     scratch.release()
-    pieces = scratch.store(_pieces(rows.join(wanted, "id"), length), "pieces")
+    pieces = scratch.store(_pieces(rows.join(wanted, "doc"), length), "pieces")
     scratch.release(repeated, wanted)
     known = pieces.where("text is null").select("id", "hash", "first", "end")
     windows = known.unionByName(_compare(pieces, length)).groupBy("id", "hash")
