@@ -98,3 +98,34 @@ def test_rows(spark, rows):
     assert got == {(d, f"{p:016x}", first.get(root[p])) for d, p in prints}
     assert any(c != d for d, _, c in got if d and d >= 1000)
     assert sh.simhash_groups(docs.limit(0)).count() == 0
+
+
+def test_dense_family_of_similar_texts(spark):
+    rng = np.random.default_rng(8)
+    centre, made = rng.integers(0, 2, (sh.TABLES, sh.TABLE_BITS)), set()
+    while len(made) < 400:  # chance of a bit to differ: pairs below and above the mark
+        bits = centre ^ (rng.random(centre.shape) < rng.choice([0.05, 0.09, 0.13]))
+        bits[rng.integers(sh.TABLES)] = centre[0]  # many have an equal fingerprint in one table
+        made.add(tuple(np.packbits(np.pad(bits, ((0, 0), (0, 64 - sh.TABLE_BITS))), axis=1).view(">u8").astype(np.int64)[:, 0].tolist()))
+    sigs = [*made, next(iter(made))]
+    table = np.array(sigs, np.int64).view(np.uint64)
+    root = list(range(len(sigs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sigs)):
+        apart = np.bitwise_count(table[i] ^ table[:i])
+        for j in np.nonzero((apart.min(axis=1, initial=99) <= 3) & (apart.sum(axis=1) <= 62))[0]:
+            root[find(i)] = find(int(j))
+    want = {}
+    for i in range(len(sigs)):
+        want.setdefault(find(i), set()).add(i)
+    got = {}
+    texts = spark.createDataFrame(list(enumerate(sigs)), "node long, sig array<long>")
+    for r in sh.similar_groups(texts, sh.Scratch(spark)).collect():
+        got.setdefault(r.root, set()).add(r.node)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
+    assert max(map(len, want.values())) > 100

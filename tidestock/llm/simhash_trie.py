@@ -45,6 +45,7 @@ TABLES, TABLE_BITS = 10, 48
 #: five-word shingles share 0.875 of those of three words, a cosine of 0.93 and so an angle of 0.117 pi; the
 #: rest is room for the spread of 480 bits.
 SIMILAR = 0.13
+APART = int(SIMILAR * TABLES * TABLE_BITS)
 #: Node pairs handled at once, and the product of node sizes from which leaves are compared.
 CHUNK, LEAF = 1 << 16, 64
 
@@ -136,20 +137,35 @@ class Forest:
         return new
 
 
-def _near_in_order(x: np.ndarray, budget: int, forest: Forest) -> list[tuple[int, int]]:
+def _near(x: np.ndarray, i, j, budget: int, sig: np.ndarray | None) -> np.ndarray:
+    """Whether pairs are within `budget` bits, and similar by their whole signatures if there are any."""
+    near = np.bitwise_count(x[i] ^ x[j]) <= budget
+    if sig is not None and near.any():
+        at = near.nonzero()[0]
+        a, b = (k[at] if np.ndim(k) else k for k in (i, j))
+        near[at] = np.bitwise_count(sig[a] ^ sig[b]).sum(axis=1, dtype=np.int64) <= APART
+    return near
+
+
+def _near_in_order(x: np.ndarray, budget: int, forest: Forest, sig: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Connects neighbours in the order of the bits, and of the bits rotated, that are close enough."""
     out = []
     for turn in (0, 16, 32, 48):
         order = np.argsort(x << np.uint64(turn) | x >> np.uint64(64 - turn), kind="stable") if turn else np.arange(len(x))
-        close = np.bitwise_count(x[order[:-1]] ^ x[order[1:]]) <= budget
+        close = _near(x, order[:-1], order[1:], budget, sig)
         i, j = order[:-1][close], order[1:][close]
         out += [(int(i[k]), int(j[k])) for k in forest.unite(i, j)]
     return out
 
 
-def trie_join(x: np.ndarray, split: int, depth: int, budget: int) -> list[tuple[int, int]]:
+def trie_join(
+    x: np.ndarray, split: int, depth: int, budget: int, sig: np.ndarray | None = None, known: np.ndarray | None = None
+) -> list[tuple[int, int]]:
     """Connecting pairs of positions of x within `budget` bits.
 
+    sig: whole signatures, a row each. A pair then counts, and serves for skipping, only if these are similar
+    too, and x may repeat values. known: for every position the first one that it is connected to already.
+
     x: distinct fingerprints in ascending order, in two blocks x[:split] and x[split:] that each share
     `depth` leading bits; only pairs across the blocks are given. split 0: one block, pairs within it.
     """
@@ -157,14 +173,16 @@ def trie_join(x: np.ndarray, split: int, depth: int, budget: int) -> list[tuple[
     if n < 2 or split == n:
         return out
     forest = Forest(n)
+    if known is not None:
+        forest.parent[:] = known
     if split:  # links inside the blocks are left to the blocks' own tasks, and serve for skipping here
         for lo, hi in ((0, split), (split, n)):
             part = Forest(hi - lo)
-            _near_in_order(x[lo:hi], budget, part)
-            forest.parent[lo:hi] = part.parent + lo
+            _near_in_order(x[lo:hi], budget, part, None if sig is None else sig[lo:hi])
+            forest.unite(np.arange(lo, hi), part.parent + lo)
         start = [[0], [split], [split], [n], [int(np.bitwise_count((x[0] ^ x[-1]) >> np.uint64(64 - depth)))]]
     else:
-        out += _near_in_order(x, budget, forest)
+        out += _near_in_order(x, budget, forest, sig)
         start = [[0], [n], [0], [n], [0]]
     stack = [(depth, np.array(start, np.int64))]
     while stack:
@@ -178,10 +196,16 @@ def trie_join(x: np.ndarray, split: int, depth: int, budget: int) -> list[tuple[
         one = (change[alo] == change[ahi - 1]) & (change[blo] == change[bhi - 1]) & (label[alo] == label[blo])
         nodes = nodes[:, ~one]
         alo, ahi, blo, bhi, err = nodes
-        small = ((ahi - alo) * (bhi - blo) <= LEAF) | (d >= 64)
+        small = (ahi - alo) * (bhi - blo) <= LEAF
+        if d >= 64:  # equal values on each side, of which a signature's fingerprints may have many
+            for a, to, b, end in nodes[:4, ~small].T.tolist():
+                out += _row_by_row(x, a, to, b, end, budget, forest, sig)
+            nodes = nodes[:, small]
+            alo, ahi, blo, bhi, err = nodes
+            small = small[small]
         if small.any():
             i, j = _leaves(*nodes[:4, small])
-            near = np.bitwise_count(x[i] ^ x[j]) <= budget
+            near = _near(x, i, j, budget, sig)
             i, j = i[near], j[near]
             out += [(int(i[k]), int(j[k])) for k in forest.unite(i, j)]
             alo, ahi, blo, bhi, err = nodes = nodes[:, ~small]
@@ -205,6 +229,17 @@ def trie_join(x: np.ndarray, split: int, depth: int, budget: int) -> list[tuple[
     return out
 
 
+def _row_by_row(x, alo: int, ahi: int, blo: int, bhi: int, budget: int, forest: Forest, sig) -> list[tuple[int, int]]:
+    """Connects the pairs below one pair of nodes, one leaf of the first after the other."""
+    out, label = [], forest.parent
+    for i in range(alo, ahi):
+        j = np.arange(max(blo, i + 1) if alo == blo else blo, bhi)
+        j = j[label[j] != label[i]]
+        j = j[_near(x, i, j, budget, sig)]
+        out += [(i, int(j[k])) for k in forest.unite(np.full(len(j), i), j)]
+    return out
+
+
 def _leaves(alo, ahi, blo, bhi) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of leaves below pairs of nodes, each pair of one node once."""
     nb = bhi - blo
@@ -220,7 +255,10 @@ def links(distinct: DataFrame, budget: int = 3, least_depth: int = LEAST_DEPTH)
     """(in_table, a, b): links that connect all fingerprints within `budget` bits of each other.
 
     distinct: distinct rows of fp, and in_table where there are several sets to join, each on its own.
+    With node, label and sig too, a and b are nodes whose whole signatures are similar as well; nodes of
+    one label are connected already. Rows of fp need not be distinct then.
     """
+    whole = "sig" in distinct.columns
     many = "in_table" in distinct.columns
     count = distinct.count() / (TABLES if many else 1)
     depth = min(MOST_DEPTH, max(least_depth, math.ceil(math.log2(max(1, count) / BLOCK))))
@@ -228,17 +266,26 @@ def links(distinct: DataFrame, budget: int = 3, least_depth: int = LEAST_DEPTH)
     own = F.expr(f"shiftrightunsigned(fp, {64 - depth})")
     other = own.bitwiseXOR(F.col("mask"))
     of_table = (F.col("in_table") if many else F.lit(0)).cast("long").alias("in_table")
-    dealt = distinct.select("fp", of_table, F.explode(F.lit(masks).cast("array<bigint>")).alias("mask")).select(
-        "in_table", "fp", (F.least(own, other) * (1 << depth) + F.greatest(own, other)).alias("blocks")
+    more = ("node", "label", "sig") if whole else ()
+    dealt = distinct.select("fp", *more, of_table, F.explode(F.lit(masks).cast("array<bigint>")).alias("mask")).select(
+        "in_table", "fp", *more, (F.least(own, other) * (1 << depth) + F.greatest(own, other)).alias("blocks")
     )
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(group["fp"].to_numpy().view(np.uint64))
+        x = group["fp"].to_numpy().view(np.uint64)
+        order = np.argsort(x, kind="stable")
+        x = x[order]
+        node, sig, known = x.view(np.int64), None, None
+        if whole:
+            node = group["node"].to_numpy()[order]
+            sig = np.stack(group["sig"].to_numpy())[order].astype(np.int64).view(np.uint64)
+            _, first_of, which = np.unique(group["label"].to_numpy()[order], return_index=True, return_inverse=True)
+            known = first_of[which]
         pair = int(group["blocks"].iloc[0])
         first, second = pair >> depth, pair & ((1 << depth) - 1)
         split = 0 if first == second else int(np.searchsorted(x, np.uint64(second << (64 - depth))))
-        found = [] if first != second and split in (0, len(x)) else trie_join(x, split, depth, budget)
-        pairs = x[np.array(found, np.int64).reshape(-1, 2)].view(np.int64)
+        found = [] if first != second and split in (0, len(x)) else trie_join(x, split, depth, budget, sig, known)
+        pairs = node[np.array(found, np.int64).reshape(-1, 2)]
         return pd.DataFrame({"in_table": np.full(len(pairs), group["in_table"].iloc[0]), "a": pairs[:, 0], "b": pairs[:, 1]})
 
     return dealt.groupBy("in_table", "blocks").applyInPandas(run, "in_table long, a long, b long")
@@ -276,6 +323,11 @@ def similar_groups(texts: DataFrame, scratch: Scratch, budget: int = 3) -> DataF
     Each of a signature's fingerprints is joined by its own trie; two texts that differ in 0.117 of
     their bits are within three bits of 48 in at least one of ten in 85 of 100 cases, closer ones
     nearly always. A link counts if the whole signatures differ in at most SIMILAR of their bits.
+
+    The tries first join fingerprints alone and give links that connect all candidates; what holds
+    when checked on the whole signatures makes groups. Where texts connected by candidates fall into several
+    groups, a link that failed may have stood for others that hold: these texts, which are few, are
+    joined again with their signatures, so that only links that hold connect and spare comparisons.
     """
     values = texts.select("node", F.posexplode("sig").alias("in_table", "fp"))
     values = scratch.store(values, "values")
@@ -294,7 +346,20 @@ def similar_groups(texts: DataFrame, scratch: Scratch, budget: int = 3) -> DataF
     checked = (
         pairs.join(texts.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
         .join(texts.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-        .where(apart <= int(SIMILAR * TABLES * TABLE_BITS)).select("a", "b")
+        .where(apart <= APART).select("a", "b")
     )
     scratch.release(values)
-    return components(scratch.store(checked, "checked"), scratch)
+    checked = scratch.store(checked, "checked")
+    label = F.coalesce("label", "node").alias("label")
+    grouped = components(checked, scratch).withColumnRenamed("root", "label")
+    candidates = components(pairs, scratch).join(grouped, "node", "left").select("node", "root", label)
+    candidates = scratch.store(candidates, "candidates")
+    torn = candidates.groupBy("root").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other")
+    again = candidates.join(torn.select("root"), "root", "left_semi").join(texts, "node")
+    # Texts of equal signatures are in one group already if one is their first in a table; one stands for them.
+    again = again.groupBy("sig").agg(F.min(F.struct("node", "label")).alias("one"), F.collect_set("label").alias("labels"))
+    again = scratch.store(again, "again")
+    alike = again.select(F.col("one.label").alias("a"), F.explode("labels").alias("b")).where("a <> b")
+    again = again.select(F.col("one.node").alias("node"), F.col("one.label").alias("label"), "sig")
+    more = links(again.select("*", F.posexplode("sig").alias("in_table", "fp")), budget, least_depth=4).select("a", "b")
+    return components(scratch.store(checked.unionByName(alike).unionByName(more), "links"), scratch)
