@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_join, byte_bpe, decontaminate, hash_ring, repeated_bytes, secret_scan, simhash_trie, token_lengths, toxicity, url_filter, whitening
+from . import block_join, byte_bpe, decontaminate, hash_ring, repeated_bytes, secret_scan, simhash_trie, token_lengths, toxicity, url_filter, warc, whitening
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -68,6 +68,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(docs, items).drop("text_hash")
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     white = whitening.whiten(table(spark, sf_dir, "embeddings"))
     return white.withColumn("deviation", F.col("deviation").try_cast("long"))
@@ -77,9 +81,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_toxicity, op2_url_filter, op3_hash_ring, op4_simhash_trie, op5_token_lengths,
         op6_secret_scan, op7_block_join, op8_repeated_bytes, op9_byte_bpe, op10_decontaminate,
-        op13_whitening,
+        op12_warc, op13_whitening,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontaminate": decontaminate.ORACLE_SQL}
+    return {"op10_decontaminate": decontaminate.ORACLE_SQL, "op12_warc": warc.ORACLE_SQL}
