@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_join, byte_bpe, decontaminate, hash_ring, repeated_bytes, secret_scan, simhash_trie, token_lengths, toxicity, url_filter, warc, whitening
+from . import block_join, byte_bpe, conversations, decontaminate, hash_ring, repeated_bytes, secret_scan, simhash_trie, token_lengths, toxicity, url_filter, warc, whitening
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -68,6 +68,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(docs, items).drop("text_hash")
 
 
+def op11_glr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, dropped = conversations.damaged(table(spark, sf_dir, "conversations"))
+    return conversations.repair(rows, absent=dropped).digests().withColumnRenamed("key", "conv_id")
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -81,7 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_toxicity, op2_url_filter, op3_hash_ring, op4_simhash_trie, op5_token_lengths,
         op6_secret_scan, op7_block_join, op8_repeated_bytes, op9_byte_bpe, op10_decontaminate,
-        op12_warc, op13_whitening,
+        op11_glr_repair, op12_warc, op13_whitening,
     )}
 
 
