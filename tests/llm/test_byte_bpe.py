@@ -80,3 +80,22 @@ def test_rows(spark, rows, pair):
     back = byte_bpe.decode(byte_bpe.encode(docs, PATH, P.PATTERN), PATH, P.PATTERN)
     assert {(r.doc_id, bytes(r["bytes"]).decode()) for r in back.collect()} == {(d.doc_id, d.text or "") for d in docs.collect()}
     assert byte_bpe.round_trip(docs.limit(0), PATH, P.PATTERN).count() == 0
+
+
+def test_pieces_leave_when_their_bytes_are_spent(pair, monkeypatch):
+    """Little memory, many pieces: the ids stay right, what is met again stays longer, and the bound holds."""
+    own, library = pair
+    monkeypatch.setattr(byte_bpe, "NEW_BYTES", 20_000)
+    monkeypatch.setattr(byte_bpe, "KNOWN_BYTES", 60_000)
+    small = byte_bpe.ByteBpe(open(PATH, "rb").read(), P.PATTERN)
+    rng = random.Random(9)
+    often = ["".join(rng.choices("abcdeé", k=9)) for _ in range(40)]
+    for _ in range(60):
+        words = rng.choices(often, k=30) + ["".join(rng.choices("fghij中", k=rng.randrange(8, 90))) for _ in range(60)]
+        text = " ".join(words)
+        assert small.encode(text) == library.encode_ordinary(text)
+    cache = small.cache
+    for kept, most in ((cache.new, 20_000), (cache.known, 60_000)):
+        assert kept.size <= most
+        assert sum(byte_bpe.PIECE_BYTES + len(p) for g in (kept.newer, kept.older) for p in g) <= 2 * most + 20_000
+    assert cache.found > cache.asked // 5 and all(f" {w}" in cache.known.newer or f" {w}" in cache.known.older for w in often)

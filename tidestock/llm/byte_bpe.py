@@ -17,7 +17,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import regex
@@ -26,9 +27,11 @@ from pyspark.sql import DataFrame
 
 from .common import map_batches
 
-#: Split pieces kept with their ids, per Python worker, in each of two generations: when the newer is
-#: full, the older goes; pieces that are met again move to the newer one.
-CACHE_PIECES = 50_000
+#: Memory of split pieces and their ids per Python worker: bytes of new pieces, and of pieces that were
+#: met again. Of each there are two generations; when the newer is full, the older goes.
+NEW_BYTES, KNOWN_BYTES = 12 << 20, 30 << 20
+#: What a piece takes besides its bytes and ids: two objects and a place in a table.
+PIECE_BYTES = 200
 #: Bytes of pieces merged in one queue; a longer piece has a queue to itself.
 QUEUE_BYTES = 1 << 18
 #: Texts encoded at once: so many, or fewer with so many code points.
@@ -73,6 +76,59 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in data.splitlines() if line)}
 
 
+def ids_of(packed: bytes) -> list[int]:
+    return array("I", packed).tolist()
+
+
+class Generations:
+    """Packed ids by piece, in two generations of at most `most` bytes each."""
+
+    def __init__(self, most: int):
+        self.most, self.size = most, 0
+        self.newer: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def add(self, pieces: dict[str, bytes]) -> None:
+        for piece, packed in pieces.items():
+            cost = PIECE_BYTES + len(piece) * (1 if piece.isascii() else 2) + len(packed)
+            if cost > self.most >> 6:
+                continue  # a very long piece is not kept
+            self.size += cost
+            self.newer[piece] = packed
+            if self.size >= self.most:
+                self.older, self.newer, self.size = self.newer, {}, 0
+
+
+class Pieces:
+    """Pieces met before: those met once leave sooner than those met again."""
+
+    def __init__(self):
+        self.new, self.known = Generations(NEW_BYTES), Generations(KNOWN_BYTES)
+        self.asked = self.found = 0
+
+    def find(self, pieces: set[str]) -> tuple[dict[str, bytes], list[str]]:
+        """Ids of the pieces that are at hand, and the other pieces."""
+        first = self.known.newer
+        found = {p: first[p] for p in pieces & first.keys()}
+        again, missing = {}, []
+        others = [t for t in (self.known.older, self.new.newer, self.new.older) if t]
+        for piece in pieces.difference(found):
+            for table in others:
+                if piece in table:
+                    again[piece] = table[piece]
+                    break
+            else:
+                missing.append(piece)
+        self.asked += len(pieces)
+        self.found += len(pieces) - len(missing)
+        self.known.add(again)
+        found.update(again)
+        return found, missing
+
+    def add(self, pieces: dict[str, bytes]) -> None:
+        self.new.add(pieces)
+
+
 class ByteBpe:
     def __init__(self, rank_file: bytes, pattern: str):
         self.ranks = read_ranks(rank_file)
@@ -89,11 +145,10 @@ class ByteBpe:
                 left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if left is not None and right is not None:
                     self.pairs[left << 32 | right] = rank
-        self._pieces: dict[str, tuple[int, ...]] = {}
-        self._older: dict[str, tuple[int, ...]] = {}
+        self.cache = Pieces()
 
-    def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """Ids of split pieces, all in one queue: a bucket holds positions of every piece.
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of split pieces (packed, see `ids_of`), all in one queue: a bucket holds positions of every piece.
 
         Pieces are chained one after the other without links between them; index n, also reached as
         -1, stands for "no neighbour" and pairs with nothing.
@@ -148,42 +203,45 @@ class ByteBpe:
                     break
             for i in bucket[at:]:  # a merge made a pair of this rank or a lower one: the rest goes back
                 push(rank, i)
-        out, end = [], 0
+        flat, ends, end = [], [0], 0
         for piece in pieces:
-            i, got = end, []
+            i = end
             end += len(piece)
             while i < n:
-                got.append(ids[i])
+                flat.append(ids[i])
                 i = after[i]
-            out.append(tuple(got))
-        return out
+            ends.append(4 * len(flat))
+        packed = array("I", flat).tobytes()
+        return [packed[a:b] for a, b in zip(ends, ends[1:])]
 
-    def learn(self, pieces: set[str]) -> None:
-        """Put the ids of pieces that are not at hand into the cache, many pieces to a queue."""
+    def learn(self, pieces: Iterable[str], known: dict[str, bytes]) -> None:
+        """Add the packed ids of pieces to `known`, many pieces to a queue."""
         whole, rest = self.ranks.get, []
         for piece in pieces:
             data = piece.encode()
-            ids = self._older.get(piece) or ((rank,) if (rank := whole(data)) is not None else None)
-            if ids:
-                self._pieces[piece] = ids
-            else:
+            rank = whole(data)
+            if rank is None:
                 rest.append((piece, data))
+            else:
+                known[piece] = array("I", [rank]).tobytes()
         start, size = 0, 0
         for stop, (_, data) in enumerate(rest, 1):
             size += len(data)
             if size >= QUEUE_BYTES or stop == len(rest):
                 part = rest[start:stop]
-                self._pieces.update(zip((p for p, _ in part), self.merge([d for _, d in part])))
+                known.update(zip((p for p, _ in part), self.merge([d for _, d in part])))
                 start, size = stop, 0
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
-        if len(self._pieces) >= CACHE_PIECES:
-            self._older, self._pieces = self._pieces, {}
         split = [self.split(t) for t in texts]
-        known = self._pieces
-        self.learn(set(chain.from_iterable(split)).difference(known))
+        known, missing = self.cache.find(set(chain.from_iterable(split)))
+        new: dict[str, bytes] = {}
+        self.learn(missing, new)
+        known.update(new)
         of = known.__getitem__
-        return [list(chain.from_iterable(map(of, pieces))) for pieces in split]
+        out = [ids_of(b"".join(map(of, pieces))) for pieces in split]
+        self.cache.add(new)
+        return out
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0]
