@@ -1,8 +1,8 @@
 """A corpus pipeline of five operators, each stage written and read back before the next.
 
 toxicity         documents that score TOXIC or more go
-near_duplicates  of each group of similar texts (0.8 of five-word shingles, by SimHash) the row with the
-                 smallest id stays
+near_duplicates  of each component of SimHash fingerprints (three-word shingles, 3 bits of 64) the row
+                 with the smallest id stays
 decontaminate    documents that hold a benchmark item go
 secrets          every secret is replaced by a mark, and n_chars follows
 tokens           adds the number of ids of byte-level BPE, their digest and that of the decoded bytes
@@ -38,22 +38,20 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest id of each group; of equal ids the smallest hash of the text, of equal rows any one.
+    """The row with the smallest id of each component; of equal ids the smallest hash of the text, of equal rows any one.
 
-    Rows are found again by id and text hash, so only ids, hashes and fingerprints are grouped.
+    The operator gets one row per fingerprint, and rows are found again by id and text hash, so a group of
+    copies of any size is only ever a minimum.
     """
     scratch = Scratch(spark)
     hashed = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     rows = docs.select("doc_id", hashed.alias("hash"), "text")
-    prints = scratch.store(simhash_trie.signatures(rows, keep=("doc_id", "hash")), "prints")
-    texts = scratch.store(prints.groupBy("hash").agg(F.first("sig").alias("sig")).withColumnRenamed("hash", "node"), "texts")
-    groups = simhash_trie.similar_groups(texts, scratch)
-    first = Window.partitionBy("root").orderBy(F.asc_nulls_last("doc_id"), "hash")
-    grouped = prints.select("doc_id", "hash").join(groups.withColumnRenamed("node", "hash"), "hash", "left")
-    grouped = grouped.select("doc_id", "hash", F.coalesce("root", "hash").alias("root"))
-    chosen = grouped.withColumn("place", F.row_number().over(first)).where("place = 1")
-    chosen = scratch.store(chosen.select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash")).distinct(), "chosen")
-    scratch.release(prints, texts)
+    prints = scratch.store(simhash_trie.fingerprints(rows, keep=("doc_id", "hash")), "prints")
+    groups = simhash_trie.near_duplicates(prints, scratch)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("least")
+    firsts = prints.groupBy("fp").agg(least)
+    chosen = firsts.join(groups, "fp").groupBy("root").agg(F.min("least").alias("least"))
+    chosen = scratch.store(chosen.select(F.col("least.doc_id").alias("__id"), F.col("least.hash").alias("__hash")), "chosen")
     found = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["__id"]) & (hashed == chosen["__hash"]), "left_semi")
     # Equal rows were chosen together: one stays. The limit applies in every task before the shuffle.
     plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
