@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -61,7 +62,7 @@ def test_trie_join_connects_what_all_pairs_connect(seed):
             values.add(v)
     x = np.array(sorted(values), np.uint64)
     forest = sh.Forest(len(x))
-    pairs = sh.trie_join(x, 0, 0, 3)
+    pairs = sh.trie_join(x, 0, 3)
     assert len(pairs) < len(x) and all((int(x[i]) ^ int(x[j])).bit_count() <= 3 for i, j in pairs)
     forest.unite(np.array([i for i, _ in pairs], int), np.array([j for _, j in pairs], int))
     want = groups([int(v) for v in x], 3)
@@ -100,32 +101,55 @@ def test_rows(spark, rows):
     assert sh.simhash_groups(docs.limit(0)).count() == 0
 
 
-def test_dense_family_of_similar_texts(spark):
-    rng = np.random.default_rng(8)
-    centre, made = rng.integers(0, 2, (sh.TABLES, sh.TABLE_BITS)), set()
-    while len(made) < 400:  # chance of a bit to differ: pairs below and above the mark
-        bits = centre ^ (rng.random(centre.shape) < rng.choice([0.05, 0.09, 0.13]))
-        bits[rng.integers(sh.TABLES)] = centre[0]  # many have an equal fingerprint in one table
-        made.add(tuple(np.packbits(np.pad(bits, ((0, 0), (0, 64 - sh.TABLE_BITS))), axis=1).view(">u8").astype(np.int64)[:, 0].tolist()))
-    sigs = [*made, next(iter(made))]
-    table = np.array(sigs, np.int64).view(np.uint64)
-    root = list(range(len(sigs)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(sigs)):
-        apart = np.bitwise_count(table[i] ^ table[:i])
-        for j in np.nonzero((apart.min(axis=1, initial=99) <= 3) & (apart.sum(axis=1) <= 62))[0]:
-            root[find(i)] = find(int(j))
-    want = {}
-    for i in range(len(sigs)):
-        want.setdefault(find(i), set()).add(i)
-    got = {}
-    texts = spark.createDataFrame(list(enumerate(sigs)), "node long, sig array<long>")
-    for r in sh.similar_groups(texts, sh.Scratch(spark)).collect():
-        got.setdefault(r.root, set()).add(r.node)
-    assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
-    assert max(map(len, want.values())) > 100
+def near(rng, centre, most):
+    for b in rng.sample(range(64), rng.randrange(most + 1)):
+        centre ^= 1 << b
+    return centre
+
+
+def connected(links, values, budget=3):
+    want = groups(values, budget)
+    root = {v: v for v in values}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for r in links.collect():
+        a, b = r.a & (1 << 64) - 1, r.b & (1 << 64) - 1
+        assert (a ^ b).bit_count() <= budget
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    assert {v: find(v) for v in values} == want
+
+
+def frame(spark, values):
+    return spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+
+
+@pytest.mark.parametrize("block, hot", [(4096, 1 << 16), (64, 1 << 16), (4, 20)])
+def test_tries_and_hot_nodes(spark, block, hot):
+    """Families of any density, shallow and deep nodes, and nodes cut again: the same components."""
+    rng = random.Random(block)
+    values = {0, (1 << 64) - 1}
+    for size in [1] * 60 + [3] * 30 + [300]:
+        centre = rng.getrandbits(64)
+        values |= {near(rng, centre, 4) for _ in range(size)}
+    values |= {(0xABCD << 48) | near(rng, 0, 5) & (1 << 48) - 1 for _ in range(150)}  # one prefix
+    values = sorted(values)
+    scratch = Scratch(spark)
+    connected(sh.links(frame(spark, values), scratch, 3, block, hot), values)
+    nodes = sh.dealt(frame(spark, values), scratch, 3, block, hot)
+    sizes = [r["count"] for r in nodes.groupBy("trie", "depth", "prefix").count().collect()]
+    assert max(sizes) <= hot and (block != 4 or nodes.select("depth").distinct().count() > 1)
+    connected(sh.links(frame(spark, values), scratch, 2, block, hot), values, 2)
+
+
+def test_copies_do_not_grow_with_the_table(spark):
+    rng = np.random.default_rng(3)
+    for n in (2_000, 20_000):
+        distinct = spark.createDataFrame(pd.DataFrame({"fp": np.unique(rng.integers(-(1 << 63), (1 << 63) - 1, n))}))
+        nodes = sh.dealt(distinct, Scratch(spark), 3, 16)
+        assert nodes.count() == 4 * n
+        assert max(r["count"] for r in nodes.groupBy("trie", "depth", "prefix").count().collect()) < 100

@@ -6,14 +6,16 @@ set in more than half of the shingles' XXH64 (UTF-8, seed 42).
 
 Join: pairs of trie nodes of equal depth go down together, bit by bit. A pair whose paths differ in
 more bits than allowed is dropped with everything below; small pairs of nodes are compared leaf by
-leaf. Distinct fingerprints only take part. The upper levels of the trie are the partitioning: a
-fingerprint goes to every pair of blocks (its own prefix, a prefix within the allowed bits), so
-each pair of blocks is a task of its own. Within a task a pair of nodes whose fingerprints are
-known to be connected already is skipped, and only links that connect something new leave it: a
-dense group of near copies gives as many links as fingerprints, and no reachable pair is lost.
+leaf. Distinct fingerprints only take part. Within a task a pair of nodes whose fingerprints are known to be connected
+already is skipped, and only links that connect something new leave it: a dense group of near copies
+gives as many links as fingerprints, and no reachable pair is lost.
 
-For similarity instead of a given number of bits (`similar_groups`) a text has several independent
-fingerprints, each joined by its own trie, and links are checked on all their bits.
+Partitioning: with k bits allowed, the 64 bits are cut into k + 1 blocks, and there are k + 1 tries,
+each with another block on top. Two fingerprints within k bits agree in one block at least, so in that block's
+trie they are below one node, and no pair of different nodes needs to be followed there. So a
+fingerprint is in k + 1 tasks, however large the table; the depth of the nodes that are tasks follows
+from the number of fingerprints. A node that is still hot at its whole block is cut again: the
+same is done with the bits below it, for its fingerprints alone, until no node is hot.
 
 Defined cases: null text counts as empty; empty texts share the fingerprint zero and link like any
 other; a null doc_id gets a fingerprint and the component of its group, but names none (a group
@@ -23,29 +25,23 @@ further columns are left out.
 
 from __future__ import annotations
 
+import functools
 import math
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, map_batches
 from .graph import components
 
 SEED = 42
-#: Aim for the mean number of fingerprints with one prefix; the depth of the split follows from their count.
-BLOCK = 16_384
-LEAST_DEPTH, MOST_DEPTH = 6, 20
-#: For similarity rather than a given number of bits: independent fingerprints, and bits of each.
-TABLES, TABLE_BITS = 10, 48
-#: Share of a whole signature's bits in which similar texts differ at most. Texts that share 0.8 of their
-#: five-word shingles share 0.875 of those of three words, a cosine of 0.93 and so an angle of 0.117 pi; the
-#: rest is room for the spread of 480 bits.
-SIMILAR = 0.13
-APART = int(SIMILAR * TABLES * TABLE_BITS)
+#: Aim for the mean number of fingerprints below one node; the depth of the nodes follows from it.
+BLOCK = 4096
+#: A node is hot with more fingerprints than HOT, and with more than one in HOT_SHARE of those dealt out.
+HOT, HOT_SHARE = 1 << 16, 10_000
 #: Node pairs handled at once, and the product of node sizes from which leaves are compared.
 CHUNK, LEAF = 1 << 16, 64
 
@@ -79,28 +75,6 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(majority(shingle_hashes(text, words))).view(">u8")[0])
 
 
-def signature(text: str | None, words: int = 3) -> list[int]:
-    """TABLES independent SimHashes of TABLE_BITS bits, each in the upper bits of a signed long."""
-    hashes, bits = shingle_hashes(text, words), []
-    for k in range(-(-TABLES * TABLE_BITS // 64)):
-        mixed = (hashes ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
-        bits.append(majority(mixed ^ mixed >> np.uint64(32)))
-    rows = np.concatenate(bits)[: TABLES * TABLE_BITS].reshape(TABLES, TABLE_BITS)
-    return np.packbits(np.pad(rows, ((0, 0), (0, 64 - TABLE_BITS))), axis=1).view(">u8").astype(np.uint64).view(np.int64)[:, 0].tolist()
-
-
-def signatures(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), words: int = 3) -> DataFrame:
-    """`keep` columns and sig, the signature."""
-
-    def run(**columns):
-        texts = columns.pop("fp_input")
-        return columns | {"sig": [signature(t, words) for t in texts]}
-
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return map_batches(docs.select(*keep, docs["text"].alias("fp_input")), run, f"{kinds}sig array<long>")
-
-
 def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), words: int = 3) -> DataFrame:
     """`keep` columns and fp, the fingerprint as a signed long."""
 
@@ -137,54 +111,28 @@ class Forest:
         return new
 
 
-def _near(x: np.ndarray, i, j, budget: int, sig: np.ndarray | None) -> np.ndarray:
-    """Whether pairs are within `budget` bits, and similar by their whole signatures if there are any."""
-    near = np.bitwise_count(x[i] ^ x[j]) <= budget
-    if sig is not None and near.any():
-        at = near.nonzero()[0]
-        a, b = (k[at] if np.ndim(k) else k for k in (i, j))
-        near[at] = np.bitwise_count(sig[a] ^ sig[b]).sum(axis=1, dtype=np.int64) <= APART
-    return near
-
-
-def _near_in_order(x: np.ndarray, budget: int, forest: Forest, sig: np.ndarray | None = None) -> list[tuple[int, int]]:
+def _near_in_order(x: np.ndarray, budget: int, forest: Forest) -> list[tuple[int, int]]:
     """Connects neighbours in the order of the bits, and of the bits rotated, that are close enough."""
     out = []
     for turn in (0, 16, 32, 48):
         order = np.argsort(x << np.uint64(turn) | x >> np.uint64(64 - turn), kind="stable") if turn else np.arange(len(x))
-        close = _near(x, order[:-1], order[1:], budget, sig)
+        close = np.bitwise_count(x[order[:-1]] ^ x[order[1:]]) <= budget
         i, j = order[:-1][close], order[1:][close]
         out += [(int(i[k]), int(j[k])) for k in forest.unite(i, j)]
     return out
 
 
-def trie_join(
-    x: np.ndarray, split: int, depth: int, budget: int, sig: np.ndarray | None = None, known: np.ndarray | None = None
-) -> list[tuple[int, int]]:
+def trie_join(x: np.ndarray, depth: int, budget: int) -> list[tuple[int, int]]:
     """Connecting pairs of positions of x within `budget` bits.
 
-    sig: whole signatures, a row each. A pair then counts, and serves for skipping, only if these are similar
-    too, and x may repeat values. known: for every position the first one that it is connected to already.
-
-    x: distinct fingerprints in ascending order, in two blocks x[:split] and x[split:] that each share
-    `depth` leading bits; only pairs across the blocks are given. split 0: one block, pairs within it.
+    x: distinct fingerprints in ascending order that share `depth` leading bits.
     """
     n, out = len(x), []
-    if n < 2 or split == n:
+    if n < 2:
         return out
     forest = Forest(n)
-    if known is not None:
-        forest.parent[:] = known
-    if split:  # links inside the blocks are left to the blocks' own tasks, and serve for skipping here
-        for lo, hi in ((0, split), (split, n)):
-            part = Forest(hi - lo)
-            _near_in_order(x[lo:hi], budget, part, None if sig is None else sig[lo:hi])
-            forest.unite(np.arange(lo, hi), part.parent + lo)
-        start = [[0], [split], [split], [n], [int(np.bitwise_count((x[0] ^ x[-1]) >> np.uint64(64 - depth)))]]
-    else:
-        out += _near_in_order(x, budget, forest, sig)
-        start = [[0], [n], [0], [n], [0]]
-    stack = [(depth, np.array(start, np.int64))]
+    out += _near_in_order(x, budget, forest)
+    stack = [(depth, np.array([[0], [n], [0], [n], [0]], np.int64))]
     while stack:
         d, nodes = stack.pop()
         if nodes.shape[1] > CHUNK:
@@ -197,15 +145,9 @@ def trie_join(
         nodes = nodes[:, ~one]
         alo, ahi, blo, bhi, err = nodes
         small = (ahi - alo) * (bhi - blo) <= LEAF
-        if d >= 64:  # equal values on each side, of which a signature's fingerprints may have many
-            for a, to, b, end in nodes[:4, ~small].T.tolist():
-                out += _row_by_row(x, a, to, b, end, budget, forest, sig)
-            nodes = nodes[:, small]
-            alo, ahi, blo, bhi, err = nodes
-            small = small[small]
         if small.any():
             i, j = _leaves(*nodes[:4, small])
-            near = _near(x, i, j, budget, sig)
+            near = np.bitwise_count(x[i] ^ x[j]) <= budget
             i, j = i[near], j[near]
             out += [(int(i[k]), int(j[k])) for k in forest.unite(i, j)]
             alo, ahi, blo, bhi, err = nodes = nodes[:, ~small]
@@ -229,17 +171,6 @@ def trie_join(
     return out
 
 
-def _row_by_row(x, alo: int, ahi: int, blo: int, bhi: int, budget: int, forest: Forest, sig) -> list[tuple[int, int]]:
-    """Connects the pairs below one pair of nodes, one leaf of the first after the other."""
-    out, label = [], forest.parent
-    for i in range(alo, ahi):
-        j = np.arange(max(blo, i + 1) if alo == blo else blo, bhi)
-        j = j[label[j] != label[i]]
-        j = j[_near(x, i, j, budget, sig)]
-        out += [(i, int(j[k])) for k in forest.unite(np.full(len(j), i), j)]
-    return out
-
-
 def _leaves(alo, ahi, blo, bhi) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of leaves below pairs of nodes, each pair of one node once."""
     nb = bhi - blo
@@ -251,44 +182,63 @@ def _leaves(alo, ahi, blo, bhi) -> tuple[np.ndarray, np.ndarray]:
     return i[keep], j[keep]
 
 
-def links(distinct: DataFrame, budget: int = 3, least_depth: int = LEAST_DEPTH) -> DataFrame:
-    """(in_table, a, b): links that connect all fingerprints within `budget` bits of each other.
+def _block_first(y: Column, above: int, block: int, width: int) -> Column:
+    """y with a block of the bits below the first `above` ones turned to their front."""
+    if not block:
+        return y
+    below, turn = 64 - above, block * width
+    mask = (1 << below) - 1
+    rest = y.bitwiseAND(F.lit(mask if above else -1))
+    moved = F.shiftleft(rest, turn).bitwiseOR(F.shiftrightunsigned(rest, below - turn))
+    return moved if not above else y.bitwiseAND(F.lit(~mask)).bitwiseOR(moved.bitwiseAND(F.lit(mask)))
+
 
-    distinct: distinct rows of fp, and in_table where there are several sets to join, each on its own.
-    With node, label and sig too, a and b are nodes whose whole signatures are similar as well; nodes of
-    one label are connected already. Rows of fp need not be distinct then.
+def dealt(distinct: DataFrame, scratch: Scratch, budget: int = 3, block: int = BLOCK, hot: int = HOT) -> DataFrame:
+    """(trie, depth, prefix, y, fp): the nodes each fingerprint is below, one task each.
+
+    distinct: distinct rows of fp. y: its bits in the order of the trie; prefix: the first `depth` of them.
     """
-    whole = "sig" in distinct.columns
-    many = "in_table" in distinct.columns
-    count = distinct.count() / (TABLES if many else 1)
-    depth = min(MOST_DEPTH, max(least_depth, math.ceil(math.log2(max(1, count) / BLOCK))))
-    masks = [sum(1 << b for b in bits) for k in range(budget + 1) for bits in combinations(range(depth), k)]
-    own = F.expr(f"shiftrightunsigned(fp, {64 - depth})")
-    other = own.bitwiseXOR(F.col("mask"))
-    of_table = (F.col("in_table") if many else F.lit(0)).cast("long").alias("in_table")
-    more = ("node", "label", "sig") if whole else ()
-    dealt = distinct.select("fp", *more, of_table, F.explode(F.lit(masks).cast("array<bigint>")).alias("mask")).select(
-        "in_table", "fp", *more, (F.least(own, other) * (1 << depth) + F.greatest(own, other)).alias("blocks")
-    )
+    count, blocks = distinct.count(), budget + 1
+    above, width = 0, 64 // blocks
+    depth = min(width, max(0, math.ceil(math.log2(max(1, count) / block))))
+    rows, parts = distinct.select(F.lit(0).alias("trie"), F.col("fp").alias("y"), "fp"), []
+    while True:
+        # A single node needs no other tries: it holds all pairs.
+        tries = range(blocks if depth > above else 1)
+        choices = F.array(*[
+            F.struct((F.col("trie") * (blocks + 1) + k + 1).alias("trie"), _block_first(F.col("y"), above, k, width).alias("y")) for k in tries
+        ])
+        rows = rows.select("fp", F.explode(choices).alias("to")).select("to.*", "fp")
+        while True:
+            prefix = F.shiftrightunsigned("y", 64 - depth) if depth else F.lit(0).cast("long")
+            rows = rows.select("trie", F.lit(depth).alias("depth"), prefix.alias("prefix"), "y", "fp")
+            sizes = scratch.store(rows.groupBy("trie", "prefix").agg(F.count("*").alias("n")), "nodes")
+            total = sizes.agg(F.sum("n")).first()[0] or 0
+            over = sizes.where((F.col("n") > hot) & (F.col("n") * HOT_SHARE > total)).select("trie", "prefix")
+            if over.isEmpty():
+                return functools.reduce(DataFrame.unionByName, parts, rows)
+            over = F.broadcast(over)  # fewer than HOT_SHARE nodes
+            parts.append(rows.join(over, ["trie", "prefix"], "left_anti"))
+            rows = scratch.store(rows.join(over, ["trie", "prefix"], "left_semi"), "hot")
+            if depth == above + width:
+                break
+            depth = above + width
+        above, width = depth, (64 - depth) // blocks
+        depth = above + width
+
+
+def links(distinct: DataFrame, scratch: Scratch, budget: int = 3, block: int = BLOCK, hot: int = HOT) -> DataFrame:
+    """(a, b): links that connect all fingerprints within `budget` bits of each other, from distinct rows of fp."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        x = group["fp"].to_numpy().view(np.uint64)
-        order = np.argsort(x, kind="stable")
-        x = x[order]
-        node, sig, known = x.view(np.int64), None, None
-        if whole:
-            node = group["node"].to_numpy()[order]
-            sig = np.stack(group["sig"].to_numpy())[order].astype(np.int64).view(np.uint64)
-            _, first_of, which = np.unique(group["label"].to_numpy()[order], return_index=True, return_inverse=True)
-            known = first_of[which]
-        pair = int(group["blocks"].iloc[0])
-        first, second = pair >> depth, pair & ((1 << depth) - 1)
-        split = 0 if first == second else int(np.searchsorted(x, np.uint64(second << (64 - depth))))
-        found = [] if first != second and split in (0, len(x)) else trie_join(x, split, depth, budget, sig, known)
-        pairs = node[np.array(found, np.int64).reshape(-1, 2)]
-        return pd.DataFrame({"in_table": np.full(len(pairs), group["in_table"].iloc[0]), "a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return dealt.groupBy("in_table", "blocks").applyInPandas(run, "in_table long, a long, b long")
+        y, fp = group["y"].to_numpy().view(np.uint64), group["fp"].to_numpy()
+        order = np.argsort(y, kind="stable")
+        found = np.array(trie_join(y[order], int(group["depth"].iloc[0]), budget), np.int64).reshape(-1, 2)
+        pairs = fp[order][found]
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    nodes = dealt(distinct, scratch, budget, block, hot)
+    return nodes.groupBy("trie", "depth", "prefix").applyInPandas(run, "a long, b long")
 
 
 def near_duplicates(prints: DataFrame, scratch: Scratch, budget: int = 3) -> DataFrame:
@@ -297,7 +247,7 @@ def near_duplicates(prints: DataFrame, scratch: Scratch, budget: int = 3) -> Dat
     root: the group's smallest fingerprint; component_id: its smallest doc_id.
     """
     distinct = scratch.store(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    groups = components(links(distinct.select("fp"), budget).select("a", "b"), scratch)
+    groups = components(links(distinct.select("fp"), scratch, budget), scratch)
     rooted = scratch.store(
         distinct.join(groups, distinct["fp"] == groups["node"], "left")
         .select("fp", F.coalesce("root", "fp").alias("root"), "first_id"),
@@ -315,51 +265,3 @@ def simhash_groups(docs: DataFrame, budget: int = 3, words: int = 3) -> DataFram
     return prints.join(groups, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
-
-
-def similar_groups(texts: DataFrame, scratch: Scratch, budget: int = 3) -> DataFrame:
-    """(node, root) of texts that are similar to others, from (node, sig), one row per node.
-
-    Each of a signature's fingerprints is joined by its own trie; two texts that differ in 0.117 of
-    their bits are within three bits of 48 in at least one of ten in 85 of 100 cases, closer ones
-    nearly always. A link counts if the whole signatures differ in at most SIMILAR of their bits.
-
-    The tries first join fingerprints alone and give links that connect all candidates; what holds
-    when checked on the whole signatures makes groups. Where texts connected by candidates fall into several
-    groups, a link that failed may have stood for others that hold: these texts, which are few, are
-    joined again with their signatures, so that only links that hold connect and spare comparisons.
-    """
-    values = texts.select("node", F.posexplode("sig").alias("in_table", "fp"))
-    values = scratch.store(values, "values")
-    first = scratch.store(values.groupBy("in_table", "fp").agg(F.min("node").alias("first"), F.count("*").alias("n")), "first")
-    near = scratch.store(links(first.select("in_table", "fp"), budget, least_depth=4), "near")
-    a = first.select("in_table", F.col("fp").alias("a"), F.col("first").alias("node_a"))
-    b = first.select("in_table", F.col("fp").alias("b"), F.col("first").alias("node_b"))
-    between = near.join(a, ["in_table", "a"]).join(b, ["in_table", "b"]).select("node_a", "node_b")
-    within = values.join(first.where("n > 1"), ["in_table", "fp"]).where("node <> first").select(
-        F.col("first").alias("node_a"), F.col("node").alias("node_b")
-    )
-    pairs = scratch.store(
-        between.unionByName(within).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "pairs"
-    )
-    apart = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
-    checked = (
-        pairs.join(texts.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
-        .join(texts.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-        .where(apart <= APART).select("a", "b")
-    )
-    scratch.release(values)
-    checked = scratch.store(checked, "checked")
-    label = F.coalesce("label", "node").alias("label")
-    grouped = components(checked, scratch).withColumnRenamed("root", "label")
-    candidates = components(pairs, scratch).join(grouped, "node", "left").select("node", "root", label)
-    candidates = scratch.store(candidates, "candidates")
-    torn = candidates.groupBy("root").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other")
-    again = candidates.join(torn.select("root"), "root", "left_semi").join(texts, "node")
-    # Texts of equal signatures are in one group already if one is their first in a table; one stands for them.
-    again = again.groupBy("sig").agg(F.min(F.struct("node", "label")).alias("one"), F.collect_set("label").alias("labels"))
-    again = scratch.store(again, "again")
-    alike = again.select(F.col("one.label").alias("a"), F.explode("labels").alias("b")).where("a <> b")
-    again = again.select(F.col("one.node").alias("node"), F.col("one.label").alias("label"), "sig")
-    more = links(again.select("*", F.posexplode("sig").alias("in_table", "fp")), budget, least_depth=4).select("a", "b")
-    return components(scratch.store(checked.unionByName(alike).unionByName(more), "links"), scratch)
