@@ -67,3 +67,37 @@ def test_label_model_finds_accuracies_and_the_copied_voter():
     assert np.abs(model.accuracy[:4, 1] - right).max() < 0.06 and np.abs(model.accuracy[:4, 0] - wrong).max() < 0.04
     linked = {frozenset((i, int(p))) for i, p in enumerate(model.parent) if p >= 0}
     assert frozenset((1, 4)) in linked and max(model.correlation) > 0.5
+
+
+def test_sample_is_bounded_in_rows(rows):
+    """One id with very many texts fills no more of the sample than others."""
+    docs = rows("doc_id long, text string", *[(1, f"text {k}") for k in range(500)], *[(k, f"other {k}") for k in range(2, 40)])
+    labels = rows("doc_id long, toxic int", *[(k, k % 2) for k in range(1, 40)])
+    got = tx.training_sample(docs, labels, limit=10)
+    assert got.count() == 10 and sorted(map(tuple, got.collect())) == sorted(map(tuple, tx.training_sample(docs.repartition(7), labels, limit=10).collect()))
+
+
+def test_label_model_against_all_assignments():
+    """Few voters: posteriors by summing over every assignment of classes, and tables by counting what they expect."""
+    rng = np.random.default_rng(2)
+    y = rng.random(400) < 0.3
+    votes = (rng.random((400, 3)) < np.where(y[:, None], [0.9, 0.8, 0.7], [0.1, 0.2, 0.1])).astype(int)
+    votes = np.column_stack([votes, np.where(rng.random(400) < 0.85, votes[:, 0], 1 - votes[:, 0])])
+    patterns, inverse = np.unique(votes, axis=0, return_inverse=True)
+    weight = np.bincount(inverse.ravel()).astype(float)
+    model = tx.LabelModel(4, 0.3).fit(patterns, weight, np.full(len(patterns), -1))
+    assert any(p >= 0 for p in model.parent)
+    post = model.posterior(patterns)
+    for p, got in zip(patterns, post):
+        chance = [1 - model.prior, model.prior]
+        for c in (0, 1):
+            for i, parent in enumerate(model.parent):
+                chance[c] *= model.tables[c][i][p[i], p[parent] if parent >= 0 else 0]
+        assert got == pytest.approx(chance[1] / sum(chance), abs=1e-9)
+    for c, belongs in enumerate((1 - post, post)):  # at rest, the tables are the expected shares
+        for i, parent in enumerate(model.parent):
+            for v in (0, 1):
+                given = patterns[:, parent] == v if parent >= 0 else np.ones(len(patterns), bool)
+                share = (weight * belongs * given * patterns[:, i]).sum() / (weight * belongs * given).sum()
+                assert model.tables[c][i][1, v] == pytest.approx(share, abs=0.02)
+    assert ((post > 0.5)[inverse.ravel()] == y).mean() > 0.85

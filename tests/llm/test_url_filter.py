@@ -30,13 +30,13 @@ def runs(text):
 
 
 def cost(word, counts, total):
-    known = [math.log(counts[word] / total)] if word in counts and len(word) <= uf.LONGEST else []
+    known = [math.log(counts[word] / total)] if word in counts else []
     return max(known + [math.log(10 / total) - len(word) * math.log(10)])
 
 
 def whole_job(pages):
     """Every split of every name is tried; tables are plain counters."""
-    counts = Counter(w for _, _, html in pages for w in re.findall(r"[^\W\d_]+", re.sub(r"<[^>]*>", " ", html or "").lower()) if len(w) <= uf.LONGEST)
+    counts = Counter(w for _, _, html in pages for w in re.findall(r"[^\W\d_]+", re.sub(r"<[^>]*>", " ", html or "").lower()))
     total = max(1, sum(counts.values()))
 
     def split(name):
@@ -104,3 +104,31 @@ def test_segmentation_finds_the_words():
 def test_untold_urls_follow_the_fixed_words(rows):
     df = rows("page_id long, url string, html string", (1, "http://www.freecasino.com/poker", "free casino poker"), (2, "http://openwiki.org/science", "open wiki science"))
     assert {r.page_id: r.verdict for r in uf.judge(df, ()).collect()} == {1: "block", 2: "allow"}
+
+
+def test_words_of_any_length(rows):
+    """A compound of 34 letters is one word if the pages use it, whole or inside a longer name."""
+    long, longer = "rechtsschutzversicherungsgesetzbuch", "rechtsschutzversicherungsgesetzbuchhandlung"
+    html = f"<p>{long} {long} die der das haus {longer} garten</p>" * 3
+    counts = uf.word_counts(uf.F.col("html"), rows("html string", (html,)))
+    assert {r.word: r["count"] for r in counts.where("length(word) > 20").collect()} == {long: 6, longer: 3}
+    names = [long, longer, f"das{long}haus", f"{long}xq", "haus" * 9, "q" * 50, "garten" + "zz" * 400]
+    got = {r.name: r.words for r in uf.segmented(rows("name string", *[(n,) for n in names]), counts).collect()}
+    assert got[long] == [long] and got[longer] == [longer] and got[f"das{long}haus"] == ["das", long, "haus"]
+    assert got[f"{long}xq"] == [long, "xq"] and got["haus" * 9] == ["haus"] * 9 and got["q" * 50] == ["q" * 50]
+    assert got["garten" + "zz" * 400] == ["garten", "zz" * 400]
+
+
+def test_segmentation_of_unknown_pieces():
+    """Against every split, with unknown pieces of any length."""
+    rng = random.Random(4)
+    counts = {"ab": 50, "abc": 7, "c": 3, "bca": 900}
+    for _ in range(200):
+        name = "".join(rng.choices("abcd", k=rng.randrange(1, 11)))
+        found = [(i, len(w), n) for w, n in counts.items() for i in range(len(name)) if name.startswith(w, i)]
+        best = max(
+            sum(cost(name[a:b], counts, 1000) for a, b in zip(at, at[1:]))
+            for cuts in itertools.product([0, 1], repeat=len(name) - 1)
+            for at in [[0] + [i + 1 for i, c in enumerate(cuts) if c] + [len(name)]]
+        )
+        assert sum(cost(w, counts, 1000) for w in uf.segment(name, found, 1000)) == pytest.approx(best)

@@ -243,11 +243,15 @@ def fit_linear(active: list[list[int]], target: np.ndarray, features: int, round
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", limit: int = SAMPLE_ROWS) -> DataFrame:
-    """(text, toxic): texts of at most `limit` labelled keys, chosen by a hash; equal texts count once."""
+    """(text, toxic): at most `limit` different texts of at most `limit` labelled keys, both chosen by a hash.
+
+    Keys are limited first, so that the labels fit a broadcast, and texts after the join, as a key may repeat.
+    """
     known = labels.where(F.col(key).isNotNull() & F.col("toxic").isin(0, 1)).groupBy(key).agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64(key), key).limit(limit).select(F.col(key).alias("__key"), "toxic")
     rows = docs.select(F.col(key).alias("__key"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "__key")
-    return rows.groupBy(F.xxhash64("text").alias("same"), "toxic").agg(F.first("text").alias("text")).select("text", "toxic")
+    texts = rows.groupBy(F.xxhash64("text").alias("same"), "toxic").agg(F.first("text").alias("text"))
+    return texts.orderBy("same", "toxic").limit(limit).select("text", "toxic")
 
 
 def score(

@@ -10,8 +10,8 @@ Work on words is done once per url shape (names in order, digits as #), names ar
 each; pages look their shape up at the end. All lookups are joins of stored tables.
 
 Defined cases: a null url or one without :// has empty host and path, no rule, and is judged by the
-class prior alone, like urls without names; a tie allows. Very long urls are handled whole, at most
-LONGEST letters of a word being looked up. Repeated rows and null ids are judged like others; an
+class prior alone, like urls without names; a tie allows. Very long urls and words are handled whole.
+Repeated rows and null ids are judged like others; an
 empty table gives an empty result; further columns are left out.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, map_batches
 
-#: Longest word looked up in the page text.
+#: Substrings of names up to so many letters are looked up one by one; longer words by their first letters.
 LONGEST = 20
 #: Pages that each fixed word counts for, and the smoothing of the word counts.
 SEED_PAGES, SMOOTHING = 5, 1.0
@@ -69,15 +69,18 @@ def segment(name: str, found: list[tuple[int, int, int]], total: int) -> list[st
     found: (start, length, count) of its substrings that are words of the text. A substring that is
     none costs as if its chance fell tenfold with every letter.
     """
-    n = len(name)
+    n, tenfold = len(name), math.log(10)
     ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
     for start, length, count in found:
         ending[start + length].append((start, math.log(count / total)))
     best, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
+    # Where an unknown piece that ends here or later begins best: the start that is worth most so far.
+    worth, begin = -math.inf, 0
     for end in range(1, n + 1):
-        choices = [(best[end - k] + math.log(10 / total) - k * math.log(10), end - k) for k in range(1, min(end, LONGEST) + 1)]
-        choices += [(best[start] + cost, start) for start, cost in ending[end]]
-        best[end], back[end] = max(choices)
+        if best[end - 1] + (end - 1) * tenfold >= worth:
+            worth, begin = best[end - 1] + (end - 1) * tenfold, end - 1
+        unknown = worth + tenfold - math.log(total) - end * tenfold
+        best[end], back[end] = max([(unknown, begin)] + [(best[start] + cost, start) for start, cost in ending[end]])
     words, end = [], n
     while end:
         words.append(name[back[end] : end])
@@ -88,7 +91,7 @@ def segment(name: str, found: list[tuple[int, int, int]], total: int) -> list[st
 def word_counts(html: Column, pages: DataFrame) -> DataFrame:
     """(word, count) over the text of all pages."""
     text = F.lower(F.regexp_replace(html, r"<[^>]*>", " "))
-    words = F.explode(F.regexp_extract_all(text, F.lit(rf"\b\p{{L}}{{1,{LONGEST}}}\b"), F.lit(0)))
+    words = F.explode(F.regexp_extract_all(text, F.lit(r"\b\p{L}+\b"), F.lit(0)))
     return pages.select(words.alias("word")).groupBy("word").agg(F.count("*").alias("count"))
 
 
@@ -100,7 +103,15 @@ def segmented(found: DataFrame, counts: DataFrame) -> DataFrame:
         "name", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("name") - F.col("start")))).alias("length")
     )
     looked_up = lengths.withColumn("word", F.substring("name", F.col("start") + 1, F.col("length"))).join(counts, "word")
-    known = looked_up.groupBy("name").agg(F.collect_list(F.struct("start", "length", "count")).alias("found"))  # LONGEST per letter
+    # Longer words: a place with the same first letters, and then the whole word.
+    longer = counts.where(F.length("word") > LONGEST).withColumn("head", F.substring("word", 1, LONGEST))
+    heads = starts.where(F.length("name") - F.col("start") > LONGEST)
+    heads = heads.withColumn("head", F.substring("name", F.col("start") + 1, F.lit(LONGEST))).join(longer, "head")
+    whole = heads.where(F.substring("name", F.col("start") + 1, F.length("word")) == F.col("word"))
+    looked_up = looked_up.select("name", "start", "length", "count").unionByName(
+        whole.select("name", "start", F.length("word").alias("length"), "count")
+    )
+    known = looked_up.groupBy("name").agg(F.collect_list(F.struct("start", "length", "count")).alias("found"))  # words of one name
 
     def run(name, found):
         cut = [segment(x, [(r["start"], r["length"], r["count"]) for r in f or []], total) if x != "#" else ["#"] for x, f in zip(name, found)]
