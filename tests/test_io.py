@@ -1,6 +1,9 @@
 import os
+import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from pyspark.sql import functions as F
 
 import fixtures
 from tidestock.plans.clean import clean_all
@@ -78,6 +81,60 @@ def test_line_breaks_on_request(spark, tmp_path):
     assert [(r.location_id, r.location_name) for r in rows] == [("L5", 'line\nbreak, "x"'), ("L6", "n")]
 
 
+def _quoted_file(path, rows, seed, end="\n"):
+    """Rows of text as CSV with every kind of trouble inside quotes."""
+    rng = random.Random(seed)
+    schema = RAW_SCHEMAS["dim_location_raw"]
+    parts = ["\n", "\n\n", "a, b", '""', ",", "é中", "plain", "\\", '"",""\n', " ", "\r\nx"]
+    lines = [",".join(schema.names)]
+    for k in range(rows):
+        name = "".join(rng.choices(parts, k=rng.choice([0, 1, 3, 12])))
+        lines.append(f'P{k},"{name}",c,,"DC",r{k},"",{k}')
+    path.write_bytes((end.join(lines) + rng.choice(["", end, end + end])).encode())
+
+
+@pytest.mark.parametrize("size", [64, 333, 1 << 20])
+def test_line_breaks_in_any_number_of_splits(spark, tmp_path, size):
+    """Blocks that end anywhere, also inside quotes and over several blocks, give what one task per file gives."""
+    schema = RAW_SCHEMAS["dim_location_raw"]
+    for k, end in enumerate(["\n", "\r\n", "\n"]):
+        _quoted_file(tmp_path / f"f{k}.csv", [40, 25, 0][k], k, end)
+    _location_lines(tmp_path, "L1,n" + 'x,"' + "long\n" * 200 + '",s,DC,r,1,2', name="f3.csv")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = src.read_raw(spark, str(tmp_path), schema, multi_line=True)
+        rows = [tuple(r)[:-1] for r in got.orderBy("_ingest_seq").collect()]
+        blocks = got.select("_ingest_seq.block").distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = []
+    for k in range(4):
+        whole = spark.read.schema(schema).options(header=True, multiLine=True, **src.FORMAT).csv(str(tmp_path / f"f{k}.csv"))
+        want += [tuple(r) for r in whole.collect()]
+    # Spark turns line ends inside quotes into those of the file's own kind; here they stay.
+    plain = lambda rows: [tuple(v and v.replace("\r\n", "\n") for v in r) for r in rows]
+    assert plain(rows) == plain(want) and len(rows) == 66 and (blocks > 3) == (size < 1000)
+    assert any("\n" in (r[1] or "") for r in rows)
+
+
+def test_quoted_files_that_are_broken(spark, tmp_path):
+    schema = RAW_SCHEMAS["dim_location_raw"]
+    path = _location_lines(tmp_path, 'L1,"never closed,c,s,DC,r,1,2', "L2,n,c,s,DC,r,1,2")
+    with pytest.raises(ValueError, match="left open"):
+        src.read_raw(spark, path, schema, multi_line=True)
+    with pytest.raises(Exception, match="(?i)malformed"):
+        src.read_raw(spark, _location_lines(tmp_path, 'L1,"a\nb",c', name="y.csv"), schema, multi_line=True)
+    (tmp_path / "z.csv").write_text("location_id,name\nA,B\n")
+    with pytest.raises(Exception, match="(?i)header|malformed"):
+        src.read_raw(spark, str(tmp_path / "z.csv"), schema, multi_line=True).collect()
+    names = ",".join(schema.names).replace("region", "area")
+    (tmp_path / "w.csv").write_text(f"{names}\nL1,n,c,s,DC,r,1,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        src.read_raw(spark, str(tmp_path / "w.csv"), schema, multi_line=True).collect()
+
+
 def test_files_load_in_numeric_order(spark, tmp_path):
     for part in (10, 2, 1):
         _location_lines(tmp_path, f"L,part {part},c,s,DC,r,1,2", name=f"part{part}.csv")
@@ -101,7 +158,7 @@ def test_policy_and_earlier_layout_use_the_same_scan(spark, tmp_path):
 def test_export_reads_back(spark, tmp_path):
     made = spark.createDataFrame([('say "x", y\\', 1.5), ("\\", 2.0)], "a string, b double")
     src.export_csv(made, str(tmp_path / "out"))
-    back = src._scan(spark, str(tmp_path / "out"), made.select(made.a, made.b.cast("string")).schema, False)
+    back = src._scan(spark, str(tmp_path / "out"), made.select(made.a, made.b.cast("string")).schema)
     assert sorted((r.a, float(r.b)) for r in back.collect()) == sorted(map(tuple, made.collect()))
 
 
@@ -160,3 +217,67 @@ def test_earlier_layout_cleans_with_the_same_functions(spark, tmp_path):
     assert (float(ships["S2"].freight_cost_usd), ships["S2"].on_time_flag, ships["S2"].order_id) == (10.0, False, None)
     stock = clean["fact_inventory_snapshot"][0]
     assert (stock.on_hand_qty, stock.backorder_qty, stock.safety_stock_qty, stock.reorder_point_qty) == (0, 2, 6, 9)
+
+
+class _Fails(Exception):
+    pass
+
+
+def _rows(spark, root):
+    return sorted(r[0] for r in store.read_table(spark, root, "t").collect())
+
+
+def test_a_failed_reload_leaves_the_former_table(spark, tmp_path):
+    root = str(tmp_path)
+    store.overwrite_table(spark.range(5).toDF("x"), root, "t")
+    before = store.read_table(spark, root, "t")
+    broken = spark.range(0, 1000, 1, 8).select(F.when(F.col("id") == 777, F.raise_error(F.lit("midway"))).otherwise(F.col("id")).alias("x"))
+    with pytest.raises(Exception, match="midway"):
+        store.overwrite_table(broken, root, "t")
+    assert _rows(spark, root) == [0, 1, 2, 3, 4]
+    store.overwrite_table(store.read_table(spark, root, "t").select((F.col("x") * 2).alias("x")), root, "t")  # reads what it replaces
+    assert _rows(spark, root) == [0, 2, 4, 6, 8]
+    assert sorted(r[0] for r in before.collect()) == [0, 1, 2, 3, 4]  # a query that began earlier
+
+
+def test_a_reload_that_stops_before_its_mark_is_not_seen(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    store.overwrite_table(spark.range(3).toDF("x"), root, "t")
+    mark = store._Folder.mark
+    monkeypatch.setattr(store._Folder, "mark", lambda self, name: (_ for _ in ()).throw(_Fails()) if not name.startswith("_") else mark(self, name))
+    with pytest.raises(_Fails):
+        store.overwrite_table(spark.range(9).toDF("x"), root, "t")
+    monkeypatch.setattr(store._Folder, "mark", mark)
+    assert _rows(spark, root) == [0, 1, 2]
+    store.overwrite_table(spark.range(4).toDF("x"), root, "t")
+    assert _rows(spark, root) == [0, 1, 2, 3]
+
+
+def test_versions_expire(spark, tmp_path):
+    root = str(tmp_path)
+    for n in range(1, 6):
+        store.overwrite_table(spark.range(n).toDF("x"), root, "t")
+    kept = [d for d in os.listdir(tmp_path / "t") if d.startswith("v-")]
+    assert len(kept) == store.KEPT_VERSIONS and _rows(spark, root) == [0, 1, 2, 3, 4]
+    os.utime(tmp_path / "t" / kept[0], (0, 0))
+    (tmp_path / "t" / "v-left").mkdir()
+    os.utime(tmp_path / "t" / "v-left", (0, 0))
+    (tmp_path / "t" / "v-now").mkdir()
+    store.overwrite_table(spark.range(2).toDF("x"), root, "t")
+    left = os.listdir(tmp_path / "t")
+    assert "v-left" not in left and "v-now" in left and _rows(spark, root) == [0, 1]
+
+
+def test_tables_without_versions_are_read(spark, tmp_path):
+    spark.range(3).toDF("x").write.parquet(f"{tmp_path}/t")
+    assert _rows(spark, str(tmp_path)) == [0, 1, 2]
+    store.overwrite_table(spark.range(2).toDF("x"), str(tmp_path), "t")
+    assert _rows(spark, str(tmp_path)) == [0, 1]
+
+
+def test_two_reloads_at_once(spark, tmp_path):
+    root, frames = str(tmp_path), [spark.range(n).toDF("x") for n in (2, 3, 4, 5)]
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda df: store.overwrite_table(df, root, "t"), frames))
+    assert len(_rows(spark, root)) in (2, 3, 4, 5)
+    assert [n for n, _ in store._marks(store._Folder(spark, f"{root}/t/log"))] == [3, 4]

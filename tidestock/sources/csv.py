@@ -13,22 +13,16 @@ from pyspark.sql import types as T
 
 from ..plans.scenario import coerce_numeric
 from ..schemas import POLICY_SCHEMA, RAW_FILES, RAW_SCHEMAS
+from . import quoted
+from .tables import stage, stage_root
 
+#: How fields are written; a row with another number of fields, or broken quotes, stops the read.
+FORMAT = {"nullValue": "", "quote": '"', "escape": '"', "mode": "FAILFAST"}
 
-def _scan(spark: SparkSession, path: str | list[str], schema: T.StructType, multi_line: bool) -> DataFrame:
+
+def _scan(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
     """All fields of a row are parsed, whatever a query selects, so that every row is checked whole."""
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("nullValue", "")
-        .option("enforceSchema", False)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("mode", "FAILFAST")
-        .option("columnPruning", False)
-        .option("multiLine", multi_line)
-        .csv(path)
-    )
+    return spark.read.schema(schema).options(header=True, enforceSchema=False, columnPruning=False, **FORMAT).csv(path)
 
 
 def natural_order(path: Column) -> Column:
@@ -45,16 +39,17 @@ def read_raw(spark: SparkSession, path: str | list[str], schema: T.StructType, m
 
     A header that does not match `schema`, or a row with another number of fields, raises
     instead of shifting columns. Empty fields read as NULL. Line breaks inside quotes need
-    `multi_line`, which keeps each file in one task; without it such a row raises too.
-    The sequence orders rows by file (numbers in names by value), block and position in
-    the block, so splitting a large file over tasks keeps its order.
+    `multi_line`, which finds the records first (`quoted`), in as many tasks as the file has
+    blocks; without it such a row raises too. The sequence orders rows by file (numbers in names
+    by value), block and position in the block, so splitting a large file over tasks keeps its order.
     """
-    seq = F.struct(
-        natural_order(F.col("_metadata.file_path")).alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
-    )
-    return _scan(spark, path, schema, multi_line).select("*", seq.alias("_ingest_seq"))
+    place = lambda file, block, row: F.struct(natural_order(file).alias("file"), block.alias("block"), row.alias("row"))
+    if multi_line:
+        root = stage_root(spark)
+        rows = quoted.read_rows(spark, path, schema, {**FORMAT, "multiLine": "true"}, lambda df, name: stage(df, root, name))
+        return rows.select(*schema.names, place(F.col("file"), F.col("block"), F.col("row")).alias("_ingest_seq"))
+    seq = place(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return _scan(spark, path, schema).select("*", seq.alias("_ingest_seq"))
 
 
 def read_raw_layer(
@@ -66,7 +61,7 @@ def read_raw_layer(
 def read_policy(spark: SparkSession, path: str) -> DataFrame:
     """Policy table from CSV; figures that do not read as numbers become 0."""
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in POLICY_SCHEMA.fields])
-    return coerce_numeric(_scan(spark, path, text, multi_line=False))
+    return coerce_numeric(_scan(spark, path, text))
 
 
 def export_csv(df: DataFrame, path: str) -> None:
