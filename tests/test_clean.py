@@ -9,6 +9,7 @@ import fixtures
 from tidestock.operators.audit import audit_constraints
 from tidestock.plans import clean as cl
 from tidestock.schemas import CLEAN_SCHEMAS, RAW_SCHEMAS
+from tidestock.sources import tables
 
 
 @pytest.fixture(scope="module")
@@ -119,7 +120,7 @@ def test_rows_that_lose_a_required_figure_are_rejected(spark):
     sku = lambda k, cost: (k, "Valve", "Pipes", cost, "5", "S", "1", "", "1", "1", "BUDGET", "Y")
     raw = _raw(spark, "dim_sku_raw", sku("A1", "10"), sku("a-1", "abc"), sku("B", "123456789012"), sku("C", "0"), sku("D", "2.345"))
     assert {r.sku_id: float(r.unit_cost) for r in cl.clean_skus(raw).collect()} == {"A1": 10.0, "D": 2.35}
-    assert sorted((r.table_name, r.column_name, r.key) for r in cl.clean_skus(raw, rejects=True).collect()) == [
+    assert sorted((r.table_name, r.column_name, r.key) for r in cl.rejects(cl.judge_skus(raw), "dim_sku").collect()) == [
         ("dim_sku", "unit_cost", k) for k in ("A1", "B", "C")]
 
     skus = cl.clean_skus(raw)
@@ -130,13 +131,31 @@ def test_rows_that_lose_a_required_figure_are_rejected(spark):
                   order("3", "2024-01-01", "2", "123456789012"), order("4", "", "2", "5"))
     kept = cl.clean_orders(orders, raw, skus, places).collect()
     assert [(r.order_id, r.qty_ordered) for r in kept] == [("1", 1)]
-    lost = cl.clean_orders(orders, raw, skus, places, rejects=True).collect()
+    lost = cl.rejects(cl.judge_orders(orders, raw, skus, places), "fact_sales_orders").collect()
     assert sorted((r.column_name, r.key) for r in lost) == [("order_date", "1"), ("order_date", "4"), ("price_per_unit", "3"), ("qty_ordered", "2")]
 
     snap = lambda day, qty: ("S", day, "L", "A1", qty, "", "", "", "", "")
     stock = _raw(spark, "fact_inventory_snapshot_raw", snap("2024-01-01", "1"), snap("bad", "2"), snap("worse", "3"), snap("", "4"))
     assert [r.on_hand_qty for r in cl.clean_inventory(stock, places, skus).collect()] == [1]
-    assert cl.clean_inventory(stock, places, skus, rejects=True).count() == 2
+    assert cl.rejects(cl.judge_inventory(stock, places, skus), "fact_inventory_snapshot").count() == 2
+
+
+def test_good_and_rejected_rows_come_from_one_stored_pass(spark, tmp_path):
+    """Both read the judged rows, each only its own part, and neither reads the raw table again."""
+    line = lambda k, day, qty: ("S", day, "L", f"A{k}", str(qty), "", "", "", "", "")
+    raw = _raw(spark, "fact_inventory_snapshot_raw", *[line(k % 3, "bad" if k % 5 == 0 else f"2024-01-{k % 9 + 1:02d}", k) for k in range(40)])
+    raw = tables.stage(raw, str(tmp_path), "raw")
+    sku = lambda k: (f"A{k}", "V", "P", "10", "5", "S", "1", "", "1", "1", "BUDGET", "Y")
+    skus = cl.clean_skus(_raw(spark, "dim_sku_raw", sku(0), sku(1)))
+    places = cl.clean_locations(_raw(spark, "dim_location_raw", ("L", "n", "c", "s", "DC", "r", "1", "1")))
+    judged = tables.stage(cl.judge_inventory(raw, places, skus), str(tmp_path), "judged", by=cl.FAULT)
+    good, bad = cl.accepted(judged, "fact_inventory_snapshot"), cl.rejects(judged, "fact_inventory_snapshot")
+    assert good.collect() and sorted(map(tuple, good.collect())) == sorted(map(tuple, cl.clean_inventory(raw, places, skus).collect()))
+    assert bad.count() == sum(k % 3 != 2 for k in range(0, 40, 5))
+    parts = {"good": good, "bad": bad}
+    plans = {n: df.select("*")._jdf.queryExecution().executedPlan().toString() for n, df in parts.items()}
+    assert all("/judged/" in f for df in parts.values() for f in df.inputFiles()) and all(p.count("FileScan") == 1 for p in plans.values())
+    assert "PartitionFilters: [isnull(_fault" in plans["good"] and "PartitionFilters: [isnotnull(_fault" in plans["bad"]
 
 
 def test_the_last_policy_of_a_segment_wins(spark):

@@ -1,3 +1,4 @@
+import datetime
 import random
 from decimal import Decimal
 
@@ -165,3 +166,19 @@ def test_defaults_and_counts(rows):
     assert [r.priority_flag for r in filled.orderBy("order_id").collect()] == [False, True]
     assert audit.apply_defaults(df.select("order_id"), CLEAN_TABLES["fact_sales_orders"]).filter("priority_flag").count() == 0
     assert [tuple(r) for r in audit.row_counts({"x": df, "y": df.limit(0)}).orderBy("table_name").collect()] == [("x", 2), ("y", 0)]
+
+
+def test_table_digests_do_not_depend_on_order_and_see_every_cell(spark, rows):
+    ddl = "a string, b decimal(10,2), c date, d boolean, e int, _ingest_seq int"
+    day = datetime.date(2024, 2, 29)
+    data = [("x", Decimal("1.50"), day, True, 1, 1), (None, None, None, None, None, 2), ("", Decimal("-0.01"), day, False, -3, 3), ("x", Decimal("1.50"), day, True, 1, 4)]
+    one = lambda data: audit.table_digests({"t": rows(ddl, *data)}).first()
+    first = one(data)
+    assert (first.row_count, one(data[::-1]).digest) == (4, first.digest)
+    assert one([(*r[:5], 99) for r in data]).digest == first.digest  # the load order is no content
+    for k in range(5):
+        other = ["y", Decimal("1.51"), datetime.date(2024, 3, 1), False, 2]
+        changed = [tuple(other[i] if i == k and n == 0 else v for i, v in enumerate(r)) for n, r in enumerate(data)]
+        assert one(changed).digest != first.digest
+    assert one([("", *data[1][1:]), *data[:1], *data[2:]]).digest != first.digest  # NULL is not the empty text
+    assert one([]).digest == "0" and audit.table_digests({"f": spark.range(2).selectExpr("id / 3 AS x")}).first().digest is None

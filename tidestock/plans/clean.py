@@ -2,7 +2,9 @@
 
 A row whose required figure does not read, does not fit its type or breaks its rule
 (`READABLE`) is rejected before the last transmission is picked, so it hides no good
-row. With `rejects=True` a function returns these rows, each with the column at fault.
+row. Tables with such figures are made in two steps: `judge_*` types every row and names the column
+at fault, `accepted` picks among the good rows and `rejects` lists the others. Where the judged rows
+are stored in between (`plans.pipeline`), the raw table is read once for both.
 """
 
 from __future__ import annotations
@@ -48,24 +50,37 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     return apply_defaults(typed, CLEAN_TABLES[table])
 
 
-def split_valid(rows: DataFrame, table: str, judged: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows that keep every judged column, the others as (table_name, column_name, key))."""
+#: Names of the columns that judged rows carry besides their own; FAULT is null on good rows.
+FAULT, FAULT_KEY = "_fault", "_fault_key"
+
+
+def judged(rows: DataFrame, table: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """The rows with their judged columns typed, the first column at fault and the row's key as text."""
     spec = CLEAN_TABLES[table]
-    typed = rows.withColumns({c: F.col(c).try_cast(spec.schema[c].dataType) for c in judged})
-    lost = [F.col(c).isNull() | (~F.expr(spec.checks[c]) if c in spec.checks else F.lit(False)) for c in judged]
-    fault = F.coalesce(*[F.when(test, F.lit(c)) for c, test in zip(judged, lost)])
+    columns = READABLE[table] if columns is None else columns
+    typed = rows.withColumns({c: F.col(c).try_cast(spec.schema[c].dataType) for c in columns})
+    lost = [F.col(c).isNull() | (~F.expr(spec.checks[c]) if c in spec.checks else F.lit(False)) for c in columns]
+    fault = F.coalesce(*[F.when(test, F.lit(c)) for c, test in zip(columns, lost)])
     keys = F.concat_ws("|", *[F.col(k).cast("string") for k in spec.key if k in rows.columns])
-    broken = typed.select(F.lit(table).alias("table_name"), fault.alias("column_name"), keys.alias("key"))
-    return typed.filter(fault.isNull()), broken.filter(F.col("column_name").isNotNull())
+    return typed.withColumns({FAULT: fault, FAULT_KEY: keys})
 
 
-def _finish(
-    rows: DataFrame, table: str, rejects: bool, judged: Sequence[str] | None = None, order: Sequence[Column] = ()
-) -> DataFrame:
-    """The first row per key under `order`, then the last one loaded, among the valid rows."""
-    good, broken = split_valid(rows, table, READABLE[table] if judged is None else judged)
-    picked = latest_per_key(good, CLEAN_TABLES[table].key, [*order, F.col("_ingest_seq").desc_nulls_last()])
-    return broken if rejects else conform(picked, table)
+def rejects(judged_rows: DataFrame, table: str) -> DataFrame:
+    """(table_name, column_name, key) of the rows at fault."""
+    bad = judged_rows.filter(F.col(FAULT).isNotNull())
+    return bad.select(F.lit(table).alias("table_name"), F.col(FAULT).alias("column_name"), F.col(FAULT_KEY).alias("key"))
+
+
+def accepted(judged_rows: DataFrame, table: str, last_only: bool = True) -> DataFrame:
+    """Among the good rows the last one loaded per key, in the clean layout; all of them without `last_only`.
+
+    Where rows state when they were updated, the latest text wins first, and a missing one comes before.
+    """
+    good = judged_rows.filter(F.col(FAULT).isNull()).drop(FAULT, FAULT_KEY)
+    if not last_only:
+        return conform(good, table)
+    updated = [F.col("_updated").desc_nulls_first()] if "_updated" in good.columns else []
+    return conform(latest_per_key(good, CLEAN_TABLES[table].key, [*updated, F.col("_ingest_seq").desc_nulls_last()]), table)
 
 
 def _extra(raw: DataFrame, name: str) -> Column:
@@ -89,11 +104,8 @@ def clean_locations(raw: DataFrame) -> DataFrame:
     return conform(last_ingested(rows, ["location_id"]), "dim_location")
 
 
-def clean_skus(raw: DataFrame, rejects: bool = False) -> DataFrame:
-    """Category means are taken over all raw rows, before keys or costs are checked.
-
-    Where rows state when they were updated, the latest text wins and a missing one comes first.
-    """
+def judge_skus(raw: DataFrame) -> DataFrame:
+    """Category means are taken over all raw rows, before keys or costs are checked."""
     rows = raw.withColumn("category", clean_enum("category"))
     rows = impute_by_group(rows, "lead_time_days", "category", DEFAULT_LEAD_TIME)
     rows = require_key(rows, "sku_id").filter(~is_missing("unit_cost_usd"))
@@ -113,11 +125,14 @@ def clean_skus(raw: DataFrame, rejects: bool = False) -> DataFrame:
         _extra(raw, "last_updated").alias("_updated"),
         "_ingest_seq",
     )
-    return _finish(rows, "dim_sku", rejects, order=[F.col("_updated").desc_nulls_first()])
+    return judged(rows, "dim_sku")
 
 
-def clean_policy(raw: DataFrame, rejects: bool = False) -> DataFrame:
-    """One row per segment: the last one sent."""
+def clean_skus(raw: DataFrame) -> DataFrame:
+    return accepted(judge_skus(raw), "dim_sku")
+
+
+def judge_policy(raw: DataFrame) -> DataFrame:
     rows = require_in(raw, "segment", SEGMENTS).select(
         clean_enum("segment").alias("customer_segment"),
         pct_to_fraction(to_dec("target_fill_rate_pct")).alias("target_fill_rate"),
@@ -131,10 +146,15 @@ def clean_policy(raw: DataFrame, rejects: bool = False) -> DataFrame:
         to_int(_extra(raw, "min_order_qty")).alias("min_order_qty"),
         "_ingest_seq",
     )
-    return _finish(rows, "dim_service_policy", rejects)
+    return judged(rows, "dim_service_policy")
+
+
+def clean_policy(raw: DataFrame) -> DataFrame:
+    """One row per segment: the last one sent."""
+    return accepted(judge_policy(raw), "dim_service_policy")
 
 
-def clean_lanes(raw: DataFrame, locations: DataFrame, rejects: bool = False) -> DataFrame:
+def judge_lanes(raw: DataFrame, locations: DataFrame) -> DataFrame:
     """Lanes between known locations; a layout that states the mode itself is taken at its word."""
     if "transport_mode" in raw.columns:
         named, mode = raw, clean_enum("transport_mode")
@@ -154,7 +174,11 @@ def clean_lanes(raw: DataFrame, locations: DataFrame, rejects: bool = False) ->
     )
     rows = keep_known(rows, "from_location", locations, "location_id")
     rows = keep_known(rows, "to_location", locations, "location_id")
-    return _finish(rows, "dim_lane_cost", rejects)
+    return judged(rows, "dim_lane_cost")
+
+
+def clean_lanes(raw: DataFrame, locations: DataFrame) -> DataFrame:
+    return accepted(judge_lanes(raw, locations), "dim_lane_cost")
 
 
 def sku_segments(raw_skus: DataFrame) -> DataFrame:
@@ -165,15 +189,10 @@ def sku_segments(raw_skus: DataFrame) -> DataFrame:
     return last_ingested(rows, ["sku_id"]).select("sku_id", "segment")
 
 
-def clean_orders(
-    raw: DataFrame,
-    raw_skus: DataFrame,
-    skus: DataFrame,
-    locations: DataFrame,
-    segment_source: str = "sku",
-    rejects: bool = False,
+def judge_orders(
+    raw: DataFrame, raw_skus: DataFrame, skus: DataFrame, locations: DataFrame, segment_source: str = "sku"
 ) -> DataFrame:
-    """Valid demand lines, one per order id.
+    """Demand lines of known products and places.
 
     Validity is checked before the last transmission is picked, so a cancelled or
     broken re-send never hides an earlier good row. With ``segment_source="sku"``
@@ -206,7 +225,14 @@ def clean_orders(
     else:
         rows = keep_known(rows, "sku_id", skus, "sku_id")
     # An order taken as sent must still have a day.
-    return _finish(rows, "fact_sales_orders", rejects, None if segment_source == "sku" else ("order_date",))
+    return judged(rows, "fact_sales_orders", None if segment_source == "sku" else ("order_date",))
+
+
+def clean_orders(
+    raw: DataFrame, raw_skus: DataFrame, skus: DataFrame, locations: DataFrame, segment_source: str = "sku"
+) -> DataFrame:
+    """Valid demand lines, one per order id."""
+    return accepted(judge_orders(raw, raw_skus, skus, locations, segment_source), "fact_sales_orders")
 
 
 def best_lane(lanes: DataFrame) -> DataFrame:
@@ -291,10 +317,7 @@ def clean_shipments(
     return conform(rows, "fact_shipments")
 
 
-def clean_inventory(
-    raw: DataFrame, locations: DataFrame, skus: DataFrame, rejects: bool = False, last_only: bool = True
-) -> DataFrame:
-    """One snapshot per day, location and product; the earlier generation keeps them all (`last_only=False`)."""
+def judge_inventory(raw: DataFrame, locations: DataFrame, skus: DataFrame) -> DataFrame:
     rows = require_key(raw, "snapshot_date").select(
         to_date("snapshot_date").alias("snapshot_date"),
         clean_text("location_id").alias("location_id"),
@@ -310,22 +333,29 @@ def clean_inventory(
     )
     rows = keep_known(rows, "location_id", locations, "location_id")
     rows = keep_known(rows, "sku_id", skus, "sku_id")
-    if not last_only and not rejects:
-        return conform(split_valid(rows, "fact_inventory_snapshot", READABLE["fact_inventory_snapshot"])[0], "fact_inventory_snapshot")
-    return _finish(rows, "fact_inventory_snapshot", rejects)
-
-
-def rejected_rows(raw: dict[str, DataFrame], clean: dict[str, DataFrame], segment_source: str = "sku") -> DataFrame:
-    """(table_name, column_name, key) of the rows that lost a required figure, over all tables."""
-    locations, skus = clean["dim_location"], clean["dim_sku"]
-    orders = raw["fact_sales_orders_raw"]
-    return union_reports(
-        clean_skus(raw["dim_sku_raw"], rejects=True),
-        clean_policy(raw["dim_service_policy_raw"], rejects=True),
-        clean_lanes(raw["dim_lane_cost_raw"], locations, rejects=True),
-        clean_orders(orders, raw["dim_sku_raw"], skus, locations, segment_source, rejects=True),
-        clean_inventory(raw["fact_inventory_snapshot_raw"], locations, skus, rejects=True),
-    )
+    return judged(rows, "fact_inventory_snapshot")
+
+
+def clean_inventory(raw: DataFrame, locations: DataFrame, skus: DataFrame, last_only: bool = True) -> DataFrame:
+    """One snapshot per day, location and product; the earlier generation keeps them all (`last_only=False`)."""
+    return accepted(judge_inventory(raw, locations, skus), "fact_inventory_snapshot", last_only)
+
+
+def judged_layer(raw: dict[str, DataFrame], clean: dict[str, DataFrame], segment_source: str = "sku") -> dict[str, DataFrame]:
+    """The judged rows of every table that has rejects; `clean` needs the locations and products."""
+    locations, skus, raw_skus = clean["dim_location"], clean["dim_sku"], raw["dim_sku_raw"]
+    return {
+        "dim_sku": judge_skus(raw_skus),
+        "dim_service_policy": judge_policy(raw["dim_service_policy_raw"]),
+        "dim_lane_cost": judge_lanes(raw["dim_lane_cost_raw"], locations),
+        "fact_sales_orders": judge_orders(raw["fact_sales_orders_raw"], raw_skus, skus, locations, segment_source),
+        "fact_inventory_snapshot": judge_inventory(raw["fact_inventory_snapshot_raw"], locations, skus),
+    }
+
+
+def rejected_rows(judged_tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, column_name, key) of the rows that lost a required figure, over all judged tables."""
+    return union_reports(*[rejects(rows, name) for name, rows in judged_tables.items()])
 
 
 def clean_all(raw: dict[str, DataFrame], segment_source: str = "sku", earlier: bool = False) -> dict[str, DataFrame]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.audit import row_counts
+from ..operators.audit import table_digests
 from ..sources import tables as store
 from ..sources.csv import export_csv, read_raw_layer
 from ..sources.legacy import read_legacy_layer
@@ -32,7 +32,7 @@ def run_pipeline(
     layout: str = "current",
     multi_line: bool = False,
 ) -> DataFrame:
-    """Run every stage and return the row count of each stored table.
+    """Run every stage and return the row count and digest of each stored table.
 
     layout "earlier" reads the earlier extract layout and follows its rules for shipments and
     stock (taken as sent); segment_source "order" takes orders
@@ -52,22 +52,28 @@ def run_pipeline(
         return keep(store.write_clean, df, clean_root, name)
 
     loc = cleaned("dim_location", cl.clean_locations(raw["dim_location_raw"]))
-    sku = cleaned("dim_sku", cl.clean_skus(raw["dim_sku_raw"]))
-    policy = cleaned("dim_service_policy", cl.clean_policy(raw["dim_service_policy_raw"]))
-    lanes = cleaned("dim_lane_cost", cl.clean_lanes(raw["dim_lane_cost_raw"], loc))
-    orders = cleaned(
-        "fact_sales_orders",
-        cl.clean_orders(raw["fact_sales_orders_raw"], raw["dim_sku_raw"], sku, loc, segment_source),
+    judged_root, judged = store.stage_root(spark), {}
+
+    def picked(name: str, rows: DataFrame, last_only: bool = True) -> DataFrame:
+        """Judged rows are stored once, good ones apart from those at fault, which the list of rejects reads later."""
+        judged[name] = store.stage(rows, judged_root, name, by=cl.FAULT)
+        return cleaned(name, cl.accepted(judged[name], name, last_only))
+
+    sku = picked("dim_sku", cl.judge_skus(raw["dim_sku_raw"]))
+    policy = picked("dim_service_policy", cl.judge_policy(raw["dim_service_policy_raw"]))
+    lanes = picked("dim_lane_cost", cl.judge_lanes(raw["dim_lane_cost_raw"], loc))
+    orders = picked(
+        "fact_sales_orders", cl.judge_orders(raw["fact_sales_orders_raw"], raw["dim_sku_raw"], sku, loc, segment_source)
     )
     freight = keep(store.overwrite_table, cl.freight_stats(raw["fact_shipments_raw"], lanes), clean_root, "freight_stats")
     ships = cleaned("fact_shipments", cl.clean_shipments(raw["fact_shipments_raw"], lanes, loc, sku, orders, freight, as_sent=earlier))
-    stock = cleaned("fact_inventory_snapshot", cl.clean_inventory(raw["fact_inventory_snapshot_raw"], loc, sku, last_only=not earlier))
+    stock = picked("fact_inventory_snapshot", cl.judge_inventory(raw["fact_inventory_snapshot_raw"], loc, sku), last_only=not earlier)
     clean = {
         "dim_location": loc, "dim_sku": sku, "dim_service_policy": policy, "dim_lane_cost": lanes,
         "fact_sales_orders": orders, "fact_shipments": ships, "fact_inventory_snapshot": stock,
     }
 
-    rejected = keep(store.overwrite_table, cl.rejected_rows(raw, clean, segment_source), clean_root, "rejected_rows")
+    rejected = keep(store.overwrite_table, cl.rejected_rows(judged), clean_root, "rejected_rows")
 
     # The demand mart is read by the inventory mart and the simulation, so it is stored first.
     demand = keep(store.write_mart, demand_stats(orders, sku, policy, min_obs), mart_root, "mart_demand_stats")
@@ -81,4 +87,4 @@ def run_pipeline(
     chosen = store.read_table(spark, mart_root, store.POLICY_TABLE)
     export_csv(scenario(chosen), f"{out_dir}/scenario")
     stored = {**raw, **clean, **marts, "rejected_rows": rejected, store.POLICY_TABLE: chosen}
-    return row_counts(stored).orderBy("table_name")
+    return table_digests(stored).orderBy("table_name")

@@ -143,13 +143,14 @@ def remove_stages(spark: SparkSession) -> None:
         _Folder(spark, root).delete()
 
 
-def stage(df: DataFrame, root: str, name: str) -> DataFrame:
-    """Store an intermediate table and read it back.
+def stage(df: DataFrame, root: str, name: str, by: str | None = None) -> DataFrame:
+    """Store an intermediate table, partitioned by a column if given, and read it back.
 
     Later plans start from the stored rows and know their real size, so small
     dimensions are broadcast by Spark's own threshold before any fact is shuffled.
     """
-    df.write.mode("overwrite").parquet(f"{root}/{name}")
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(by) if by else writer).parquet(f"{root}/{name}")
     return df.sparkSession.read.schema(df.schema).parquet(f"{root}/{name}")
 
 

@@ -21,7 +21,7 @@ from ..plans.pipeline import run_pipeline
 from ..plans import policy as pol
 from ..plans import quality as q
 from ..plans import scenario as sc
-from ..schemas import CLEAN_TABLES, RAW_FILES, RAW_SCHEMAS
+from ..schemas import CLEAN_SCHEMAS, CLEAN_TABLES, RAW_FILES, RAW_SCHEMAS
 from ..sources import tables as store
 from ..sources.csv import export_csv, read_raw
 from . import adapter
@@ -308,7 +308,7 @@ add("demand_keys", lambda b: k.distinct_keys(b.orders, "sku_id", "ship_to_locati
 
 # --- clean layer ------------------------------------------------------------------
 
-add("rejected_rows", lambda b: _counted(cl.rejected_rows(b.raw, {"dim_location": b.locations, "dim_sku": b.skus}),
+add("rejected_rows", lambda b: _counted(cl.rejected_rows(cl.judged_layer(b.raw, {"dim_location": b.locations, "dim_sku": b.skus})),
                                     "table_name", "column_name", "key"),
     "SELECT *, count(*) AS n FROM rejected GROUP BY ALL")
 add("clean_locations", lambda b: b.plan("dim_location"),
@@ -694,11 +694,48 @@ def _pipeline_row_counts(b: Bed) -> DataFrame:
     root = store.stage_root(b.spark)
     for name, schema in RAW_SCHEMAS.items():
         export_csv(b.raw[name].orderBy("_ingest_seq").select(*schema.names), f"{root}/raw/{RAW_FILES[name]}")
-    return run_pipeline(b.spark, f"{root}/raw", f"{root}/out", sims=20)
+    stored = run_pipeline(b.spark, f"{root}/raw", f"{root}/out")
+    return stored.withColumn("digest", F.when(~F.col("table_name").endswith("_raw"), F.col("digest")))
 
 
-add("pipeline_row_counts", _pipeline_row_counts,
-    _counts_sql("table_name", {**_RAW_NAMES, **_CLEAN_NAMES, **_MART_NAMES, "rejected_rows": "rejected", "opt_inventory_policy": "sim_base"}))
+def _digest(table: str, schema: T.StructType, sql: str) -> str:
+    """Row count and digest of a statement's rows, by the columns and types of the stored table."""
+    def text(f: T.StructField) -> str:
+        if isinstance(f.dataType, T.DecimalType):
+            return f"round({f.name} * {10 ** f.dataType.scale})::HUGEINT::VARCHAR"
+        return f"{f.name}::VARCHAR" if not isinstance(f.dataType, T.IntegralType) else f"{f.name}::BIGINT::VARCHAR"
+
+    row = " || '|' || ".join(f"coalesce('=' || {text(f)}, '-')" for f in sorted(schema.fields, key=lambda f: f.name))
+    return (
+        f"SELECT '{table}' AS table_name, count(*) AS row_count, coalesce(sum(('0x' || md5({row})[1:12])::BIGINT), 0)::VARCHAR AS digest"
+        f" FROM ({sql})"
+    )
+
+
+_STORED_SERVED = T.StructType([
+    *[T.StructField(c, T.StringType()) for c in ("customer_segment", "ship_to_region", "sku_id")],
+    *[T.StructField(c, T.LongType()) for c in ("num_orders", "total_units_ordered")],
+    *[T.StructField(c, T.DecimalType(21, 2)) for c in (
+        "total_revenue", "total_product_cost", "total_freight_cost", "total_warehouse_cost", "total_carrying_cost", "total_stockout_cost",
+        "total_processing_cost", "total_cost", "gross_margin", "margin_pct")],
+    *[T.StructField(c, T.DecimalType(21, 4)) for c in ("cost_per_unit", "revenue_per_unit")],
+])
+_REJECTED = T.StructType([T.StructField(c, T.StringType()) for c in ("table_name", "column_name", "key")])
+_CLEAN_QUERIES = {"dim_location": "clean_locations", "dim_sku": "clean_skus", "dim_service_policy": "clean_policy", "dim_lane_cost": "clean_lanes",
+                  "fact_sales_orders": "clean_orders", "fact_shipments": "clean_shipments", "fact_inventory_snapshot": "clean_inventory"}
+
+
+def _pipeline_sql() -> str:
+    """Raw extracts and marts with floating columns are counted; every other stored table is compared whole."""
+    counted = {**_RAW_NAMES, **{n: t for n, t in _MART_NAMES.items() if n != "mart_cost_to_serve"}, "opt_inventory_policy": "sim_base"}
+    parts = [f"SELECT *, NULL::VARCHAR AS digest FROM ({_counts_sql('table_name', counted)})"]
+    parts += [_digest(name, CLEAN_SCHEMAS[name], REGISTRY[query].sql) for name, query in _CLEAN_QUERIES.items()]
+    parts.append(_digest("mart_cost_to_serve", _STORED_SERVED, REGISTRY["cost_to_serve"].sql))
+    parts.append(_digest("rejected_rows", _REJECTED, "SELECT table_name, column_name, key FROM rejected"))
+    return " UNION ALL ".join(parts)
+
+
+add("pipeline_row_counts", _pipeline_row_counts, _pipeline_sql())
 
 # --- policy and scenario ----------------------------------------------------------
 
