@@ -182,3 +182,41 @@ def test_table_digests_do_not_depend_on_order_and_see_every_cell(spark, rows):
         assert one(changed).digest != first.digest
     assert one([("", *data[1][1:]), *data[:1], *data[2:]]).digest != first.digest  # NULL is not the empty text
     assert one([]).digest == "0" and audit.table_digests({"f": spark.range(2).selectExpr("id / 3 AS x")}).first().digest is None
+
+
+def test_hot_keys_are_joined_apart(spark, rows, tmp_path):
+    """As a plain outer join, with a key that has most rows, keys without rows, unknown keys and nulls."""
+    many = [("hot", k) for k in range(400)] + [(f"k{k % 40}", k) for k in range(90)] + [(None, 1), ("unknown", 2)]
+    one = rows("k string, a int", *[(f"k{k}", k) for k in range(60)], ("hot", -1))
+    many = rows("k string, b int", *many)
+    got = keys.join_with_hot_keys(one, many, "k")
+    key = lambda r: tuple(map(str, r))
+    assert got.columns == ["k", "a", "b"]
+    assert sorted(map(key, got.collect())) == sorted(map(key, one.join(many, "k", "left").collect()))
+    assert keys.join_with_hot_keys(one, many.limit(0), "k").count() == 61 and keys.join_with_hot_keys(one.limit(0), many, "k").count() == 0
+    one.write.parquet(f"{tmp_path}/one")
+    many.write.parquet(f"{tmp_path}/many")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(keys.join_with_hot_keys(spark.read.parquet(f"{tmp_path}/one"), spark.read.parquet(f"{tmp_path}/many"), "k"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("SortMergeJoin") == 1
+
+
+def test_frequent_keys_finds_every_hot_key(spark):
+    df = spark.range(30_000).selectExpr("cast(if(id % 3 = 0, id % 2, id) AS string) AS k")
+    assert {"0", "1"} <= {r.k for r in keys.frequent_keys(df, "k", most=20, tracked=1000).collect()}
+
+
+def test_keys_and_references_take_one_read_and_one_shuffle(spark, tmp_path):
+    spec = TableSpec(_layout("id:string! ref:string"), ("id", "ref"), refs={"ref": ("dim", "d")})
+    specs = {"t": spec, "dim": TableSpec(_layout("d:string!"), ("d",))}
+    spark.createDataFrame([("a", "x"), ("a", "x"), ("a", None), ("b", "zz"), ("b", "zz"), ("c", "zz")], "id string, ref string").write.parquet(f"{tmp_path}/t")
+    spark.createDataFrame([("x",), ("x",), ("y",)], "d string").write.parquet(f"{tmp_path}/dim")
+    tables = {n: spark.read.parquet(f"{tmp_path}/{n}") for n in ("t", "dim")}
+    df = audit._key_rules(tables, specs)
+    plan = plan_of(df)
+    assert plan.count("FileScan") == 2 and plan.count("Exchange hashpartitioning") == 1
+    got = {(r.table_name, r.rule, r.column_name): r.violations for r in df.collect()}
+    assert got == {("t", "unique", "id,ref"): 2, ("t", "reference", "ref"): 3, ("dim", "unique", "d"): 1}

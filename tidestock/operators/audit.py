@@ -47,40 +47,54 @@ def _row_rules(name: str, spec: TableSpec, df: DataFrame) -> DataFrame:
     return counted.select(F.inline(rows))
 
 
-def _labelled(df: DataFrame, table: str, rule: str, column: str) -> DataFrame:
-    return df.select(
-        F.lit(table).alias("table_name"), F.lit(rule).alias("rule"),
-        F.lit(column).alias("column_name"), F.coalesce("n", F.lit(0)).cast("long").alias("violations"),
-    )
+def _value(*columns: str):
+    """Key values as one text; null where a column is null, except that a key of several columns may hold nulls."""
+    if len(columns) == 1:
+        return F.col(columns[0]).cast("string")
+    return F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns])
 
 
-def _unique(name: str, spec: TableSpec, df: DataFrame) -> DataFrame:
-    surplus = df.groupBy(*spec.key).agg(F.count(F.lit(1)).alias("c")).agg(F.sum(F.col("c") - 1).alias("n"))
-    return _labelled(surplus, name, "unique", ",".join(spec.key))
+def _key_rules(tables: Mapping[str, DataFrame], specs: Mapping[str, TableSpec]) -> DataFrame:
+    """Unique keys and references of all tables, counted together.
 
-
-def _reference(name: str, col: str, df: DataFrame, dim: DataFrame, dim_col: str) -> DataFrame:
-    """Keys are counted before the anti join, so a hot key travels as one row."""
-    used = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("_used")).agg(F.count(F.lit(1)).alias("c"))
-    known = dim.select(F.col(dim_col).alias("_known"))
-    orphans = used.join(known, F.col("_used") == F.col("_known"), "left_anti")
-    return _labelled(orphans.agg(F.sum("c").alias("n")), name, "reference", col)
+    Every row gives one value per key or reference, named by the key it belongs to, and equal values
+    combine map-side. So each table is read once, there is one shuffle, and a hot value is a row per task.
+    """
+    rules, parts = [], []
+    for name, df in tables.items():
+        spec = specs[name]
+        own = [("unique", spec.key, (name, spec.key))]
+        own += [("reference", (col,), (dim, (key,))) for col, (dim, key) in spec.refs.items() if dim in tables]
+        used = []
+        for kind, columns, (target, key) in own:
+            used.append(F.struct(F.lit(f"{target}.{','.join(key)}").alias("target"), _value(*columns).alias("value"), F.lit(len(rules)).alias("rule")))
+            rules.append((name, kind, columns))
+        parts.append(df.select(F.explode(F.array(*used)).alias("use")).select("use.*"))
+    counts = [F.count_if(F.col("rule") == i).alias(f"_{i}") for i in range(len(rules))]
+    met = union_reports(*parts).groupBy("target", "value").agg(*counts)
+    known = F.lit(False)
+    for i, (name, kind, columns) in enumerate(rules):
+        if kind == "unique":
+            known = known | ((F.col("target") == f"{name}.{','.join(columns)}") & (F.col(f"_{i}") > 0))
+    totals = []
+    for i, (_, kind, _) in enumerate(rules):
+        n = F.col(f"_{i}")
+        unknown = F.when(F.col("value").isNotNull() & ~known, n)
+        totals.append(F.coalesce(F.sum(F.when(n > 0, n - 1) if kind == "unique" else unknown), F.lit(0)).alias(f"_{i}"))
+    rows = F.array(*[
+        F.struct(F.lit(name).alias("table_name"), F.lit(kind).alias("rule"), F.lit(",".join(columns)).alias("column_name"), F.col(f"_{i}").alias("violations"))
+        for i, (name, kind, columns) in enumerate(rules)
+    ])
+    return met.agg(*totals).select(F.inline(rows))
 
 
 def audit_constraints(
     tables: Mapping[str, DataFrame], specs: Mapping[str, TableSpec] = CLEAN_TABLES
 ) -> DataFrame:
-    """(table_name, rule, column_name, violations) for every declared rule."""
-    parts = []
-    for name, df in tables.items():
-        spec = specs[name]
-        parts += [_row_rules(name, spec, df), _unique(name, spec, df)]
-        parts += [
-            _reference(name, col, df, tables[dim], dim_col)
-            for col, (dim, dim_col) in spec.refs.items()
-            if dim in tables
-        ]
-    return union_reports(*parts)
+    """(table_name, rule, column_name, violations) for every declared rule: one read of each table for the
+    rules of its rows, one for its keys."""
+    parts = [_row_rules(name, specs[name], df) for name, df in tables.items()]
+    return union_reports(*parts, _key_rules(tables, specs))
 
 
 def _text(name: str, kind: T.DataType):

@@ -65,3 +65,31 @@ def distinct_keys(df: DataFrame, *cols: str) -> DataFrame:
 def distinct_values(df: DataFrame, col: str) -> DataFrame:
     """Sorted option list of one column."""
     return df.select(col).distinct().orderBy(col)
+
+
+#: Keys joined apart by `join_with_hot_keys`, and values the sketch that finds them keeps track of.
+APART, TRACKED = 1000, 50_000
+
+
+def frequent_keys(rows: DataFrame, key: str, most: int = APART, tracked: int = TRACKED) -> DataFrame:
+    """(key): the `most` keys with the most rows, by a sketch of fixed size that combines map-side.
+
+    Every key with more than a few rows in `tracked` is found; a key in place of another costs nothing but speed.
+    """
+    top = rows.filter(F.col(key).isNotNull()).agg(F.expr(f"approx_top_k(`{key}`, {most}, {tracked})").alias("top"))
+    return top.select(F.explode("top.item").alias(key))
+
+
+def join_with_hot_keys(one: DataFrame, many: DataFrame, key: str) -> DataFrame:
+    """`one` left join `many` on a key that is unique in `one` and may be hot in `many`; each side is shuffled once.
+
+    An outer join cannot split its side of many rows. So the rows of the most frequent keys are joined
+    apart: there are at most APART of them in `one`, which are broadcast, and no row of `many` moves.
+    What is left has no hot key, and takes one plain outer join. The keys are settled first, on the
+    driver, as all branches must agree on them.
+    """
+    settled = frequent_keys(many, key).collect()  # APART keys at most
+    apart = F.broadcast(one.sparkSession.createDataFrame(settled, one.select(key).schema))
+    few = F.broadcast(one.join(apart, key, "left_semi"))  # a row for each
+    left, right = one.join(apart, key, "left_anti"), many.join(apart, key, "left_anti")
+    return left.join(right, key, "left").unionByName(many.join(few, key))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import inventory as inv
 from ..functions.numeric import ratio, sd_from_sums, transit_days
-from ..operators.keys import latest_per_key
+from ..operators.keys import join_with_hot_keys, latest_per_key
 
 MIN_OBSERVATION_DAYS = 30
 DEMAND_KEYS = ["sku_id", "location_id", "customer_segment"]
@@ -164,17 +164,12 @@ def order_costs(
 ) -> DataFrame:
     """Cost lines per order and shipment; an order without shipments keeps one line.
 
-    The outer join is written as its matched and unmatched halves. Adaptive skew
-    handling may split either side of an inner join, but not the many-rows side of
-    an outer one, so this form also holds when one order has most shipments. The
-    unmatched half needs only the distinct ids, which combine before the shuffle.
+    Order ids must be unique. Both facts are shuffled once, also when one order has most shipments.
     """
     sent = shipments.filter(F.col("order_id").isNotNull()).select(
         "order_id", "freight_cost_usd", "qty_shipped", F.col("from_location").alias("_from")
     )
-    matched = orders.join(sent, "order_id")
-    unmatched = orders.join(sent.select("order_id").distinct(), "order_id", "left_anti")
-    lines = matched.unionByName(unmatched, allowMissingColumns=True)
+    lines = join_with_hot_keys(orders, sent, "order_id")
     ship_to = locations.select(F.col("location_id").alias("ship_to_location"), F.col("region").alias("ship_to_region"))
     source = locations.select(F.col("location_id").alias("_from"), F.col("location_type").alias("fulfilled_from_type"))
     qty, cost = F.col("qty_ordered"), F.col("unit_cost")
