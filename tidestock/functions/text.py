@@ -112,3 +112,12 @@ def score_band(c: Column | str) -> Column:
         step = (value >= floor, F.lit(label))
         chain = F.when(*step) if chain is None else chain.when(*step)
     return chain.otherwise(F.lit(SCORE_BAND_LOWEST))
+
+
+def read_once(value: Column) -> Column:
+    """The value, marked to be computed where it stands.
+
+    Spark copies the expressions of a filter to below a projection, so a filter on parsed text parses every
+    row twice, with all other text rules that joins infer filters from. What depends on a row's position stays.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)

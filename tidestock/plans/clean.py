@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import floor_zero, null_if_before, pct_to_fraction, transit_days
 from ..functions.text import (
     ECHELON_BY_TYPE, FLAG_TRUTHY, LOCATION_TYPES, MODE_BY_CARRIER, RANK_BY_SEGMENT, SEGMENTS,
-    blank_to_null, clean_enum, clean_text, is_missing, normalize_sku, remap,
+    blank_to_null, clean_enum, clean_text, is_missing, normalize_sku, read_once, remap,
     to_date, to_dec, to_flag, to_int,
 )
 from ..operators.audit import apply_defaults, union_reports
@@ -60,7 +60,7 @@ def judged(rows: DataFrame, table: str, columns: Sequence[str] | None = None) ->
     columns = READABLE[table] if columns is None else columns
     typed = rows.withColumns({c: F.col(c).try_cast(spec.schema[c].dataType) for c in columns})
     lost = [F.col(c).isNull() | (~F.expr(spec.checks[c]) if c in spec.checks else F.lit(False)) for c in columns]
-    fault = F.coalesce(*[F.when(test, F.lit(c)) for c, test in zip(columns, lost)])
+    fault = read_once(F.coalesce(*[F.when(test, F.lit(c)) for c, test in zip(columns, lost)]))
     keys = F.concat_ws("|", *[F.col(k).cast("string") for k in spec.key if k in rows.columns])
     return typed.withColumns({FAULT: fault, FAULT_KEY: keys})
 
@@ -259,7 +259,7 @@ def prepare_shipments(raw: DataFrame, lanes: DataFrame, as_sent: bool = False) -
         clean_text("origin_loc_id").alias("from_location"),
         clean_text("dest_loc_id").alias("to_location"),
         normalize_sku("sku_id").alias("sku_id"),
-        to_int("quantity_shipped").alias("qty_shipped"),
+        read_once(to_int("quantity_shipped")).alias("qty_shipped"),
         to_date("ship_date").alias("ship_date"),
         (to_date("arrival_date") if as_sent else null_if_before(to_date("arrival_date"), to_date("ship_date")))
         .alias("delivery_date"),

@@ -17,6 +17,9 @@ def build_session(app: str = "tidestock", master: str | None = None, **conf: str
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Text rules make long generated methods. Beyond 8000 bytes of bytecode the JVM does not compile a
+        # method, and such a stage runs faster expression by expression than in one interpreted method.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         # Skips the per-call source position lookup while plans are built.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
