@@ -67,3 +67,17 @@ def test_blocks_share_the_budget():
         assert sum(bj.budget(d, p, 0.93) for p in parts) >= 0.14
         r = bj.rotation(d)
         assert np.allclose(r @ r.T, np.eye(d))
+
+
+def test_query_against_sql(spark):
+    import duckdb
+
+    from tidestock.llm import queries
+
+    path = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/embeddings.parquet'")
+    want = con.execute(queries.oracle_sql()["op7_block_join"])
+    found = queries.op7_block_join(spark, path)
+    assert found.columns == [c[0] for c in want.description]
+    assert sorted(map(tuple, found.collect())) == sorted(want.fetchall())

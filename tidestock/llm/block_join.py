@@ -230,3 +230,24 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
         .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"))
         .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
     )
+
+
+# All pairs within a label, and reachability by repeated links: for small tables only.
+ORACLE_SQL = """
+WITH RECURSIVE given AS (
+  SELECT vec_id, label, list_transform(embedding, lambda c: CAST(c AS DOUBLE)) AS v FROM embeddings
+),
+sound AS (
+  SELECT * FROM given WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(v, lambda c: c <> 0)) > 0
+),
+linked AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.93
+),
+reached(a, b) AS (SELECT a, b FROM linked UNION SELECT reached.a, linked.b FROM reached JOIN linked ON reached.b = linked.a),
+least AS (SELECT a, min(b) AS b FROM reached GROUP BY a),
+counted AS (SELECT a, count(*) AS n FROM linked GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(b, vec_id)) AS component_id, least(vec_id, coalesce(b, vec_id)) = vec_id AS kept
+FROM given LEFT JOIN least ON vec_id = least.a LEFT JOIN counted ON vec_id = counted.a
+"""

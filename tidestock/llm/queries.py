@@ -91,4 +91,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontaminate": decontaminate.ORACLE_SQL, "op12_warc": warc.ORACLE_SQL}
+    return {"op7_block_join": block_join.ORACLE_SQL, "op10_decontaminate": decontaminate.ORACLE_SQL, "op12_warc": warc.ORACLE_SQL}
