@@ -40,7 +40,11 @@ def test_fill_equals_row_by_row(slack):
     assert all(sorted(v) == list(range(len(v))) and len(v) <= room[s] for s, v in slots.items())
 
 
-def test_rows(spark, rows):
+@pytest.mark.parametrize("most", [1, 7, 1000])
+def test_rows(spark, rows, monkeypatch, most):
+    """Equal rows as ranges of any length, in cells of their own or cut by many shards."""
+    monkeypatch.setattr(hr, "RANGE", most)
+    monkeypatch.setattr(hr, "SHARE", 100)
     data = [(None, None, "x"), (None, "", "x"), (7, "hot", "x"), (8, "é" * 5000, "x")] + [(7, "hot", "x")] * 400 + [(k, f"text {k % 50}", "x") for k in range(900)]
     docs = rows("doc_id long, text string, shard string", *data)
     got = hr.place(docs, 40).collect()

@@ -8,7 +8,9 @@ most; a larger slack moves fewer rows when the number of shards changes.
 
 Only the counts per cell come to the driver (CELLS of them, whatever the table), where the ring is
 filled; the rows then look up their piece of the ring. Rows are placed by a hash of key and text,
-so that a key or a text that repeats is one point only if both repeat.
+so that a key or a text that repeats is one point only if both repeat. Rows that are equal in both are
+counted first and numbered as ranges of at most RANGE rows, so a cell that they crowd is few rows to
+its task; the rows themselves come out of the ranges at the end, spread over tasks again.
 
 Defined cases: null text has size 16 and the checksum of the empty text; null keys and repeated
 rows are placed like others; texts are hashed whole; an empty table gives an empty result; further
@@ -29,6 +31,8 @@ from .common import Scratch
 CELL_BITS = 14
 CELLS = 1 << CELL_BITS
 VIRTUAL_NODES = 64
+#: Equal rows that are numbered as one, and rows that one task gives out at the end.
+RANGE, SHARE = 1000, 100_000
 
 
 def ring(shards: int, virtual_nodes: int = VIRTUAL_NODES) -> list[tuple[int, int]]:
@@ -80,13 +84,23 @@ def place(docs: DataFrame, shards: int, slack: float = 0.0, virtual_nodes: int =
         ).withColumn("cell", F.expr(f"shiftrightunsigned(point, {64 - CELL_BITS})")),
         "points",
     )
-    counts = {r["cell"]: r["count"] for r in points.groupBy("cell").count().collect()}  # CELLS rows at most
-    pieces = fill(counts, ring(shards, virtual_nodes), capacities(sum(counts.values()), shards, slack))
+    # Equal rows as ranges: every column of the result is the same for all of them but the slot.
+    same = points.groupBy("cell", "point", "key", "size", "text_crc32").agg(F.count("*").alias("n"))
+    firsts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RANGE).cast("long")))
+    ranges = same.withColumn("from", firsts).withColumn("n", F.least(F.col("n") - F.col("from"), F.lit(RANGE)))
+    ranges = scratch.store(ranges, "ranges")
+    counts = {r["cell"]: r["n"] for r in ranges.groupBy("cell").agg(F.sum("n").alias("n")).collect()}  # CELLS rows at most
+    total = sum(counts.values())
+    pieces = fill(counts, ring(shards, virtual_nodes), capacities(total, shards, slack))
     found = spark.createDataFrame(pieces, "cell long, first long, end long, shard int, slot0 long")
-    order = Window.partitionBy("cell").orderBy("point", "text_crc32", "size", "key")
-    numbered = points.withColumn("number", F.row_number().over(order).cast("long") - 1)
+    order = Window.partitionBy("cell").orderBy("point", "text_crc32", "size", "key", "from")
+    ends = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    numbered = ranges.withColumn("number", ends - F.col("n"))
     here = F.broadcast(found)  # CELLS rows, and one for every cut
-    inside = (numbered["cell"] == here["cell"]) & (numbered["number"] >= here["first"]) & (numbered["number"] < here["end"])
-    return numbered.join(here, inside).select(
-        F.col("key").alias(key), "size", "text_crc32", "shard", (F.col("slot0") + F.col("number") - F.col("first")).alias("slot")
-    )
+    # A range may lie across cuts: each piece takes its share of it.
+    low, high = F.greatest("number", "first"), F.least(F.col("number") + F.col("n"), F.col("end"))
+    inside = (numbered["cell"] == here["cell"]) & (numbered["number"] < here["end"]) & (numbered["number"] + numbered["n"] > here["first"])
+    placed = numbered.join(here, inside).select("key", "size", "text_crc32", "shard", (F.col("slot0") + low - F.col("first")).alias("slot"), (high - low).alias("n"))
+    placed = placed.repartition(-(-total // SHARE) or 1)
+    rows = F.explode(F.sequence(F.col("slot"), F.col("slot") + F.col("n") - 1)).alias("slot")
+    return placed.select(F.col("key").alias(key), "size", "text_crc32", "shard", rows)
