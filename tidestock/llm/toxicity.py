@@ -34,6 +34,8 @@ from .common import Scratch, map_batches
 
 #: Labelled rows that terms, labels and the classifier are fitted on, chosen by a hash of the text.
 SAMPLE_ROWS = 20_000
+#: Tasks that work on the sample.
+SAMPLE_TASKS = 32
 #: Mined words and stems, and features of the classifier.
 TERMS, FEATURES = 400, 4096
 #: Letters of a stem; only longer words have one.
@@ -251,7 +253,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", lim
     known = known.orderBy(F.xxhash64(key), key).limit(limit).select(F.col(key).alias("__key"), "toxic")
     rows = docs.select(F.col(key).alias("__key"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "__key")
     texts = rows.groupBy(F.xxhash64("text").alias("same"), "toxic").agg(F.first("text").alias("text"))
-    return texts.orderBy("same", "toxic").limit(limit).select("text", "toxic")
+    # A limit leaves one partition; what is mined and fitted on it is spread again.
+    return texts.orderBy("same", "toxic").limit(limit).select("text", "toxic").repartition(SAMPLE_TASKS, "text")
 
 
 def score(
