@@ -60,30 +60,31 @@ def _key_rules(tables: Mapping[str, DataFrame], specs: Mapping[str, TableSpec])
     Every row gives one value per key or reference, named by the key it belongs to, and equal values
     combine map-side. So each table is read once, there is one shuffle, and a hot value is a row per task.
     """
-    rules, parts = [], []
+    rules, parts, slots = [], [], {}
+    for name in tables:
+        slots[name, specs[name].key] = 1  # the first counter of a key is its own table's
     for name, df in tables.items():
         spec = specs[name]
         own = [("unique", spec.key, (name, spec.key))]
         own += [("reference", (col,), (dim, (key,))) for col, (dim, key) in spec.refs.items() if dim in tables]
         used = []
-        for kind, columns, (target, key) in own:
-            used.append(F.struct(F.lit(f"{target}.{','.join(key)}").alias("target"), _value(*columns).alias("value"), F.lit(len(rules)).alias("rule")))
-            rules.append((name, kind, columns))
+        for kind, columns, target in own:
+            slot = 0 if kind == "unique" else slots.setdefault(target, 1)
+            slots[target] = max(slots[target], slot + 1)
+            code = list(slots).index(target)
+            used.append(F.struct(F.lit(code).alias("target"), _value(*columns).alias("value"), F.lit(slot).alias("slot")))
+            rules.append((name, kind, columns, code, F.col(f"_{slot}")))
         parts.append(df.select(F.explode(F.array(*used)).alias("use")).select("use.*"))
-    counts = [F.count_if(F.col("rule") == i).alias(f"_{i}") for i in range(len(rules))]
+    # A key is met by few rules: a row carries a number for its key and as many counters as any key needs.
+    counts = [F.count_if(F.col("slot") == i).alias(f"_{i}") for i in range(max(slots.values()))]
     met = union_reports(*parts).groupBy("target", "value").agg(*counts)
-    known = F.lit(False)
-    for i, (name, kind, columns) in enumerate(rules):
-        if kind == "unique":
-            known = known | ((F.col("target") == f"{name}.{','.join(columns)}") & (F.col(f"_{i}") > 0))
     totals = []
-    for i, (_, kind, _) in enumerate(rules):
-        n = F.col(f"_{i}")
-        unknown = F.when(F.col("value").isNotNull() & ~known, n)
-        totals.append(F.coalesce(F.sum(F.when(n > 0, n - 1) if kind == "unique" else unknown), F.lit(0)).alias(f"_{i}"))
+    for i, (_, kind, _, code, n) in enumerate(rules):
+        surplus = F.when(n > 0, n - 1) if kind == "unique" else F.when(F.col("value").isNotNull() & (F.col("_0") == 0), n)
+        totals.append(F.coalesce(F.sum(F.when(F.col("target") == code, surplus)), F.lit(0)).alias(f"_r{i}"))
     rows = F.array(*[
-        F.struct(F.lit(name).alias("table_name"), F.lit(kind).alias("rule"), F.lit(",".join(columns)).alias("column_name"), F.col(f"_{i}").alias("violations"))
-        for i, (name, kind, columns) in enumerate(rules)
+        F.struct(F.lit(name).alias("table_name"), F.lit(kind).alias("rule"), F.lit(",".join(columns)).alias("column_name"), F.col(f"_r{i}").alias("violations"))
+        for i, (name, kind, columns, _, _) in enumerate(rules)
     ])
     return met.agg(*totals).select(F.inline(rows))
 

@@ -313,6 +313,8 @@ def clean_shipments(
         "freight_cost_usd": winsorize("freight_cost_usd", F.col("cap"), F.col("capped_mean")),
         "on_time_flag": punctual,
     })
+    # The check of order ids moves whole rows, so they are cut to the clean layout first.
+    rows = rows.select(*[c for c in CLEAN_SCHEMAS["fact_shipments"].names if c in rows.columns])
     rows = null_if_orphan(rows, "order_id", orders, "order_id")
     return conform(rows, "fact_shipments")
 

@@ -46,14 +46,17 @@ class Bed:
 
     Dimensions are stored once per query, as the pipeline does, so that facts join
     tables of known size. Facts are stored where a query reads them more than once
-    (`table`) and stay part of one plan otherwise (`plan`).
+    (`table`) and stay part of one plan otherwise (`plan`). `stored_lines` stores the
+    join that both raw facts are derived from, for queries that read them several times.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, stored_lines: bool = False):
         self.spark = spark
         self.raw = adapter.RawLayer(spark, sf_dir)
         self._made: dict[str, DataFrame] = {}
         self._root: str | None = None
+        if stored_lines:
+            self.raw.keep_lines(self._stored)
 
     def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._made:
@@ -63,12 +66,12 @@ class Bed:
     def plan(self, name: str) -> DataFrame:
         return self._once(name, lambda: self._build(name))
 
-    def table(self, name: str) -> DataFrame:
-        def make() -> DataFrame:
-            self._root = self._root or store.stage_root(self.spark)
-            return store.stage(self.plan(name), self._root, name)
+    def _stored(self, df: DataFrame, name: str) -> DataFrame:
+        self._root = self._root or store.stage_root(self.spark)
+        return store.stage(df, self._root, name)
 
-        return self._once(f"stored {name}", make)
+    def table(self, name: str) -> DataFrame:
+        return self._once(f"stored {name}", lambda: self._stored(self.plan(name), name))
 
     def _build(self, name: str) -> DataFrame:
         raw = self.raw[f"{name}_raw"]
@@ -118,11 +121,7 @@ class Bed:
     @property
     def freight(self) -> DataFrame:
         """Freight statistics, stored: a few rows of known size."""
-        def make() -> DataFrame:
-            self._root = self._root or store.stage_root(self.spark)
-            return store.stage(cl.freight_stats(self.raw["fact_shipments_raw"], self.lanes), self._root, "freight_stats")
-
-        return self._once("freight", make)
+        return self._once("freight", lambda: self._stored(cl.freight_stats(self.raw["fact_shipments_raw"], self.lanes), "freight_stats"))
 
     @property
     def prepared(self) -> DataFrame:
@@ -161,6 +160,13 @@ class Query:
 
 REGISTRY: dict[str, Query] = {}
 
+#: Queries that read the raw facts more than once, most by way of the shipments, which need freight statistics and orders.
+SEVERAL_READS = frozenset(
+    "clean_shipments clean_shipments_v1 order_costs cost_to_serve network_flow quality_issues quality_summary score_card cleaning_audit constraint_keys"
+    " constraint_audit row_counts clean_row_counts mart_summary lead_times lead_times_lane simulate_policy scenario scenario_one_sku"
+    " policy_comparison high_risk high_risk_85 scenario_one_location top_cost scenario_kpis scenario_by_sku orphan_orders".split()
+)
+
 
 def add(name: str, build: Callable[[Bed], DataFrame], sql: str | None = None) -> None:
     REGISTRY[name] = Query(build, statement(sql) if sql else None)
@@ -783,10 +789,10 @@ add(
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    def runner(build):
-        return lambda spark, sf_dir: portable(build(Bed(spark, sf_dir)))
+    def runner(name, build):
+        return lambda spark, sf_dir: portable(build(Bed(spark, sf_dir, stored_lines=name in SEVERAL_READS)))
 
-    return {name: runner(query.build) for name, query in REGISTRY.items()}
+    return {name: runner(name, query.build) for name, query in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
