@@ -99,3 +99,13 @@ def test_rows_without_id_do_not_share_their_anchors(rows, monkeypatch):
     got = sorted((tuple(r) for r in rb.digest(rows("doc_id long, text string", *docs)).collect()), key=str)
     assert got == plain(docs)
     assert len(seen) > 100 and all({f["anchor"] for f in r.found} <= own(r.text) for r in seen)
+
+
+def test_anchors_are_found_once(spark, monkeypatch):
+    """They are stored for the two steps that read them, and dropped before the texts are."""
+    stored, kept = [], rb.Scratch.store
+    monkeypatch.setattr(rb.Scratch, "store", lambda self, df, name: (stored.append(name), kept(self, df, name))[1])
+    text = "".join(chr(97 + i * i % 26) for i in range(300))
+    docs = spark.createDataFrame([(1, text), (2, "x" + text)], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in rb.deduplicate(docs).collect()}
+    assert stored[0] == "anchors" and got[2] == 300

@@ -292,12 +292,12 @@ def removed_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     # A document is an id and a hash: rows without id, or with one id, must not share one set of anchors. Were
     # two documents to get the same doc, each would only know of anchors that it does not have.
     rows = docs.select(*_place_columns(docs), "text").withColumn("doc", F.xxhash64("id", "hash"))
-    anchors = _anchors(rows, length)
+    anchors = scratch.store(_anchors(rows, length), "anchors")  # counted, then dealt out to their documents
     counts = anchors.groupBy("anchor").agg(F.sum("times").alias("n")).where("n >= 2")
     repeated = scratch.store(counts.select("anchor", (F.col("n") > HOT).alias("hot")), "repeated")
     wanted = anchors.join(repeated, "anchor").groupBy("doc").agg(F.collect_set(F.struct("anchor", "hot")).alias("found"))
     wanted = scratch.store(wanted, "wanted")
-    scratch.release()
+    scratch.release(anchors)
     pieces = scratch.store(_pieces(rows.join(wanted, "doc"), length), "pieces")
     scratch.release(repeated, wanted)
     known = pieces.where("text is null").select("id", "hash", "first", "end")
