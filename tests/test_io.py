@@ -142,6 +142,18 @@ def test_files_load_in_numeric_order(spark, tmp_path):
     assert [r.location_name for r in rows] == ["part 1", "part 2", "part 10"]
 
 
+@pytest.mark.parametrize("multi_line", [False, True])
+def test_rows_carry_the_number_of_their_file(spark, tmp_path, multi_line):
+    """Not the text of its path, which went through every sort and shuffle; names with blanks and signs are found."""
+    folder = tmp_path / "a b%20ü+#1"
+    folder.mkdir()
+    for part in (10, 2, 1):
+        _location_lines(folder, f"L,part {part},c,s,DC,r,1,2", name=f"part {part}%.csv")
+    df = src.read_raw(spark, str(folder), RAW_SCHEMAS["dim_location_raw"], multi_line)
+    assert df.schema["_ingest_seq"].dataType["file"].dataType.simpleString() == "int"
+    assert [(r.location_name, r.file) for r in df.orderBy("_ingest_seq").select("location_name", "_ingest_seq.file").collect()] == [("part 1", 0), ("part 2", 1), ("part 10", 2)]
+
+
 def test_policy_and_earlier_layout_use_the_same_scan(spark, tmp_path):
     (tmp_path / "p.csv").write_text(
         'sku_id,location_id,avg_demand,std_demand,lead_time,reorder_point,safety_stock\n"A ""1""\\",X,1,2,3,4,5\n')
@@ -155,6 +167,15 @@ def test_policy_and_earlier_layout_use_the_same_scan(spark, tmp_path):
     assert legacy.to_current(layer["dim_location_raw"], "dim_location_raw").first().location_name == 'a, "b"'
 
 
+def test_compressed_extracts_read_back_in_order(spark, tmp_path):
+    schema = RAW_SCHEMAS["dim_location_raw"]
+    made = spark.range(0, 900, 1, 3).select(F.col("id").cast("string").alias("location_id"), *[F.lit('a "b",').alias(n) for n in schema.names[1:]])
+    src.export_csv(made, str(tmp_path / "out"), compression="gzip")
+    assert [f for f in os.listdir(tmp_path / "out") if f.startswith("part") and f.endswith(".csv.gz")]
+    rows = src.read_raw(spark, str(tmp_path / "out"), schema).orderBy("_ingest_seq").collect()
+    assert [r.location_id for r in rows] == [str(k) for k in range(900)] and rows[5].region == 'a "b",'
+
+
 def test_export_reads_back(spark, tmp_path):
     made = spark.createDataFrame([('say "x", y\\', 1.5), ("\\", 2.0)], "a string, b double")
     src.export_csv(made, str(tmp_path / "out"))

@@ -88,3 +88,44 @@ def test_stored_lines_give_the_same_rows_and_are_joined_once(spark, tmp_path):
         assert rows[0] == rows[1] and len(rows[0]) > 150
         assert "Join" not in stored.raw["fact_sales_orders_raw"]._jdf.queryExecution().executedPlan().toString()
     assert {"clean_shipments", "mart_summary", "quality_summary"} <= SEVERAL_READS
+
+
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_extracts_of_lines_need_no_sort_of_their_text(spark, tmp_path, threshold):
+    """Lines of one id are written in the order they were sent, by the shuffle that joins them; suppliers may repeat."""
+    from pyspark.sql import functions as F
+    from tidestock.schemas import RAW_SCHEMAS
+    from tidestock.sources.csv import export_csv, read_raw
+    from tidestock.testbed.adapter import LINE_FACTS
+    from tidestock.testbed.registry import Bed
+
+    days = [f"2024-01-{d:02d} 00:00:00" for d in (9, 1, 5, 7)]
+    lines = [(o, o % 3 + 1, 1 + o % 5, n, float(q), 10.0 * q + i, "N", day) for i, (q, day) in enumerate(zip((5, 6, 7, 8), days)) for o in range(1, 60) for n in (1, 2)]
+    tables = {
+        "lineitem": spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double,"
+                                          " l_extendedprice double, l_returnflag string, l_shipdate string").withColumn("l_shipdate", F.to_timestamp("l_shipdate")),
+        "orders": spark.createDataFrame([(o, o % 4, "F", o) for o in range(2, 60)], "o_orderkey long, o_custkey long, o_orderstatus string, o int")
+                       .select("o_orderkey", "o_custkey", "o_orderstatus", F.to_timestamp(F.lit("2024-01-01")).alias("o_orderdate"), F.lit("1-HIGH").alias("o_orderpriority")),
+        "customer": spark.createDataFrame([(c, 7) for c in range(4)], "c_custkey long, c_nationkey long"),
+        "supplier": spark.createDataFrame([(1, 7), (2, None), (2, 3), (3, 4), (3, 4), (None, 5)], "s_suppkey long, s_nationkey long"),
+    }
+    for name, df in tables.items():
+        df.repartition(5).write.parquet(f"{tmp_path}/{name}.parquet")
+    plain, sent = Bed(spark, str(tmp_path)), Bed(spark, str(tmp_path))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        sent.raw.sent_lines()
+        for fact, key, day in zip(LINE_FACTS, ("order_id", "shipment_id"), ("quantity", "ship_date")):
+            names = RAW_SCHEMAS[fact].names
+            made = sent.raw[fact].select(*names)
+            assert "rangepartitioning" not in made._jdf.queryExecution().executedPlan().toString()
+            export_csv(made, f"{tmp_path}/{fact}", compression="gzip")
+            read = read_raw(spark, f"{tmp_path}/{fact}", RAW_SCHEMAS[fact])
+            got = [(r[key], r[day]) for r in read.orderBy("_ingest_seq").collect()]
+            want = [(r[key], r[day]) for r in plain.raw[fact].orderBy("_ingest_seq").collect()]
+            order = lambda rows: sorted((k, [d for i, d in rows if i == k]) for k in {i for i, _ in rows})
+            assert order(got) == order(want) and len(got) > 250
+            bare = lambda df: sorted(str(r) for r in df.select(*[F.expr(f"nullif(trim({n}), '')").alias(n) for n in names]).collect())
+            assert bare(read) == bare(plain.raw[fact])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -7,6 +7,9 @@ a header that does not match.
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,13 +28,30 @@ def _scan(spark: SparkSession, path: str | list[str], schema: T.StructType) -> D
     return spark.read.schema(schema).options(header=True, enforceSchema=False, columnPruning=False, **FORMAT).csv(path)
 
 
-def natural_order(path: Column) -> Column:
+def natural_order(path: str) -> bytes:
     """Path text that sorts numbers by value, so part2 comes before part10."""
-    pieces = F.regexp_extract_all(path, F.lit(r"(\d+|\D+)"), F.lit(0))
-    padded = F.transform(
-        pieces, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, F.greatest(F.length(p), F.lit(40)), F.lit("0"))).otherwise(p)
-    )
-    return F.concat_ws("", padded)
+    return re.sub("[0-9]+", lambda number: number.group().rjust(40, "0"), path).encode()
+
+
+def _file_numbers(scan: DataFrame) -> DataFrame:
+    """(path, file): the place of each file of a scan in natural order.
+
+    A row then carries a number, not the text of a path, through every later sort and shuffle.
+    """
+    listed = scan.inputFiles()
+    places = {order: place for place, order in enumerate(sorted(set(map(natural_order, listed))))}
+    # Rows name a file without authority by one slash, listings by three.
+    paths = {form: places[natural_order(file)] for file in listed for form in (file, re.sub("^([^:/]+):///", r"\1:/", file))}
+    table = pa.table({"path": pa.array(list(paths), pa.string()), "file": pa.array(list(paths.values()), pa.int32())})
+    return scan.sparkSession.createDataFrame(table)
+
+
+def _with_sequence(rows: DataFrame, scan: DataFrame, names: list[str], file: Column, block: Column, row: Column) -> DataFrame:
+    """The named fields and `_ingest_seq`; a file that the scan does not list stops the read."""
+    placed = rows.select(*names, file.alias("_path"), block.alias("_block"), row.alias("_row"))
+    numbered = placed.join(F.broadcast(_file_numbers(scan)), F.col("_path") == F.col("path"), "left")
+    number = F.coalesce("file", F.raise_error(F.concat(F.lit("no number for file "), "_path")).cast("int"))
+    return numbered.select(*names, F.struct(number.alias("file"), F.col("_block").alias("block"), F.col("_row").alias("row")).alias("_ingest_seq"))
 
 
 def read_raw(spark: SparkSession, path: str | list[str], schema: T.StructType, multi_line: bool = False) -> DataFrame:
@@ -43,13 +63,13 @@ def read_raw(spark: SparkSession, path: str | list[str], schema: T.StructType, m
     blocks; without it such a row raises too. The sequence orders rows by file (numbers in names
     by value), block and position in the block, so splitting a large file over tasks keeps its order.
     """
-    place = lambda file, block, row: F.struct(natural_order(file).alias("file"), block.alias("block"), row.alias("row"))
+    scan = _scan(spark, path, schema)
     if multi_line:
         root = stage_root(spark)
         rows = quoted.read_rows(spark, path, schema, {**FORMAT, "multiLine": "true"}, lambda df, name: stage(df, root, name))
-        return rows.select(*schema.names, place(F.col("file"), F.col("block"), F.col("row")).alias("_ingest_seq"))
-    seq = place(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    return _scan(spark, path, schema).select("*", seq.alias("_ingest_seq"))
+        return _with_sequence(rows, scan, schema.names, F.col("file"), F.col("block"), F.col("row"))
+    meta = F.col("_metadata")
+    return _with_sequence(scan, scan, schema.names, meta["file_path"], meta["file_block_start"], F.monotonically_increasing_id())
 
 
 def read_raw_layer(
@@ -64,5 +84,5 @@ def read_policy(spark: SparkSession, path: str) -> DataFrame:
     return coerce_numeric(_scan(spark, path, text))
 
 
-def export_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+def export_csv(df: DataFrame, path: str, compression: str | None = None) -> None:
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path, compression=compression)

@@ -19,6 +19,8 @@ from ..plans.clean import conform
 POLICY_TABLE = "opt_inventory_policy"
 
 
+#: Layers that are kept are packed closer than intermediate tables, which are read once or twice.
+CODEC = "zstd"
 #: Versions that stay readable, the current one included.
 KEPT_VERSIONS = 2
 #: Age in hours from which a version that no reload marked counts as that of a failed one.
@@ -65,7 +67,7 @@ def overwrite_table(df: DataFrame, root: str, name: str) -> None:
     Of two reloads at a time the one that is marked last is current.
     """
     spark, version = df.sparkSession, f"v-{uuid.uuid4().hex}"
-    df.write.parquet(f"{root}/{name}/{version}")
+    df.write.parquet(f"{root}/{name}/{version}", compression=CODEC)
     log = _Folder(spark, f"{root}/{name}/log")
     log.system.mkdirs(log.path)
     while True:
@@ -143,14 +145,14 @@ def remove_stages(spark: SparkSession) -> None:
         _Folder(spark, root).delete()
 
 
-def stage(df: DataFrame, root: str, name: str, by: str | None = None) -> DataFrame:
+def stage(df: DataFrame, root: str, name: str, by: str | None = None, codec: str | None = None) -> DataFrame:
     """Store an intermediate table, partitioned by a column if given, and read it back.
 
     Later plans start from the stored rows and know their real size, so small
     dimensions are broadcast by Spark's own threshold before any fact is shuffled.
     """
     writer = df.write.mode("overwrite")
-    (writer.partitionBy(by) if by else writer).parquet(f"{root}/{name}")
+    writer.parquet(f"{root}/{name}", partitionBy=by, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(f"{root}/{name}")
 
 

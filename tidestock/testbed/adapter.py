@@ -148,6 +148,9 @@ def lane_raw(src: Source) -> DataFrame:
     )
 
 
+#: Raw facts that are derived from the order lines row by row.
+LINE_FACTS = ("fact_sales_orders_raw", "fact_shipments_raw")
+
 #: The order of lines that share an order and a number, and so an id in the raw facts.
 SENT_ORDER = ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 
@@ -167,7 +170,7 @@ def _seq(lines: DataFrame) -> Column:
 #: What the raw facts take from the lines, and the name under which `RawLayer` keeps them stored.
 LINE_COLUMNS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate",
                 "o_orderstatus", "o_orderdate", "o_orderpriority", "c_custkey", "c_nationkey"]
-LINES, SENT = "order_lines", "sent"
+LINES, SENT, SUPPLIERS = "order_lines", "sent", "suppliers"
 
 
 def _lines(src: Source) -> DataFrame:
@@ -208,7 +211,11 @@ def order_raw(src: Source) -> DataFrame:
 
 def shipment_raw(src: Source) -> DataFrame:
     supplier = src["supplier"].select("s_suppkey", "s_nationkey")
-    rows = _lines(src).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = _lines(src)
+    if SUPPLIERS in rows.columns:
+        rows = rows.select("*", F.inline(SUPPLIERS))
+    else:
+        rows = rows.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     freight = F.floor(_cents("l_extendedprice") * 3 / 100).cast("long")
     ship = F.col("l_shipdate").cast("date")
     return rows.select(
@@ -282,6 +289,18 @@ class RawLayer(dict):
         alike = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*SENT_ORDER)
         self.given[LINES] = stored(_lines(self.given).withColumn(SENT, F.row_number().over(alike)), LINES)
 
+    def sent_lines(self) -> None:
+        """Lines with their suppliers, those that share an id in one task and in the order they were sent.
+
+        What is derived from them row by row keeps both, so the facts can be written as extracts without
+        another shuffle. Suppliers come along as a list, as a later join might deal the lines out anew.
+        """
+        suppliers = self.given["supplier"].groupBy("s_suppkey").agg(F.collect_list(F.struct("s_nationkey")).alias(SUPPLIERS))
+        alike = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*SENT_ORDER)
+        lines = _lines(self.given).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"), "left").select(*LINE_COLUMNS, SUPPLIERS)
+        numbered = lines.withColumn(SENT, F.row_number().over(alike))
+        self.given[LINES] = numbered.sortWithinPartitions("l_orderkey", "l_linenumber", SENT)
+
     def load_all(self) -> RawLayer:
         for name in RAW_TABLES:
             self[name]
