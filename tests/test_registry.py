@@ -129,3 +129,23 @@ def test_extracts_of_lines_need_no_sort_of_their_text(spark, tmp_path, threshold
             assert bare(read) == bare(plain.raw[fact])
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_freight_statistics_are_compiled(spark):
+    """The JVM leaves methods of more than 8000 bytes uncompiled; raw freight text is built once a row, not once a use."""
+    import re
+
+    from tidestock.plans.clean import freight_stats
+    from tidestock.testbed.registry import Bed
+
+    bed = Bed(spark, TESTDATA, stored_lines=True)
+    stats = freight_stats(bed.raw["fact_shipments_raw"], bed.lanes)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = stats.select("*")._jdf.queryExecution().executedPlan()
+        debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+        sizes = list(map(int, re.findall(r"maxMethodCodeSize:(\d+)", debug.codegenString(plan))))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(sizes) > 5 and max(sizes) < 8000
+    assert "RLIKE(CASE" not in plan.toString()

@@ -263,7 +263,8 @@ def prepare_shipments(raw: DataFrame, lanes: DataFrame, as_sent: bool = False) -
         to_date("ship_date").alias("ship_date"),
         (to_date("arrival_date") if as_sent else null_if_before(to_date("arrival_date"), to_date("ship_date")))
         .alias("delivery_date"),
-        "freight_cost_usd",
+        # Statistics filter by this text and parse it; copied to the scan, where raw text is built, it makes a method too long to compile.
+        read_once(F.col("freight_cost_usd")).alias("freight_cost_usd"),
         clean_text("carrier").alias("carrier"),
         clean_enum(_extra(raw, "shipment_status")).alias("shipment_status"),
         *[clean_enum(c).alias(c) for c in stated], *flags,
