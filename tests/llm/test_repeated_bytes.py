@@ -101,6 +101,19 @@ def test_rows_without_id_do_not_share_their_anchors(rows, monkeypatch):
     assert len(seen) > 100 and all({f["anchor"] for f in r.found} <= own(r.text) for r in seen)
 
 
+def test_numbers_are_read_as_arrays():
+    """Columns of whole numbers, and lists of them, give what `to_pylist` gives, in slices and with nulls too."""
+    import pyarrow as pa
+
+    from tidestock.llm.common import values
+
+    lists = pa.array([[1, 2], [], [3], [4, 5, 6], [7]], pa.list_(pa.int64()))
+    for column in (pa.array([1, -2, 3], pa.int32()), pa.array([1, None]), pa.array(["a", None]), pa.array([], pa.int64()), lists, lists.slice(1, 3), lists.slice(4),
+                   lists.slice(2, 0), pa.array([[1], None]), pa.array([[1, None], [2]]), pa.array([[True], []]), pa.array([[{"a": 1}]])):
+        assert values(column) == column.to_pylist()
+    assert all(type(v) is int for v in values(lists.slice(3))[0] + values(pa.array([1, 2])))
+
+
 def test_anchors_are_found_once(spark, monkeypatch):
     """They are stored for the two steps that read them, and dropped before the texts are."""
     stored, kept = [], rb.Scratch.store

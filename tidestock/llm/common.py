@@ -49,6 +49,17 @@ class Scratch:
         java.java.lang.System.gc()
 
 
+def values(column: pa.Array) -> list:
+    """The column as a list; numbers by way of an array, which takes a tenth of the time of one by one."""
+    kind = column.type
+    if pa.types.is_list(kind) and pa.types.is_integer(kind.value_type) and len(column) and not column.null_count:
+        ends = column.offsets.to_numpy()
+        flat = values(column.values.slice(int(ends[0]), int(ends[-1] - ends[0])))
+        at = (ends - ends[0]).tolist()
+        return [flat[a:b] for a, b in zip(at, at[1:])]
+    return column.to_numpy().tolist() if pa.types.is_integer(kind) and not column.null_count else column.to_pylist()
+
+
 def map_batches(
     df: DataFrame, columns: Callable[..., dict[str, Any]], schema: str, step: int = 2000
 ) -> DataFrame:
@@ -65,7 +76,7 @@ def map_batches(
         for batch in batches:
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
-                made = columns(**{n: part.column(i).to_pylist() for i, n in enumerate(names)})
+                made = columns(**{n: values(part.column(i)) for i, n in enumerate(names)})
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, out)

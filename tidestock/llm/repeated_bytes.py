@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_batches
+from .common import Scratch, map_batches, values
 from .suffix_array import permuted_lcp, suffix_array
 
 #: Bytes of an anchor; a power of two.
@@ -146,39 +146,38 @@ def _pieces(docs: DataFrame, length: int) -> DataFrame:
     the same bytes start earlier in the batch.
     """
 
-    def run(id, hash, text, found):
-        out = {"key": [], "id": [], "hash": [], "first": [], "end": [], "text": []}
+    def run(id, hash, text, anchors, hot):
+        out: list[tuple] = []
         rows = sorted(zip(id, hash, range(len(id)), [(t or "").encode() for t in text]))
         seen: dict[bytes, tuple] = {}
         for part, joined, ends in portions(rows):
             anchor, first, end, _ = runs(joined, ends, length)
             which = np.searchsorted(ends, first, "right")
-            starts, raw = np.append(0, ends[:-1]), joined.tobytes()
-            wanted = [{r["anchor"]: r["hot"] for r in found[row[2]]} for row in part]
+            starts, raw = np.append(0, ends[:-1]).tolist(), joined.tobytes()
+            heads = [row[:2] for row in part]
+            wanted = [dict(zip(anchors[row[2]], hot[row[2]])) for row in part]
             near = hashes(joined, 64).view(np.int64) if any(any(w.values()) for w in wanted) else None
 
-            def put(key: int, place: tuple, count: int, data: bytes | None) -> None:
-                for values, value in zip(out.values(), (key, *place, place[2] + count, data)):
-                    values.append(value)
-
             for key, w, a, b in zip(anchor.tolist(), which.tolist(), first.tolist(), end.tolist()):
-                hot = wanted[w].get(key)
-                if hot is None:
+                often = wanted[w].get(key)
+                if often is None:
                     continue
-                data, place = raw[a : b + length - 1], (*part[w][:2], a - int(starts[w]))
+                data, (i, h), at = raw[a : b + length - 1], heads[w], a - starts[w]
+                place = (i, h, at)
                 if seen.setdefault(data, place) != place:
-                    put(key, place, b - a, None)
-                elif not hot:
-                    put(key, place, b - a, data)
+                    out.append((key, i, h, at, at + b - a, None))
+                elif not often:
+                    out.append((key, i, h, at, at + b - a, data))
                 else:
                     for p in range(b - a):
-                        window, at = data[p : p + length], (*place[:2], place[2] + p)
-                        new = p + length == len(data) == length or seen.setdefault(window, at) == at
+                        window, here = data[p : p + length], (i, h, at + p)
+                        new = p + length == len(data) == length or seen.setdefault(window, here) == here
                         # 64 bytes from the start and 64 to the end are all of a window
-                        put(int(near[a + p] ^ near[a + p + length - 64] >> 1), at, 1, window if new else None)
-        return out
+                        out.append((int(near[a + p] ^ near[a + p + length - 64] >> 1), *here, here[2] + 1, window if new else None))
+        return dict(zip(("key", "id", "hash", "first", "end", "text"), zip(*out) if out else [[]] * 6))
 
-    return map_batches(docs.select("id", "hash", "text", "found"), run, "key long, id long, hash long, first long, end long, text binary", 4096)
+    of = docs.select("id", "hash", "text", F.col("found.anchor").alias("anchors"), F.col("found.hot").cast("array<int>").alias("hot"))
+    return map_batches(of, run, "key long, id long, hash long, first long, end long, text binary", 4096)
 
 
 def _self_repeating(text: bytes, length: int) -> bool:
@@ -201,8 +200,11 @@ def _distinct(rows: list[tuple], length: int) -> tuple[list[tuple], list[tuple]]
     with another (among few) and cannot repeat itself is not compared. Texts to compare come as
     ((id, hash, first), text).
     """
+    if len(rows) == 1:
+        (*place, text), = rows
+        return [], [(tuple(place), text)] if _self_repeating(text, length) else []
     covered, seen = [], {}
-    for id, hash, first, text in sorted(rows) if len(rows) > 1 else rows:
+    for id, hash, first, text in sorted(rows):
         place = (id, hash, first)
         if seen.setdefault(text, place) != place:
             covered.append((*place, first + len(text) - length + 1))
@@ -249,18 +251,25 @@ def _compare(pieces: DataFrame, length: int) -> DataFrame:
         """The rows of one key after the other."""
         rows, last = [], None
         for batch in batches:
-            for key, *row in zip(*[batch.column(i).to_pylist() for i in range(5)]):
-                if key != last and rows:
-                    yield rows
-                    rows = []
-                rows.append(tuple(row))
-                last = key
+            if not batch.num_rows:
+                continue
+            key = batch.column(0).to_numpy()
+            every = list(zip(*[values(batch.column(i)) for i in range(1, 5)]))
+            cuts = [0, *((key[1:] != key[:-1]).nonzero()[0] + 1).tolist(), len(every)]
+            if rows and key[0] != last:
+                yield rows
+                rows = []
+            for a, b in zip(cuts[:-2], cuts[1:-1]):
+                yield rows + every[a:b]
+                rows = []
+            rows += every[cuts[-2] :]
+            last = key[-1]
         if rows:
             yield rows
 
     def send(found: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*found)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "hash", "first", "end"])
+        columns = np.array(found, np.int64).reshape(-1, 4).T
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["id", "hash", "first", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, texts, size = [], [], 0
