@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import sys
 
 import pytest
 import public_tokenizers as P
@@ -99,3 +100,42 @@ def test_pieces_leave_when_their_bytes_are_spent(pair, monkeypatch):
         assert kept.size <= most
         assert sum(byte_bpe.PIECE_BYTES + len(p) for g in (kept.newer, kept.older) for p in g) <= 2 * most + 20_000
     assert cache.found > cache.asked // 5 and all(f" {w}" in cache.known.newer or f" {w}" in cache.known.older for w in often)
+
+
+def test_pieces_merged_together_whatever_the_order_of_ranks(pair):
+    rng = random.Random(12)
+    longer = sorted({bytes(rng.choices(b"abc", k=rng.randrange(2, 7))) for _ in range(120)})
+    for turn in range(12):
+        order = [bytes([b]) for b in range(256)] + longer
+        rng.shuffle(order)
+        ranks = {t: i for i, t in enumerate(order)}
+        mine = byte_bpe.ByteBpe(b"\n".join(base64.b64encode(t) + b" %d" % i for t, i in ranks.items()), P.PATTERN)
+        library = tiktoken.Encoding("mixed", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        pieces = ["".join(rng.choices("abc", k=rng.choice((1, 2, 9, 60)))) for _ in range(300)] + ["a" * 500, "ab" * 300, "abc" * 200]
+        got = mine.merge([p.encode() for p in pieces])
+        # The library takes a piece that is a token whole, before it merges; merging alone may end elsewhere.
+        assert [byte_bpe.ids_of(g) for g, p in zip(got, pieces) if p.encode() not in ranks] == [
+            library.encode_ordinary(p) for p in pieces if p.encode() not in ranks
+        ]
+        assert not mine.queue.top and not mine.queue.buckets and (mine.table == -1).all()
+
+
+def test_a_pair_is_merged_in_all_pieces_at_once(pair):
+    """Lines that Python runs, and so its time, grow with the pieces by less than by their bytes."""
+    own, library = pair
+    pieces = [f" {a}ing{b}tion" for a in ("st", "br", "fl", "cl") for b in range(500)]
+    lines = 0
+
+    def count(frame, event, _):
+        nonlocal lines
+        lines += event == "line"
+        return count
+
+    before = sys.gettrace()
+    sys.settrace(count)
+    try:
+        got = own.merge([p.encode() for p in pieces])
+    finally:
+        sys.settrace(before)
+    assert [byte_bpe.ids_of(g) for g in got] == [library._encode_single_piece(p) for p in pieces]
+    assert lines < 4 * sum(map(len, pieces))

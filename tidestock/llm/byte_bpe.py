@@ -5,8 +5,9 @@ its id. A text is split by a pattern; each match is merged on its own, always at
 rank, leftmost first. Merging keeps a linked list of symbols and one bucket of list positions per
 rank. A bitmap of three levels says which buckets hold something; find-first-set walks it to the
 next rank. Entries of pairs that have changed since stay in their buckets and are skipped when met.
-Split pieces that are new are merged together in one queue, which spreads the cost of its steps; a
-very long match costs time in proportion to its bytes (and the sorting of a bucket's positions).
+Split pieces that are new are merged together in one queue, and the positions of a bucket together as
+arrays, so the cost of a step is spread over all pieces that have its pair; a very long match costs time
+in proportion to its bytes (and the sorting of a bucket's positions).
 
 Defined cases: a null text is the empty text and has no ids; texts are whole, whatever their
 length; repeated rows and null doc_ids are encoded like any other row; an empty table gives an
@@ -16,11 +17,13 @@ empty result; further columns of the input are left out.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -33,9 +36,9 @@ NEW_BYTES, KNOWN_BYTES = 12 << 20, 30 << 20
 #: What a piece takes besides its bytes and ids: two objects and a place in a table.
 PIECE_BYTES = 200
 #: Bytes of pieces merged in one queue; a longer piece has a queue to itself.
-QUEUE_BYTES = 1 << 18
-#: Texts encoded at once: so many, or fewer with so many code points.
-TEXTS, CODE_POINTS = 256, 1 << 20
+QUEUE_BYTES = 1 << 20
+#: Texts encoded at once: so many, or fewer with so many code points. The more, the more of a bucket is merged together.
+TEXTS, CODE_POINTS = 1024, 1 << 22
 
 
 class RankQueue:
@@ -52,11 +55,14 @@ class RankQueue:
         self.buckets: dict[int, list[int]] = {}
 
     def push(self, rank: int, position: int) -> None:
+        self.put(rank, [position])
+
+    def put(self, rank: int, positions: list[int]) -> None:
         bucket = self.buckets.get(rank)
         if bucket is not None:
-            bucket.append(position)
+            bucket += positions
             return
-        self.buckets[rank] = [position]
+        self.buckets[rank] = positions
         word = rank >> self.shift
         self.leaf[word] |= 1 << (rank & (1 << self.shift) - 1)
         self.top |= 1 << word
@@ -134,85 +140,119 @@ class ByteBpe:
         self.ranks = read_ranks(rank_file)
         self.split = regex.compile(pattern).findall
         size = max(self.ranks.values()) + 1
-        self.tokens: list[bytes] = [b""] * size
+        self.tokens = np.full(size, b"", object)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.queue = RankQueue(size)
-        self.bytes = [self.ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[int, int] = {}  # left id << 32 | right id -> id of both together
+        self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        found = []  # (left id, right id, id of both together)
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
                 left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    self.pairs[left << 32 | right] = rank
+                    found.append((left, right, rank))
+        left, right, both = np.array(found, np.int32).reshape(-1, 3).T
+        self.letter_pairs = np.full((256, 256), -1, np.int32)
+        letter = np.full(size, -1, np.int32)
+        letter[self.bytes] = np.arange(256)
+        short = (letter[left] >= 0) & (letter[right] >= 0)
+        self.letter_pairs[letter[left[short]], letter[right[short]]] = both[short]
+        # Pairs by their left id, and by their right id; `table` is for looking up those of one id.
+        order, back = left.argsort(kind="stable"), right.argsort(kind="stable")
+        self.rights, self.of_rights, self.right_ends = right[order], both[order], left[order].searchsorted(np.arange(size + 1)).tolist()
+        self.lefts, self.of_lefts, self.left_ends = left[back], both[back], right[back].searchsorted(np.arange(size + 1)).tolist()
+        self.table = np.full(size + 1, -1, np.int32)
+        early = np.zeros(size, bool)  # ids with a pair that ranks no later than they do
+        early[left[both <= left]] = early[right[both <= right]] = True
+        self.early = early.tolist()
         self.cache = Pieces()
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of split pieces (packed, see `ids_of`), all in one queue: a bucket holds positions of every piece.
 
-        Pieces are chained one after the other without links between them; index n, also reached as
-        -1, stands for "no neighbour" and pairs with nothing.
+        The positions of a bucket are merged together, as arrays. Pieces are chained one after the
+        other without links between them; index n stands for "no neighbour" and pairs with nothing.
         """
-        joined = b"".join(pieces)
-        n = len(joined)
-        found, queue = self.pairs.get, self.queue
-        buckets, push = queue.buckets, queue.push
-        ids = list(map(self.bytes.__getitem__, joined))
-        pair = [found(a << 32 | b) for a, b in zip(ids, ids[1:])] + [None, None]
-        after, before = list(range(1, n + 1)), list(range(-1, n))
-        ids.append(-1)
-        end = 0
-        for piece in pieces:
-            before[end] = -1
-            end += len(piece)
-            pair[end - 1], after[end - 1] = None, n
-        for i, rank in enumerate(pair):
-            if rank is not None:
-                if rank in buckets:
-                    buckets[rank].append(i)
-                else:
-                    push(rank, i)
+        letters = np.frombuffer(b"".join(pieces), np.uint8)
+        n, size = len(letters), len(self.tokens)
+        ends = np.cumsum([len(p) for p in pieces])
+        starts = np.append(0, ends[:-1])
+        ids = np.append(self.bytes[letters], np.int32(size))
+        pair = np.full(n + 1, -1, np.int32)
+        pair[: n - 1] = self.letter_pairs[letters[:-1], letters[1:]]
+        pair[ends - 1] = -1
+        after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+        after[ends - 1] = before[starts] = n
+        queue = self.queue
+        buckets, put, table = queue.buckets, queue.put, self.table
+        order = pair.argsort(kind="stable")
+        ranks, first = np.unique(pair[order], return_index=True)
+        for rank, a, b in zip(ranks.tolist(), first.tolist(), [*first[1:].tolist(), n + 1]):
+            if rank >= 0:
+                put(rank, order[a:b].tolist())
         while queue.top:
             rank, bucket = queue.pop_rank()
-            bucket.sort()
-            at = 0
-            for at, i in enumerate(bucket, 1):
-                if pair[i] != rank:
-                    continue  # the pair has changed since
+            i = np.array(bucket, np.int32)
+            i = i[pair[i] == rank]  # without pairs that have changed since
+            if not len(i):
+                continue
+            i.sort()
+            gone = after[i]
+            if len(i) > 1 and (gone[:-1] == i[1:]).any():  # of pairs in a row that overlap, every other one
+                at = np.arange(len(i))
+                i = i[(at - np.maximum.accumulate(np.where(np.append(True, gone[:-1] != i[1:]), at, 0))) % 2 == 0]
                 gone = after[i]
-                ids[i] = rank
-                pair[gone] = None
-                after[i] = right = after[gone]
-                before[right] = i
-                left = before[i]
-                pair[i] = one = found(rank << 32 | ids[right])
-                pair[left] = two = found(ids[left] << 32 | rank)
-                if one is not None:
-                    if one in buckets:
-                        buckets[one].append(i)
-                    else:
-                        push(one, i)
-                if two is not None:
-                    if two in buckets:
-                        buckets[two].append(left)
-                    else:
-                        push(two, left)
-                    if two <= rank:
-                        break
-                if one is not None and one <= rank:
-                    break
-            for i in bucket[at:]:  # a merge made a pair of this rank or a lower one: the rest goes back
-                push(rank, i)
-        flat, ends, end = [], [0], 0
-        for piece in pieces:
-            i = end
-            end += len(piece)
-            while i < n:
-                flat.append(ids[i])
-                i = after[i]
-            ends.append(4 * len(flat))
-        packed = array("I", flat).tobytes()
-        return [packed[a:b] for a, b in zip(ends, ends[1:])]
+            (rights, of_right), (lefts, of_left) = self.beside(rank)
+            if self.early[rank]:
+                # A merge may make a pair of this rank or a lower one, which is then the next in its piece.
+                table[rights] = of_right
+                one = table[ids[after[gone]]]
+                table[rights] = -1
+                table[lefts] = of_left
+                left = ids[before[i]]
+                left[1:][before[i[1:]] == gone[:-1]] = rank
+                two = table[left]
+                table[lefts] = -1
+                due = (one >= 0) & (one <= rank) | (two >= 0) & (two <= rank)
+                if due.any():
+                    of, earlier = starts.searchsorted(i, "right"), np.cumsum(due) - due
+                    now = earlier == earlier[of.searchsorted(of)]  # up to the first such merge of a piece
+                    put(rank, bucket)  # those merged now are skipped when met again
+                    i, gone = i[now], gone[now]
+            right = after[gone]
+            ids[i] = rank
+            ids[gone] = pair[gone] = -1
+            after[i] = right
+            before[right] = i
+            left = before[i]
+            table[rights] = of_right
+            one = table[ids[right]]
+            table[rights] = -1
+            table[lefts] = of_left
+            two = table[ids[left]]
+            table[lefts] = -1
+            pair[i] = one
+            pair[left] = two
+            two[1:][left[1:] == i[:-1]] = -1  # is in `one`
+            made, also = one >= 0, two >= 0
+            for position, rank in zip(
+                i[made].tolist() + left[also].tolist(), one[made].tolist() + two[also].tolist()
+            ):
+                if rank in buckets:
+                    buckets[rank].append(position)
+                else:
+                    put(rank, [position])
+        ids = ids[:n]
+        whole = ids >= 0
+        cuts = [0, *(4 * np.cumsum(whole)[ends - 1]).tolist()]
+        packed = ids[whole].tobytes()
+        return [packed[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def beside(self, rank: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """(neighbour, id of both together) of the ids that pair with `rank` on its right, and on its left."""
+        a, b = self.right_ends[rank : rank + 2]
+        c, d = self.left_ends[rank : rank + 2]
+        return (self.rights[a:b], self.of_rights[a:b]), (self.lefts[c:d], self.of_lefts[c:d])
 
     def learn(self, pieces: Iterable[str], known: dict[str, bytes]) -> None:
         """Add the packed ids of pieces to `known`, many pieces to a queue."""
@@ -232,23 +272,25 @@ class ByteBpe:
                 known.update(zip((p for p, _ in part), self.merge([d for _, d in part])))
                 start, size = stop, 0
 
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
+    def encode_packed(self, texts: list[str]) -> list[bytes]:
         split = [self.split(t) for t in texts]
         known, missing = self.cache.find(set(chain.from_iterable(split)))
         new: dict[str, bytes] = {}
         self.learn(missing, new)
         known.update(new)
         of = known.__getitem__
-        out = [ids_of(b"".join(map(of, pieces))) for pieces in split]
+        out = [b"".join(map(of, pieces)) for pieces in split]
         self.cache.add(new)
         return out
 
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        return list(map(ids_of, self.encode_packed(texts)))
+
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0]
 
-    def decode(self, ids: list[int]) -> bytes:
-        tokens = self.tokens
-        return b"".join([tokens[i] for i in ids])
+    def decode(self, ids: list[int] | np.ndarray) -> bytes:
+        return b"".join(self.tokens[np.asarray(ids, np.int64)].tolist())
 
 
 _coders: dict[tuple[bytes, str], ByteBpe] = {}
@@ -291,7 +333,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
-    return map_batches(rows, run, f"key {kind}, ids array<int>", 500).withColumnRenamed("key", key)
+    return map_batches(rows, run, f"key {kind}, ids array<int>", 2 * TEXTS).withColumnRenamed("key", key)
 
 
 def decode(rows: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -304,7 +346,7 @@ def decode(rows: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: s
 
     kind = rows.schema[key].dataType.simpleString()
     plain = rows.select(rows[key].alias("key"), rows[ids].alias("ids"))
-    return map_batches(plain, run, f"key {kind}, bytes binary", 500).withColumnRenamed("key", key)
+    return map_batches(plain, run, f"key {kind}, bytes binary", 2 * TEXTS).withColumnRenamed("key", key)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -322,21 +364,19 @@ def round_trip(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] =
         names = numbers(len(bpe.tokens))
         counts, sent, back = [], [], []
         for part in portions(texts):
-            for ids in bpe.encode_all(part):
+            for packed in bpe.encode_packed(part):
+                ids = np.frombuffer(packed, np.uint32)
                 counts.append(len(ids))
-                sent.append(hashlib.sha256(",".join([names[i] for i in ids]).encode()).hexdigest())
+                sent.append(hashlib.sha256(",".join(names[ids].tolist()).encode()).hexdigest())
                 back.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
         return columns | {"n_tokens": counts, "ids_sha256": sent, "decoded_sha256": back}
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     rows = docs.select(*keep) if own in keep else docs.select(*keep, docs["text"].alias(own))
-    return map_batches(rows, run, f"{kinds}, n_tokens long, ids_sha256 string, decoded_sha256 string", 500)
-
-
-_numbers: list[str] = []
+    return map_batches(rows, run, f"{kinds}, n_tokens long, ids_sha256 string, decoded_sha256 string", 2 * TEXTS)
 
 
-def numbers(size: int) -> list[str]:
+@functools.cache
+def numbers(size: int) -> np.ndarray:
     """Decimal forms of 0 .. size - 1."""
-    _numbers.extend(map(str, range(len(_numbers), size)))
-    return _numbers
+    return np.array([str(i) for i in range(size)], object)
