@@ -1,3 +1,5 @@
+import sys
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -60,3 +62,36 @@ def test_words(seed):
 def test_mostly_different_letters(seed):
     rng = np.random.default_rng(seed)
     check(rng.integers(0, 40 + 30 * seed, 900).tolist())
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_few_letters_with_many_names(seed, monkeypatch):
+    monkeypatch.setattr(s, "LETTERS", 28)
+    rng = np.random.default_rng(seed)
+    words = [rng.integers(1, 27, rng.integers(2, 9)).tolist() + [0] for _ in range(60)]
+    passage = [x for k in rng.integers(0, 60, 50) for x in words[k]]
+    check([x for k in rng.integers(0, 60, 200) for x in words[k]] + passage + words[0] + passage + passage)
+
+
+def test_names_are_not_sorted_one_by_one(monkeypatch):
+    monkeypatch.setattr(s, "LETTERS", 1024)
+    rng = np.random.default_rng(3)
+    words = [rng.integers(98, 123, rng.integers(3, 9)).tolist() + [32] for _ in range(4000)]
+    t = np.array([x for k in rng.integers(0, 4000, 20_000) for x in words[k]] + [0])
+    lines = 0
+
+    def count(frame, event, _):
+        nonlocal lines
+        lines += event == "line"
+        return count
+
+    before = sys.gettrace()
+    sys.settrace(count)
+    try:
+        sa = s.suffix_array(t)
+    finally:
+        sys.settrace(before)
+    assert lines < len(t) // 5
+    data = t.astype(np.uint8).tobytes()
+    some = sa[::97].tolist()
+    assert sorted(sa.tolist()) == list(range(len(t))) and all(data[a:] < data[b:] for a, b in zip(some, some[1:]))

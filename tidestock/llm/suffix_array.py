@@ -3,8 +3,8 @@
 The steps are those of induced sorting: suffixes are classified, leftmost-smaller (LMS) substrings
 are sorted by inducing from their places, named, and sorted recursively by the string of names; the
 whole array is then induced from the sorted LMS suffixes in one pass to the right and one to the
-left. For texts a pass handles a bucket's entries as arrays, round by round as it fills; for names it
-goes entry by entry.
+left. A pass handles a bucket's entries as arrays, round by round as it fills. A string of very many
+names, whose buckets are too many and too small for that, is sorted by doubling.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import numpy as np
 
 #: Below this length suffixes are sorted one by one.
 SHORT = 32
-#: Buckets up to which the entries of each are handled as an array.
+#: Letters up to which a string is sorted by inducing.
 LETTERS = 1024
 
 
@@ -50,9 +50,6 @@ def _scan(sa: np.ndarray, t: np.ndarray, types: np.ndarray, starts: np.ndarray,
 
     starts: first place of each bucket, and the length; ends: next free place for induced entries.
     """
-    if len(starts) > LETTERS:
-        _scan_singly(sa, t, types, ends, small)
-        return
     up = -1 if small else 1
 
     def give(entries: np.ndarray) -> None:
@@ -68,20 +65,6 @@ def _scan(sa: np.ndarray, t: np.ndarray, types: np.ndarray, starts: np.ndarray,
         give(sa[starts[bucket] : done + 1][::-1] if small else sa[done : starts[bucket + 1]])
 
 
-def _scan_singly(sa: np.ndarray, t: np.ndarray, types: np.ndarray, ends: np.ndarray, small: bool) -> None:
-    """The same entry by entry, for strings of names, whose buckets are too many and too small for arrays."""
-    gives = np.full(len(t) + 1, -1, np.int64)  # by entry: the bucket that the suffix before it goes to; -1 at the end for no entry
-    gives[1:-1] = np.where(types[:-1] == small, t[:-1].astype(np.int64), -1)
-    entries, bucket_of, free, step = sa.tolist(), gives.tolist(), ends.tolist(), -1 if small else 1
-    for entry in reversed(entries) if small else entries:  # sees the entries set on the way
-        bucket = bucket_of[entry]
-        if bucket >= 0:
-            place = free[bucket]
-            entries[place] = entry - 1
-            free[bucket] = place + step
-    sa[:] = entries
-
-
 def _induce(t: np.ndarray, types: np.ndarray, lms: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The order of all suffixes that follows from the order of the LMS suffixes."""
     sa = np.full(len(t), -1, np.int32)
@@ -110,6 +93,30 @@ def _names(t: np.ndarray, sorted_lms: np.ndarray, after: np.ndarray) -> np.ndarr
     return np.concatenate(([0], np.cumsum(~equal)))
 
 
+def _doubled(t: np.ndarray) -> np.ndarray:
+    """Suffix array of t: with suffixes in order by their first `known` letters, and the order of those `known`
+    further on, they are in order by twice as many. Suffixes that differ from all others take no further part.
+    """
+    n = len(t)
+    counts = np.bincount(t)
+    rank = (np.cumsum(counts) - counts)[t]  # of each suffix, how many are smaller as far as is known
+    live, known = (counts[t] > 1).nonzero()[0], 1
+    while len(live):
+        old = rank[live]
+        key = old * n + rank[live + known]
+        order = key.argsort()
+        live, key, old = live[order], key[order], old[order]
+        place = np.arange(len(live))
+        new = np.append(True, key[1:] != key[:-1])
+        start = np.maximum.accumulate(np.where(np.append(True, old[1:] != old[:-1]), place, 0))
+        rank[live] = old + np.maximum.accumulate(np.where(new, place, 0)) - start
+        live = live[~(new & np.append(new[1:], True))]
+        known *= 2
+    sa = np.empty(n, np.int32)
+    sa[rank] = np.arange(n, dtype=np.int32)
+    return sa
+
+
 def suffix_array(t: np.ndarray) -> np.ndarray:
     """Suffix array of t, non-negative integers of which the last is the only smallest; under 2 ** 31 of them.
 
@@ -120,8 +127,10 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     if n <= SHORT:
         rest = t.tolist()
         return np.array(sorted(range(n), key=lambda i: rest[i:]), np.int32)
+    if int(t.max()) >= LETTERS:
+        return _doubled(t)
     # Few letters fit 16 bits, which a stable sort orders by radix, and which take half the cache.
-    t = t.astype(np.uint16 if int(t.max()) < LETTERS else np.int32, copy=False)
+    t = t.astype(np.uint16, copy=False)
     types = suffix_types(t)
     lms = ((types[1:] & ~types[:-1]).nonzero()[0] + 1).astype(np.int32)
     starts = np.concatenate(([0], np.cumsum(np.bincount(t))))
