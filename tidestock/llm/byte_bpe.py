@@ -21,7 +21,6 @@ import functools
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import regex
@@ -38,7 +37,7 @@ PIECE_BYTES = 200
 #: Bytes of pieces merged in one queue; a longer piece has a queue to itself.
 QUEUE_BYTES = 1 << 20
 #: Texts encoded at once: so many, or fewer with so many code points. The more, the more of a bucket is merged together.
-TEXTS, CODE_POINTS = 1024, 1 << 22
+TEXTS, CODE_POINTS = 512, 1 << 21
 
 
 class RankQueue:
@@ -273,8 +272,9 @@ class ByteBpe:
                 start, size = stop, 0
 
     def encode_packed(self, texts: list[str]) -> list[bytes]:
-        split = [self.split(t) for t in texts]
-        known, missing = self.cache.find(set(chain.from_iterable(split)))
+        seen: dict[str, str] = {}  # one object a piece, however often it occurs
+        split = [list(map(seen.setdefault, pieces, pieces)) for pieces in map(self.split, texts)]
+        known, missing = self.cache.find(set(seen))
         new: dict[str, bytes] = {}
         self.learn(missing, new)
         known.update(new)
